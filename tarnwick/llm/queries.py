@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tarnwick.llm import decontaminate, quality
+from tarnwick import scratch
+from tarnwick.llm import bpe, decontaminate, quality, simhash, tokenfiles
 from tarnwick.tables import read_table
 
 
@@ -17,6 +18,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_counts(marked).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
+def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(spark, "tokens")
+    manifest = tokenfiles.write_tokens(spark, read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.read_documents(spark, folder, manifest)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
