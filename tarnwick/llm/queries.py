@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick import scratch
-from tarnwick.llm import bpe, decontaminate, quality, simhash, tokenfiles
+from tarnwick.llm import bpe, chat, decontaminate, oracles, passages, quality, sharding, simhash, tokenfiles, toxicity, warc
 from tarnwick.tables import read_table
 
 
@@ -18,15 +18,44 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_counts(marked).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+SHARDS = [f"shard-{n:03d}" for n in range(64)]
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.place(spark, docs, "doc_id", SHARDS, fallback="text").select("doc_id", "slot", "shard")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.dedup_passages(spark, docs, keep_text=False)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(spark, "warc")
+    warc.write_archives(spark, read_table(spark, sf_dir, "pages"), folder)
+    return warc.resolve(warc.assemble(warc.read_records(spark, folder)))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read_table(spark, sf_dir, "conversations"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "tokens")
     manifest = tokenfiles.write_tokens(spark, read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -45,7 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
-
-
-ORACLES: dict[str, str] = {}
+    return oracles.oracle_sql(SHARDS)
