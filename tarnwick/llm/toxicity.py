@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's words and their prefixes of four to six characters (so that a
-stem counts under every ending), hashed to 2**22 buckets. The executors count in how
+Terms are a text's words, their prefixes of four to seven characters (so that a stem
+counts under every ending) and marks that several different words share a prefix,
+hashed to 2**22 buckets. The executors count in how
 many labelled texts of either class each bucket occurs; the buckets that separate
 the classes best become the machine's inputs. Its pairwise factors learn what a
 sum of weights misses: two terms that are only telling together.
@@ -19,7 +20,8 @@ the name of a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,17 +35,30 @@ from tarnwick.llm.batches import append_columns, slices, texts
 from tarnwick.llm.decontaminate import words_of
 
 BUCKETS = 1 << 22
+PREFIXES = (4, 5, 6, 7)
+REPEATS = (2, 3, 5)
 _MOST_WORDS = 400_000
 
 
-def terms(word: bytes) -> set[int]:
-    """Buckets of one word."""
+def terms(word: bytes) -> tuple[int, list[int]]:
+    """Bucket of a word, and those of its prefixes."""
     text = word.decode("utf-8", "replace").lower()
-    found = {xxhash.xxh32_intdigest(b"w" + text.encode()) % BUCKETS}
-    for n in (4, 5, 6):
-        if len(text) >= n:
-            found.add(xxhash.xxh32_intdigest(b"p" + text[:n].encode()) % BUCKETS)
-    return found
+    return xxhash.xxh32_intdigest(b"w" + text.encode()) % BUCKETS, [xxhash.xxh32_intdigest(b"p" + text[:n].encode()) % BUCKETS for n in PREFIXES if len(text) >= n]
+
+
+def times(prefix: int, n: int) -> int:
+    """Bucket of "n or more different words of the text have this prefix"."""
+    return (prefix * 0x9E3779B1 + n * 0x85EBCA6B) % BUCKETS
+
+
+def terms_of(held: Iterable[tuple[int, list[int]]]) -> set[int]:
+    """All buckets of a text from the terms of its different words."""
+    found: set[int] = set()
+    prefixes: Counter[int] = Counter()
+    for word, own in held:
+        found.add(word)
+        prefixes.update(own)
+    return found.union(prefixes, (times(p, n) for p, c in prefixes.items() if c > 1 for n in REPEATS if c >= n))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -59,7 +74,7 @@ class Machine:
     bias: float
     weight: np.ndarray
     factor: np.ndarray
-    _seen: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
+    _seen: dict[bytes, tuple[list[int], list[int]]] = field(default_factory=dict)
 
     def inputs(self, text: bytes) -> list[int]:
         """The machine's inputs that a text holds, sorted."""
@@ -67,8 +82,18 @@ class Machine:
         if len(seen) > _MOST_WORDS:
             seen.clear()
         for w in words.difference(seen):
-            seen[w] = tuple(self.index[t] for t in terms(w) if t in self.index)
-        return sorted({i for w in words for i in seen[w]})
+            word, prefixes = terms(w)
+            seen[w] = [self.index[t] for t in {word, *prefixes} if t in self.index], [p for p in prefixes if any(times(p, n) in self.index for n in REPEATS)]
+        found: set[int] = set()
+        prefixes: Counter[int] = Counter()
+        for w in words:
+            direct, own = seen[w]
+            if direct:
+                found.update(direct)
+            if own:
+                prefixes.update(own)
+        found.update(self.index[t] for p, c in prefixes.items() for n in REPEATS if c >= n and (t := times(p, n)) in self.index)
+        return sorted(found)
 
     def probability(self, rows: list[list[int]]) -> np.ndarray:
         out = np.full(len(rows), self.bias)
@@ -127,7 +152,7 @@ def count_terms(labelled: DataFrame) -> DataFrame:
     """(bucket, ones, zeros): labelled texts of either class that hold the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, set[int]] = {}
+        seen: dict[bytes, tuple[int, list[int]]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 held: tuple[list[int], list[int]] = ([], [])
@@ -137,7 +162,7 @@ def count_terms(labelled: DataFrame) -> DataFrame:
                         seen.clear()
                     for w in words.difference(seen):
                         seen[w] = terms(w)
-                    held[label].extend(set().union(*(seen[w] for w in words)))
+                    held[label].extend(terms_of([seen[w] for w in words]))
                 zeros, ones = (np.unique(np.array(x, np.int64), return_counts=True) for x in held)
                 bucket = np.concatenate([ones[0], zeros[0]])
                 n1, n0 = np.concatenate([ones[1], 0 * zeros[1]]), np.concatenate([0 * ones[1], zeros[1]])
