@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnwick import scratch
-from tarnwick.llm import decontaminate, quality
+from tarnwick.llm import bpe, decontaminate, passages, quality, simhash
 from tarnwick.tables import read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,13 +22,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge_quality(docs, trees).where("kept").select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    scratch.sweep(spark)  # the stage before has been stored
+    return simhash.keep_one(spark, docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring passages are cut out of texts; n_chars follows."""
+    scratch.sweep(spark)
+    cut = passages.dedup_passages(spark, docs)
+    changed = F.col("n_removed") > 0
+    return cut.withColumns({"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    """Benchmark passages are cut out, n_chars follows; documents that are mostly benchmark go."""
+    scratch.sweep(spark)
     marked = decontaminate.mark_contamination(spark, docs, read_table(spark, sf_dir, "benchmark"))
-    return decontaminate.remove_contamination(marked).select(*docs.columns)
+    left = decontaminate.remove_contamination(marked)
+    return left.withColumn("n_chars", F.when(F.size("hit_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the digests that show that they decode to it."""
+    scratch.sweep(spark)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules), ("benchmark decontamination", decontaminated)]
+STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules), ("near dedup", near_dedup), ("substring dedup", substring_dedup), ("benchmark decontamination", decontaminated), ("byte-level BPE", encoded)]
 
 #: The trees' verdicts and the hashes cannot be expressed in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
@@ -33,7 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is stored in the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.table(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = f"{scratch.shared_dir(spark)}/corpus-pipeline/{uuid.uuid4().hex}-{name.replace(' ', '-')}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            scratch.drop(spark, before)
+        before = path
     return docs

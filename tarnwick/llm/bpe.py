@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick.llm.batches import append_columns
@@ -195,22 +194,17 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return append_columns(encoded, "token_ids", [T.StructField("decoded", T.BinaryType())], work)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs plus n_tokens and SHA-256 of the packed ids and of the decoded bytes.
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """docs plus n_tokens and SHA-256 of the packed ids and of the decoded bytes, on demand token_ids.
 
-    Encoding and decoding meet in one Python step, so ids never cross to the JVM.
+    Encoding and decoding meet in one Python step, so ids cross to the JVM only if kept.
     """
 
     def work(batch: list[bytes]) -> list[pa.Array]:
         bpe = load(path, pattern)
         ids = bpe.units.texts(batch)
         hashes = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]]
-        return [pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, hashes)]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, hashes)] + [pa.array(ids, pa.binary())] * keep_ids
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return append_columns(docs, text, fields, work)
-
-
-def digests(encoded: DataFrame) -> DataFrame:
-    """ids_sha256 and decoded_sha256 of encoded and decoded rows, in the JVM."""
-    return encoded.withColumns({"ids_sha256": F.sha2("token_ids", 256), "decoded_sha256": F.sha2("decoded", 256)})
+    return append_columns(docs, text, fields + [T.StructField("token_ids", T.BinaryType())] * keep_ids, work)

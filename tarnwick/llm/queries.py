@@ -27,7 +27,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents")).drop("group_key", "text_key")
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

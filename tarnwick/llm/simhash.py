@@ -191,14 +191,27 @@ def links(sharded: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 4, words_per_shingle: int = 4, leaf_rows: int = 8192) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (least doc_id reachable)."""
-    prints = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = scratch.table(spark, add_fingerprints(prints, "text", words_per_shingle, "fp").select("doc_id", "fp"), "fingerprints")
+    """One row per document: doc_id, fingerprint (hex), component_id (least doc_id reachable), group_key, text_key.
+
+    group_key names the component also where no doc_id is known; text_key is the MD5 of the text.
+    """
+    key = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    prints = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), key.alias("text_key"))
+    prints = scratch.table(spark, add_fingerprints(prints, "text", words_per_shingle, "fp").select("doc_id", "text_key", "fp"), "fingerprints")
     points = scratch.table(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     edges = links(shards(points.select("fp"), radius, leaf_rows), radius)
     joined = connected_components(spark, edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = points.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.table(spark, rooted.join(names, "root").select("fp", "component_id"), "components")
+    named = scratch.table(spark, rooted.join(names, "root").select("fp", "component_id", F.col("root").alias("group_key")), "components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "group_key", "text_key")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how: int) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one of least doc_id (null last), then text key."""
+    near = near_duplicates(spark, docs, text, doc_id, **how)
+    first = near.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("kept")).select(F.col("kept.doc_id").alias("__kept_id"), F.col("kept.text_key").alias("__kept_key"))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__key": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
+    chosen = first.select(F.coalesce(F.col("__kept_id").cast("string"), F.lit("")).alias("__id"), F.col("__kept_key").alias("__key"))
+    return keyed.join(chosen, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
