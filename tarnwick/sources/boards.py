@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RAW = ("source_id", "provider", "tenant", "provider_job_id", "title", "company", "location", "description", "url", "apply_url", "fetched_at", "posted_at_raw", "updated_at_raw", "deadline_raw", "salary_text", "official_link_state")
-_GREENHOUSE = "id string, title string, location struct<name: string>, absolute_url string, first_published string, updated_at string, application_deadline string, content string, pay_input_ranges array<variant>"
-_LEVER = "id string, text string, categories struct<location: string>, descriptionPlain string, description string, lists array<struct<text: string, content: string>>, hostedUrl string, applyUrl string, salaryRange variant"
-_ASHBY = "title string, isListed variant, location string, descriptionPlain string, descriptionHtml string, publishedAt string, jobUrl string, applyUrl string, compensation struct<scrapeableCompensationSalarySummary: string>"
+_GREENHOUSE = "id: string, title: string, location: struct<name: string>, absolute_url: string, first_published: string, updated_at: string, application_deadline: string, content: string, pay_input_ranges: array<variant>"
+_LEVER = "id: string, text: string, categories: struct<location: string>, descriptionPlain: string, description: string, lists: array<struct<text: string, content: string>>, hostedUrl: string, applyUrl: string, salaryRange: variant"
+_ASHBY = "title: string, isListed: variant, location: string, descriptionPlain: string, descriptionHtml: string, publishedAt: string, jobUrl: string, applyUrl: string, compensation: struct<scrapeableCompensationSalarySummary: string>"
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,8 @@ def _finish(read: DataFrame, array: str, error: Column, fields: dict[str, Column
 def parse_greenhouse(payloads: DataFrame) -> Parsed:
     """SRC-01: an object with jobs[] or one detail object; meta.total must equal the number of ids."""
     v = F.try_parse_json("content")
-    one = F.from_json("content", _GREENHOUSE)
-    many = F.from_json("content", f"jobs array<struct<{_GREENHOUSE.replace(' string', ': string').replace(' struct', ': struct').replace(' array', ': array')}>>, meta struct<total: bigint>")
+    one = F.from_json("content", f"struct<{_GREENHOUSE}>")
+    many = F.from_json("content", f"struct<jobs: array<struct<{_GREENHOUSE}>>, meta: struct<total: bigint>>")
     read = payloads.withColumns({"__many": many, "__one": one, "__kind": F.schema_of_variant(F.try_variant_get(v, "$.jobs", "variant"))})
     listed = F.startswith(F.coalesce("__kind", F.lit("")), F.lit("ARRAY"))
     read = read.withColumns({"__jobs": F.when(listed, F.col("__many.jobs")).when(F.col("__one.id").isNotNull(), F.array("__one")), "__total": F.when(listed, F.col("__many.meta.total"))})
@@ -67,8 +67,7 @@ def parse_greenhouse(payloads: DataFrame) -> Parsed:
 def parse_lever(payloads: DataFrame) -> Parsed:
     """SRC-02: an array of postings; sections are appended to the description, createdAt is not a date of posting."""
     kind = F.schema_of_variant(F.try_parse_json("content"))
-    fields = _LEVER.replace(" string", ": string").replace(" struct", ": struct").replace(" array", ": array").replace(" variant", ": variant")
-    read = payloads.withColumn("__jobs", F.from_json("content", f"array<struct<{fields}>>"))
+    read = payloads.withColumn("__jobs", F.from_json("content", f"array<struct<{_LEVER}>>"))
     error = F.when(F.try_parse_json("content").isNull(), "MALFORMED_JSON").when(~F.startswith(kind, F.lit("ARRAY")), "EXPECTED_POSTINGS_ARRAY")
     r, blank = F.col("r"), lambda x: F.coalesce(x, F.lit(""))
     sections = F.transform(F.coalesce(r["lists"], F.array().cast("array<struct<text: string, content: string>>")), lambda s: F.concat(F.lit(" "), blank(s["text"]), F.lit(" "), blank(s["content"])))
@@ -80,9 +79,8 @@ def parse_lever(payloads: DataFrame) -> Parsed:
 
 def parse_ashby(payloads: DataFrame) -> Parsed:
     """SRC-03: listed rows only; a row without a boolean isListed fails the payload."""
-    fields = _ASHBY.replace(" string", ": string").replace(" struct", ": struct").replace(" variant", ": variant")
     v = F.try_parse_json("content")
-    read = payloads.withColumns({"__jobs": F.from_json("content", f"jobs array<struct<{fields}>>")["jobs"], "__kind": F.schema_of_variant(F.try_variant_get(v, "$.jobs", "variant"))})
+    read = payloads.withColumns({"__jobs": F.from_json("content", f"struct<jobs: array<struct<{_ASHBY}>>>")["jobs"], "__kind": F.schema_of_variant(F.try_variant_get(v, "$.jobs", "variant"))})
     flagged = F.forall("__jobs", lambda j: F.coalesce(F.schema_of_variant(j["isListed"]) == "BOOLEAN", F.lit(False)))
     error = F.when(v.isNull(), "MALFORMED_JSON").when(~F.startswith(F.coalesce("__kind", F.lit("")), F.lit("ARRAY")), "MISSING_JOBS_ARRAY").when(~flagged, "MISSING_LISTED_FLAG")
     r, blank = F.col("r"), lambda x: F.coalesce(x, F.lit(""))

@@ -96,4 +96,4 @@ def response_outcome(status: Column, content_type: Column, size: Column, body: C
 def retry_seconds(header: Column, now: Column) -> Column:
     """Seconds of a Retry-After header, given as a number or a date; null if neither."""
     date = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(header, r"^[A-Za-z]{3}, ", ""), "GMT$", "+0000"), F.lit("dd MMM yyyy HH:mm:ss Z"))
-    return F.when(header.rlike(r"^\d{1,9}$"), F.expr("0") + header.try_cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.timestamp_diff("SECOND", now, date)))
+    return F.when(header.rlike(r"^\d{1,9}$"), header.try_cast("long")).when(date.isNotNull(), F.greatest(F.lit(0).cast("long"), F.timestamp_diff("SECOND", now, date)))
