@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import dates
-from tarnwick.operators import lifecycle, outbox, reports
+from tarnwick.operators import digest, lifecycle, outbox, planner, reports
 from tarnwick.tables import read_table
 
 NOW = "2024-01-31 00:00:00"
@@ -278,8 +278,6 @@ ENUM_COUNTS = f"select label, coalesce(n, 0) as n from (values {', '.join(f'({v!
 
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-07: health of users as sources: errors since the last purchase, hours since it."""
-    from tarnwick.operators import planner
-
     e = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
     last = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("ok"))
     failed = e.join(last, "user_id").where((F.col("event_type") == "error") & (F.col("ok").isNull() | (F.col("ts") > F.col("ok")))).groupBy("user_id").agg(F.count("*").alias("failures"))
@@ -297,6 +295,31 @@ from joined
 """
 
 
+def failure_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-14: users' days without a purchase as failures; notices at the third and at recovery."""
+    days = _events(spark, sf_dir, "ts", "user_id", "event_type").groupBy("user_id", F.to_date("ts").alias("day")).agg((~F.bool_or(F.col("event_type") == "purchase")).alias("failed"))
+    found = digest.failure_episodes(days, "user_id", "day", "failed")
+    return found.where("notice is not null").select("user_id", "day", F.col("failures").cast("long").alias("failures"), "notice")
+
+
+FAILURE_EPISODES = """
+with days as (select user_id, cast(ts as date) as day, not bool_or(event_type = 'purchase') as failed from events group by 1, 2),
+blocks as (select *, sum(cast(not failed as int)) over (partition by user_id order by day) as block from days),
+counted as (select user_id, day, failed, cast(sum(cast(failed as int)) over (partition by user_id, block order by day) as bigint) as failures from blocks),
+told as (select *, coalesce(lag(failures) over (partition by user_id order by day), 0) as before from counted)
+select user_id, day, failures, case when failures = 3 then 'FAILURE' else 'RECOVERY' end as notice from told where failures = 3 or (not failed and before >= 3)
+"""
+
+
+def title_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRD-03/09: events whose payload is in scope, before anything else is read."""
+    e = _events(spark, sf_dir, "event_id", "event_type", "props")
+    return e.where(digest.title_in_scope(F.col("event_type"), ("PURCH", "sign"))).select("event_id", "event_type")
+
+
+TITLE_SCOPE = "select event_id, event_type from events where contains(lower(event_type), 'purch') or contains(lower(event_type), 'sign')"
+
+
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-05 as fixed windows of six hours."""
     e = _events(spark, sf_dir, "ts", "event_type", "value").withColumn("bucket", F.floor(_epoch(F.col("ts")) / 21_600).cast("long"))
@@ -305,9 +328,9 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TUMBLING_WINDOWS = "select cast(epoch_us(ts) // 21600000000 as bigint) as bucket, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2"
 
-QUERIES = {f.__name__: f for f in (funnel_cohort, funnel_totals, median_time_to_apply, calendar_windows, trailing_median_anomaly, yield_anomaly_default, freshness_bands, bundle_plan, json_props, keep_last, keep_first, miss_counter, transition_check, distinct_union, set_difference, enum_counts, source_health, tumbling_windows)}
+QUERIES = {f.__name__: f for f in (funnel_cohort, funnel_totals, median_time_to_apply, calendar_windows, trailing_median_anomaly, yield_anomaly_default, freshness_bands, bundle_plan, json_props, keep_last, keep_first, miss_counter, transition_check, distinct_union, set_difference, enum_counts, source_health, failure_episodes, title_scope, tumbling_windows)}
 SQL = {
     "funnel_cohort": FUNNEL_COHORT, "funnel_totals": FUNNEL_TOTALS, "median_time_to_apply": MEDIAN_TIME_TO_APPLY, "calendar_windows": CALENDAR_WINDOWS, "trailing_median_anomaly": anomaly_sql(0.2), "yield_anomaly_default": anomaly_sql(0.7),
     "freshness_bands": FRESHNESS_BANDS, "bundle_plan": BUNDLE_PLAN, "json_props": JSON_PROPS, "keep_last": keep_sql("desc"), "keep_first": keep_sql("asc"), "miss_counter": MISS_COUNTER, "transition_check": TRANSITION_CHECK,
-    "distinct_union": DISTINCT_UNION, "set_difference": SET_DIFFERENCE, "enum_counts": ENUM_COUNTS, "source_health": SOURCE_HEALTH, "tumbling_windows": TUMBLING_WINDOWS,
+    "distinct_union": DISTINCT_UNION, "set_difference": SET_DIFFERENCE, "enum_counts": ENUM_COUNTS, "source_health": SOURCE_HEALTH, "failure_episodes": FAILURE_EPISODES, "title_scope": TITLE_SCOPE, "tumbling_windows": TUMBLING_WINDOWS,
 }

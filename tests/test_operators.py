@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tarnwick import scratch
-from tarnwick.operators import contacts, lifecycle, outbox, planner, reports, upsert, workflow
+from tarnwick.operators import contacts, digest, lifecycle, outbox, planner, reports, upsert, workflow
 from tarnwick.operators.components import connected_components
 from tarnwick.streaming import runner
 
@@ -258,3 +258,46 @@ def test_scratch_tables_go(spark):
     scratch.sweep(spark)
     with pytest.raises(PySparkException):
         spark.read.parquet(made.inputFiles()[0]).count()
+
+
+def test_digest_items_and_attempts(spark):
+    make = spark.createDataFrame
+    jobs = make([("a", "P0", NOW, None, "ACTIVE"), ("b", "P1", NOW - timedelta(9), NOW, "CHANGED"), ("c", "P2", NOW, None, "ACTIVE"), ("d", "P0", NOW - timedelta(9), None, "ACTIVE")], "job_uid string, action_priority string, first_seen_at timestamp, last_changed_at timestamp, active_state string")
+    apps = make([("a", "APPLIED", "", "2026-08-15 13:00 IST"), ("b", "APPLIED", "call", "2026-08-15 14:00 IST")], "job_uid string, application_stage string, next_step string, next_step_due string")
+    sent = make([("c", "SENT_MANUALLY", "2026-08-01T00:00:00Z"), ("d", "CLOSED", "2026-08-01T00:00:00Z")], "job_uid string, outreach_stage string, follow_up_due string")
+    alerts = make([("x", "d", "P0", "AMBIGUOUS", None)], "alert_id string, job_uid string, alert_type string, state string, scheduled_window_end timestamp")
+    cursor = F.lit("2026-08-14 00:00:00").cast("timestamp")
+    found = digest.digest_items(jobs, apps, sent, alerts, cursor, now())
+    assert sorted((r["kind"], r["line"]) for r in found.collect()) == [("CHANGED", "b: CHANGED"), ("FOLLOW_UP", "c: review due follow-up"), ("NEW", "a: P0"), ("NEW", "d: P0"), ("OVERDUE", "a: APPLIED")]
+    first = digest.digest_attempt("morning", now(), cursor, alerts, alerts)
+    assert first.first()["alert_type"] == "DIGEST" and digest.digest_attempt("morning", now(), cursor, alerts.limit(0), alerts).first()["alert_type"] == "NO_CONTENT"
+    assert digest.digest_attempt("morning", now(), cursor, alerts, alerts.unionByName(first.select(F.lit("y").alias("alert_id"), F.lit("").alias("job_uid"), "alert_type", "state", "scheduled_window_end"))).count() == 0
+
+
+def test_failure_notices(spark):
+    seen = spark.createDataFrame([("a", True, 3), ("b", True, 2), ("c", False, None), ("d", True, None), ("e", True, None)], "condition string, active boolean, due_failures int")
+    state = spark.createDataFrame([("c", True, 1), ("d", True, 1), ("e", False, 4)], "condition string, was_active boolean, episode int")
+    assert {r["condition"]: (r["kind"], r["episode"]) for r in digest.failure_notices(seen, state).collect()} == {"a": ("FAILURE", 1), "c": ("RECOVERY", 1), "e": ("FAILURE", 5)}
+
+
+def test_schedules_and_kinds(spark):
+    mode = lambda c: spark.range(1).select(digest.mode_of(F.lit(c)).alias("x")).first()["x"]
+    assert mode("17 4,10,16 * * 0,6") == "incremental" and mode("53 20 * * *") == "full"
+    with pytest.raises(PySparkException, match="UNKNOWN_SCHEDULE"):
+        mode("* * * * *")
+
+
+def test_checkpoints_need_committed_records(spark):
+    make, good = spark.createDataFrame, "a" * 64
+    rows = make([("s", "1", "j1", good), ("s", "2", "j2", good), ("s", "3", "j3", "A" * 64), ("s", "4", "j1", good)], "source_id string, external_job_id string, job_uid string, version string")
+    keyed = rows.withColumn("key", F.concat(F.lit("checkpoint:"), digest.uid(F.col("source_id"), F.col("external_job_id"))))
+    seen = make([("s", "1", "j1"), ("s", "2", "j2"), ("s", "3", "j3")], "source_id string, external_job_id string, job_uid string")
+    assert [r["external_job_id"] for r in digest.valid_checkpoints(keyed, seen, make([("j1",), ("j3",)], "job_uid string")).collect()] == ["1"]
+
+
+def test_backup_and_staging(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x")], "k int, a string")
+    digest.export_backup({"t": rows}, str(tmp_path / "b"))
+    assert spark.read.json(str(tmp_path / "b/t")).count() == 1
+    paths = {digest.stage_import(spark, rows, str(tmp_path / "s"), b"same") for _ in range(2)}
+    assert len(paths) == 1 and spark.read.parquet(paths.pop()).count() == 1
