@@ -6,7 +6,7 @@ whose word sequence starts anywhere else, in the same document or in another one
 1. Equal texts collapse to one row with a count, in the JVM.
 2. Every window has an anchor: its ``anchor_words``-gram of least hash. Equal windows
    have equal anchors, so only anchors that recur matter; about one word in
-   fifteen is an anchor. Consecutive windows of one anchor form a run.
+   fifteen starts a new one. Consecutive windows of one anchor form a run.
 3. A run that recurs as a whole confirms all its windows. Where an anchor recurs but
    the run does not (passage edges, edited copies) the run's windows are confirmed
    one by one. Both are counts by (anchor hash, content hash), 128 bits together,
@@ -38,7 +38,10 @@ from tarnwick.llm.batches import slices, texts
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM_BASE = np.uint64(0xD1B54A32D192ED03)
-_MOST_WORDS = 400_000
+_MOST_WORDS = 150_000
+_LONGEST = 256
+#: Bytes of text per shard of documents and automaton.
+_SHARD_BYTES = 1 << 20
 _words: dict[bytes, int] = {}
 
 
@@ -88,25 +91,34 @@ class Sequence:
         return _mix(total)
 
 
-def runs(seq: Sequence, window: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor hash) of each run, in words of the slice."""
+def runs(seq: Sequence, window: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor hash, anchor repeats inside) of each run, in words of the slice.
+
+    A run is a stretch of windows of one document with one least hash, cut at _LONGEST windows.
+    """
     none = np.empty(0, np.int64)
     reach, n = window - anchor_words + 1, len(seq.hashes) - window + 1
     if n < 1:
-        return none, none, np.empty(0, np.uint64)
+        return none, none, np.empty(0, np.uint64), np.empty(0, bool)
     gram = seq.grams(anchor_words)
     place = np.empty(n, np.int64)
     for lo in range(0, n, 65536):
         hi = min(n, lo + 65536)
         view = np.lib.stride_tricks.sliding_window_view(gram[lo : hi + reach - 1], reach)
         place[lo:hi] = view.argmin(axis=1) + np.arange(lo, hi)
+    value = gram[place]
     doc = np.repeat(np.arange(len(seq.sizes)), seq.sizes)
     inside = doc[:n] == doc[window - 1 : window - 1 + n]
     new = inside.copy()
-    new[1:] &= ~inside[:-1] | (place[1:] != place[:-1]) | (doc[1:n] != doc[: n - 1])
+    new[1:] &= ~inside[:-1] | (value[1:] != value[:-1]) | (doc[1:n] != doc[: n - 1])
+    begin = np.flatnonzero(new)
+    if not len(begin):
+        return none, none, np.empty(0, np.uint64), np.empty(0, bool)
+    held = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    new |= inside & ((np.arange(n) - held) % _LONGEST == 0)
     first = np.flatnonzero(new)
-    index = np.cumsum(new) - 1
-    return first, np.bincount(index[inside], minlength=len(first)), gram[place[first]]
+    count = np.bincount((np.cumsum(new) - 1)[inside], minlength=len(first))
+    return first, count, value[first], place[first + count - 1] != place[first]
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -119,20 +131,20 @@ def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def emit_runs(distinct: DataFrame, window: int, anchor_words: int) -> DataFrame:
-    """(anchor, run, id, first, windows, copies) of every run; first counts words of the document."""
+    """(anchor, run, id, first, windows, copies, inside) of every run; first counts words of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SHARD_BYTES):
                 seq = Sequence(texts(part.column("text")))
-                first, count, anchor = runs(seq, window, anchor_words)
+                first, count, anchor, inside = runs(seq, window, anchor_words)
                 row = np.searchsorted(seq.begin, first, "right") - 1
                 content = seq.content(first, first + count + window - 1) if len(first) else np.empty(0, np.uint64)
                 ids, copies = (part.column(n).to_numpy(zero_copy_only=False)[row] for n in ("id", "copies"))
-                columns = [_longs(anchor), _longs(content), pa.array(ids), pa.array((first - seq.begin[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(copies)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "run", "id", "first", "windows", "copies"])
+                columns = [_longs(anchor), _longs(content), pa.array(ids), pa.array((first - seq.begin[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(copies), pa.array(inside)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "run", "id", "first", "windows", "copies", "inside"])
 
-    return distinct.mapInArrow(run, "anchor long, run long, id long, first int, windows int, copies long")
+    return distinct.mapInArrow(run, "anchor long, run long, id long, first int, windows int, copies long, inside boolean")
 
 
 def emit_windows(listed: DataFrame, window: int) -> DataFrame:
@@ -140,7 +152,7 @@ def emit_windows(listed: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", _SHARD_BYTES):
                 seq = Sequence(texts(piece.column("text")))
                 lists = piece.column("runs")
                 flat = pa.RecordBatch.from_struct_array(lists.flatten())
@@ -162,17 +174,18 @@ def emit_windows(listed: DataFrame, window: int) -> DataFrame:
 def confirmed(spark: SparkSession, distinct: DataFrame, window: int, anchor_words: int) -> DataFrame:
     """(id, spans): the stretches of recurring windows of each text that has some."""
     every = scratch.table(spark, emit_runs(distinct, window, anchor_words), "runs")
-    again = every.groupBy("anchor").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor")
+    met = F.sum(F.when(F.col("inside"), 2).otherwise(F.col("copies")))
+    again = scratch.table(spark, every.groupBy("anchor").agg(met.alias("times")).where("times > 1").select("anchor"), "anchors")
     some = scratch.table(spark, every.join(again, "anchor", "left_semi"), "recurring-runs")
     scratch.drop(spark, every)
-    by_run = some.groupBy("anchor", "run").agg(F.sum("copies").alias("times"), F.min(F.struct("id", "first", "windows")).alias("at"))
-    mixed = by_run.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1").select("anchor")
-    whole = some.join(by_run.where("times > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("id", "first", "windows")
-    edges = by_run.join(mixed, "anchor", "left_semi").select("anchor", "at.*", F.least("times", F.lit(2)).alias("weight"), (F.col("times") == 1).alias("part"))
+    by_run = scratch.table(spark, some.groupBy("anchor", "run").agg(F.sum("copies").alias("times"), F.max("inside").alias("inside"), F.min(F.struct("id", "first", "windows")).alias("at")), "distinct-runs")
+    mixed = by_run.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.max("inside").alias("inside")).where("(kinds > 1 or inside) and fewest = 1").select("anchor")
+    edges = by_run.join(scratch.table(spark, mixed, "mixed-anchors"), "anchor", "left_semi").select("anchor", "at.*", F.least("times", F.lit(2)).alias("weight"), (F.col("times") == 1).alias("part"))
     lists = edges.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "windows", "weight", "part")).alias("runs"))
     windows = scratch.table(spark, emit_windows(distinct.select("id", "text").join(lists, "id"), window), "windows")
-    twice = windows.groupBy("anchor", "content").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "content")
+    twice = scratch.table(spark, windows.groupBy("anchor", "content").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "content"), "recurring-windows")
     single = windows.where("part").join(twice, ["anchor", "content"], "left_semi").select("id", "first", F.lit(1).alias("windows"))
+    whole = some.join(by_run.where("times > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("id", "first", "windows")
     return whole.unionAll(single).groupBy("id").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
 
 
@@ -221,7 +234,7 @@ def remove_passages(located: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SHARD_BYTES):
                 split = [t.split() for t in texts(part.column("text"))]
                 spans = part.column("spans").to_pylist()
                 phrases = Phrases({p for words, some in zip(split, spans, strict=True) if some for p in _passages(words, some, window)})
