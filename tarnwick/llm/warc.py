@@ -38,6 +38,9 @@ from tarnwick.llm.files import put
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
+_PIECE = 1 << 14
+
+
 def holders(pages: DataFrame, least_bytes: int) -> DataFrame:
     """pages plus digest, size, holder: the page whose record keeps the payload, null for itself."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
@@ -114,19 +117,26 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_byt
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(lower-cased headers, block) of each record of an archive, gzipped member by member or plain."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            record, data = member.decompress(data), member.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if view[at : at + 2] == b"\x1f\x8b":
+            member, parts = zlib.decompressobj(31), []
+            while at < len(view) and not member.eof:  # in pieces, as what follows a member is copied
+                parts.append(member.decompress(view[at : at + _PIECE]))
+                at += _PIECE
+            at = min(at, len(view)) - len(member.unused_data)
+            record = b"".join(parts)
         else:
-            record, data = data, b""
-        while record.strip():
-            record = record.lstrip(b"\r\n")
-            head, _, rest = record.partition(b"\r\n\r\n")
+            record, at = bytes(view[at:]), len(view)
+        place = 0
+        while (end := record.find(b"\r\n\r\n", place)) >= 0:
+            head = record[place:end].lstrip(b"\r\n")
+            if not head:
+                break
             headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
-            size = int(headers.get("content-length", len(rest)))
-            yield headers, rest[:size]
-            record = rest[size:]
+            size = int(headers.get("content-length", len(record) - end - 4))
+            yield headers, record[end + 4 : end + 4 + size]
+            place = end + 4 + size + 4  # two line ends close a record
 
 
 _RECORD = pa.schema([("record_id", pa.string()), ("concurrent_to", pa.string()), ("type", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("stated_digest", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("head", pa.string()), ("payload", pa.binary())])
@@ -178,6 +188,8 @@ def resolve(captures: DataFrame) -> DataFrame:
     page = F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1)
     r = "response."
     flat = captures.select("capture_id", F.when(page != "", page.cast("long")).alias("page_id"), F.col(r + "type").alias("record_type"), F.col(r + "refers_to").alias("target"), F.col(r + "stated_digest").alias("stated_digest"), F.col(r + "payload_bytes").alias("own_bytes"), F.col(r + "payload_digest").alias("own_digest"))
-    held = flat.where("record_type = 'response'").groupBy(F.col("capture_id").alias("target")).agg(F.first("page_id").alias("refers_to"), F.first("own_bytes").alias("held_bytes"))
+    spark = captures.sparkSession
+    flat = scratch.table(spark, flat, "captures")
+    held = scratch.table(spark, flat.where("record_type = 'response'").groupBy(F.col("capture_id").alias("target")).agg(F.first("page_id").alias("refers_to"), F.first("own_bytes").alias("held_bytes")), "payload-holders")
     revisit = F.col("record_type") == "revisit"
     return flat.join(held, "target", "left").select("page_id", F.when(revisit, F.col("held_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), F.when(revisit, F.col("stated_digest")).otherwise(F.col("own_digest")).alias("payload_digest"), "record_type", "refers_to")
