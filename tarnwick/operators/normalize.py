@@ -51,15 +51,14 @@ def parse_experience(description: Column) -> Column:
     allowed = description.rlike(r"(?i)internship(?:s)? (?:count|included|accepted)|including internships")
     specific = r"(?i)^\s*(?:of\s+)?(?:experience\s+)?(?:in|with|using)\s+"
 
-    def read(s: Column) -> Column:
-        whole = F.regexp_extract(s, YEARS, 0)
-        number = lambda n: F.nullif(F.regexp_extract(s, YEARS, n), F.lit("")).cast("double")
-        rest = F.regexp_replace(s, r"(?is)^.*?(?:" + YEARS.removeprefix("(?i)") + ")", "")
-        skill_only = rest.rlike(specific) & (F.size(text.tags(rest)) > 0) & ~s.rlike(r"(?i)software|professional|industry|total|work experience")
-        used = (whole != "") & ~s.rlike(OPTIONAL) & ~skill_only
-        return F.struct(used.alias("used"), F.coalesce(number(1), number(3)).alias("low"), number(2).alias("high"), F.trim(s).alias("text"))
-
-    found = F.filter(F.transform(text.sentences(description), read), lambda x: x["used"])
+    # Lambda bodies are interpreted as written, so what is used twice is bound to a field first.
+    number = lambda s, n: F.nullif(F.regexp_extract(s, YEARS, n), F.lit("")).cast("double")
+    after = lambda s: F.regexp_replace(s, r"(?is)^.*?(?:" + YEARS.removeprefix("(?i)") + ")", "")
+    named = F.filter(text.sentences(description), lambda s: s.rlike(YEARS) & ~s.rlike(OPTIONAL))
+    cut = F.transform(named, lambda s: F.struct(F.coalesce(number(s, 1), number(s, 3)).alias("low"), number(s, 2).alias("high"), F.trim(s).alias("text"), after(s).alias("rest")))
+    general = r"(?i)software|professional|industry|total|work experience"
+    found = F.filter(cut, lambda x: ~x["rest"].rlike(specific) | x["text"].rlike(general) | (F.size(text.tags(x["rest"])) == 0))
+
     start = F.struct(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit("").alias("text"), F.lit("MISSING").alias("state"))
 
     def step(best: Column, x: Column) -> Column:
