@@ -17,8 +17,8 @@ no files.
 
 from __future__ import annotations
 
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,38 +34,57 @@ from tarnwick.llm.files import put
 from tarnwick.llm.units import UnitCache
 
 
+#: Pre-tokens a worker remembers before it starts afresh.
+_MOST_TOKENS = 300_000
+_MARKS = ".,;:!?"
+
+
+def byte_letters() -> dict[str, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
 class LibraryEncoder:
-    """Encodes units with the tokenizers library; special strings in a text are ordinary text."""
+    """Encodes units with the tokenizers library; special strings in a text are ordinary text.
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, processors
+    A unit is cut into pre-tokens (plain words directly, anything else by the library's
+    own pre-tokenizer), and the library's model merges those this worker has not met.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        if tokenizer.normalizer is not None:
+            raise ValueError("a byte-level tokenizer without normalizer is needed")
+        self.model, self.split = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = str.maketrans(byte_letters())
+        self.known: dict[str, bytes] = {}
         self.units = UnitCache(self.encode_units)
 
+    def _merged(self, written: str) -> bytes:
+        """Ids of one pre-token as the pre-tokenizer writes it."""
+        found = self.known.get(written)
+        if found is None:
+            if len(self.known) >= _MOST_TOKENS:
+                self.known.clear()
+            found = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            self.known[written] = found
+        return found
+
+    def _encoded(self, unit: bytes) -> bytes:
+        text = unit.decode()
+        word = text.rstrip(_MARKS)
+        if word.removeprefix(" ").isalpha():
+            marks = text[len(word) :]
+            written = word.encode().decode("latin-1").translate(self.letters)
+            return self._merged(written) + (self._merged(marks) if marks else b"")
+        return b"".join([self._merged(written) for written, _ in self.split(text)])
+
     def encode_units(self, units: list[bytes]) -> list[bytes]:
-        """Units that follow a blank are encoded as one text and told apart by offsets."""
-        out = [b""] * len(units)
-        tied = [n for n, u in enumerate(units) if u[:1] == b" "]
-        for lo in range(0, len(tied), 20_000):
-            some = tied[lo : lo + 20_000]
-            strings = [units[n].decode() for n in some]
-            found = self.tokenizer.encode("".join(strings), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.cumsum([len(s) for s in strings])
-            begins = np.array([a for a, _ in found.offsets], np.int64)
-            cuts = np.searchsorted(begins, ends).tolist()
-            start = 0
-            for n, stop in zip(some, cuts, strict=True):
-                out[n] = ids[start:stop].tobytes()
-                start = stop
-        free = [n for n, u in enumerate(units) if u and u[:1] != b" "]
-        for n, e in zip(free, self.tokenizer.encode_batch([units[n].decode() for n in free], add_special_tokens=False), strict=True):
-            out[n] = np.array(e.ids, "<u4").tobytes()
-        return out
+        return [self._encoded(u) for u in units]
 
 
 _loaded: dict[str, LibraryEncoder] = {}
