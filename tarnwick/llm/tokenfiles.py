@@ -36,6 +36,8 @@ from tarnwick.llm.units import UnitCache
 
 #: Pre-tokens a worker remembers before it starts afresh.
 _MOST_TOKENS = 300_000
+#: Bytes of text that are split at a time; small enough for the pieces to stay in the processor's cache.
+_SLICE_BYTES = 256 << 10
 _MARKS = ".,;:!?"
 
 
@@ -159,7 +161,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str, e
         encoder = load(path)
         counts: list[dict] = []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE_BYTES):
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.units.texts(texts(part.column("text"))), strict=True):
                     counts += writer.add(doc, ids + end)
         counts += writer.flush()
