@@ -23,6 +23,7 @@ than a window lose none; a repeated row makes every window of its text recur.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -171,8 +172,8 @@ def emit_windows(listed: DataFrame, window: int) -> DataFrame:
     return listed.mapInArrow(run, "anchor long, content long, id long, first int, weight long, part boolean")
 
 
-def confirmed(spark: SparkSession, distinct: DataFrame, window: int, anchor_words: int) -> DataFrame:
-    """(id, spans): the stretches of recurring windows of each text that has some."""
+def confirmed(spark: SparkSession, distinct: DataFrame, window: int, anchor_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, spans): the stretches of recurring windows of each text that has some; and the tables it reads."""
     every = scratch.table(spark, emit_runs(distinct, window, anchor_words), "runs")
     met = F.sum(F.when(F.col("inside"), 2).otherwise(F.col("copies")))
     again = scratch.table(spark, every.groupBy("anchor").agg(met.alias("times")).where("times > 1").select("anchor"), "anchors")
@@ -180,13 +181,15 @@ def confirmed(spark: SparkSession, distinct: DataFrame, window: int, anchor_word
     scratch.drop(spark, every)
     by_run = scratch.table(spark, some.groupBy("anchor", "run").agg(F.sum("copies").alias("times"), F.max("inside").alias("inside"), F.min(F.struct("id", "first", "windows")).alias("at")), "distinct-runs")
     mixed = by_run.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.max("inside").alias("inside")).where("(kinds > 1 or inside) and fewest = 1").select("anchor")
-    edges = by_run.join(scratch.table(spark, mixed, "mixed-anchors"), "anchor", "left_semi").select("anchor", "at.*", F.least("times", F.lit(2)).alias("weight"), (F.col("times") == 1).alias("part"))
+    mixed = scratch.table(spark, mixed, "mixed-anchors")
+    edges = by_run.join(mixed, "anchor", "left_semi").select("anchor", "at.*", F.least("times", F.lit(2)).alias("weight"), (F.col("times") == 1).alias("part"))
     lists = edges.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "windows", "weight", "part")).alias("runs"))
     windows = scratch.table(spark, emit_windows(distinct.select("id", "text").join(lists, "id"), window), "windows")
     twice = scratch.table(spark, windows.groupBy("anchor", "content").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "content"), "recurring-windows")
     single = windows.where("part").join(twice, ["anchor", "content"], "left_semi").select("id", "first", F.lit(1).alias("windows"))
     whole = some.join(by_run.where("times > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("id", "first", "windows")
-    return whole.unionAll(single).groupBy("id").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    spans = whole.unionAll(single).groupBy("id").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    return spans, [again, some, by_run, mixed, windows, twice]
 
 
 class Phrases:
@@ -230,7 +233,11 @@ def _passages(words: list[bytes], spans: list[dict], window: int) -> Iterator[tu
 
 
 def remove_passages(located: DataFrame, window: int) -> DataFrame:
-    """(id, text, spans) -> (id, n_words, n_removed, kept_text): kept words joined by single blanks."""
+    """(text_key, text, spans) -> (text_key, n_words, n_removed, kept_sha256, kept_text).
+
+    Kept words are joined by single blanks; kept_text is null where nothing is removed,
+    so unchanged texts do not travel on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,15 +247,17 @@ def remove_passages(located: DataFrame, window: int) -> DataFrame:
                 phrases = Phrases({p for words, some in zip(split, spans, strict=True) if some for p in _passages(words, some, window)})
                 rows = []
                 for words, some in zip(split, spans, strict=True):
+                    removed, kept = 0, words
                     if some:
                         gone = phrases.covered(words)
-                        rows.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
-                    else:
-                        rows.append((len(words), 0, b" ".join(words)))
-                n_words, n_removed, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
+                        removed, kept = int(gone.sum()), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    left = b" ".join(kept)
+                    rows.append((len(words), removed, hashlib.sha256(left).hexdigest(), left if removed else None))
+                n_words, n_removed, digest, kept_text = zip(*rows, strict=True)
+                columns = [part.column("text_key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept_text, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["text_key", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return located.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
+    return located.mapInArrow(run, "text_key string, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = 35, anchor_words: int = 8, keep_text: bool = True) -> DataFrame:
@@ -258,12 +267,12 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", win
     """
     results = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     distinct = scratch.table(spark, distinct_texts(docs, text), "texts")
-    spans = confirmed(spark, distinct, window, anchor_words)
-    done = remove_passages(distinct.select("id", "text").join(spans, "id", "left"), window)
-    done = done.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256))
-    keys = distinct.select("id", F.md5(F.col("text").cast("binary")).alias("__text_key"))
-    kept = done if keep_text else done.drop("kept_text")
-    found = scratch.table(spark, kept.join(keys, "id").drop("id"), "kept")
+    spans, tables = confirmed(spark, distinct, window, anchor_words)
+    located = distinct.select("id", "text").join(spans, "id", "left").select(F.md5(F.col("text").cast("binary")).alias("text_key"), "text", "spans")
+    done = remove_passages(located, window).withColumnRenamed("text_key", "__text_key")
+    found = scratch.table(spark, done if keep_text else done.drop("kept_text"), "kept")
+    for done_with in [distinct, *tables]:
+        scratch.drop(spark, done_with)
     keyed = docs.drop(*results).withColumn("__text_key", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     if not keep_text:
         return keyed.drop(text).join(found, "__text_key").drop("__text_key")
