@@ -35,7 +35,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def append_columns(df: DataFrame, text: str, fields: list[T.StructField], work: Callable[[list[bytes]], list[pa.Array]]) -> DataFrame:
+def append_columns(df: DataFrame, text: str, fields: list[T.StructField], work: Callable[[list[bytes]], list[pa.Array]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """df plus fields computed from whole texts, partition by partition, no shuffle.
 
     work maps a list of UTF-8 texts to one Arrow array per field. Columns of df
@@ -47,7 +47,7 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], work:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, slice_bytes):
                 columns = [part.column(f.name) for f in kept] + work(texts(part.column(text)))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + names)
 

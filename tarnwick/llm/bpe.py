@@ -27,6 +27,8 @@ from tarnwick.llm.batches import append_columns
 from tarnwick.llm.units import UnitCache
 
 _BUCKETS = (4, 6, 8, 12, 16, 24, 32, 64)
+#: Bytes of text that are split and merged at a time; bounds what a worker holds beside its cache.
+_SLICE_BYTES = 1 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -181,7 +183,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         ids = load(path, pattern).units.texts(batch)
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
-    return append_columns(docs, text, [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], work)
+    return append_columns(docs, text, [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], work, _SLICE_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -207,4 +209,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, hashes)] + [pa.array(ids, pa.binary())] * keep_ids
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return append_columns(docs, text, fields + [T.StructField("token_ids", T.BinaryType())] * keep_ids, work)
+    return append_columns(docs, text, fields + [T.StructField("token_ids", T.BinaryType())] * keep_ids, work, _SLICE_BYTES)

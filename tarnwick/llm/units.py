@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Units a worker remembers before it starts afresh; bounds its memory, never its results.
-MOST_UNITS = 600_000
+MOST_UNITS = 300_000
 #: Longer units are encoded when met and not remembered.
 LONGEST_KEPT = 200
 
