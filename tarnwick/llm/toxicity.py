@@ -185,9 +185,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     def work(batch: list[bytes]) -> list[pa.Array]:
         return [pa.array([chooser.inputs(t) for t in batch], pa.list_(pa.int32()))]
 
-    rows = append_columns(labelled, "text", [T.StructField("inputs", T.ArrayType(T.IntegerType()))], work).select("inputs", "label").toPandas()
-    order = sorted(range(len(rows)), key=lambda n: (rows["label"][n], rows["inputs"][n].tolist()))
-    return fit_machine([rows["inputs"][n].tolist() for n in order], rows["label"].to_numpy(float)[order], index)
+    found = append_columns(labelled, "text", [T.StructField("inputs", T.ArrayType(T.IntegerType()))], work).select("label", "inputs").collect()
+    rows = sorted((r["label"], r["inputs"]) for r in found)
+    return fit_machine([inputs for _, inputs in rows], np.array([label for label, _ in rows], float), index)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", predict_at: float = 0.7) -> DataFrame:
