@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick import scratch
-from tarnwick.llm import bpe, decontaminate, passages, quality, simhash
+from tarnwick.llm import bpe, decontaminate, neardup, passages, quality
 from tarnwick.tables import read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group whose five-word shingles are alike by 0.8 or more stays."""
     scratch.sweep(spark)  # the stage before has been stored
-    return simhash.keep_one(spark, docs)
+    return neardup.keep_one(spark, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
