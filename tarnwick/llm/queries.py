@@ -58,7 +58,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "tokens")
-    manifest = tokenfiles.write_tokens(spark, read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = tokenfiles.write_tokens(spark, read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return tokenfiles.read_documents(spark, folder, manifest)
 
 

@@ -49,7 +49,11 @@ def byte_letters() -> dict[str, str]:
 
 
 class LibraryEncoder:
-    """Encodes units with the tokenizers library; special strings in a text are ordinary text.
+    """Encodes texts as the tokenizers library does without its post-processor.
+
+    A text that holds an added token of the tokenizer goes through the library as a
+    whole, unless ``added_tokens`` is false: then it is ordinary text, as with the
+    library's ``encode_special_tokens``.
 
     A unit is cut into pre-tokens (plain words directly, anything else by the library's
     own pre-tokenizer), and the library's model merges those this worker has not met.
@@ -62,6 +66,8 @@ class LibraryEncoder:
         if tokenizer.normalizer is not None:
             raise ValueError("a byte-level tokenizer without normalizer is needed")
         self.model, self.split = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.tokenizer = tokenizer
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
         self.letters = str.maketrans(byte_letters())
         self.known: dict[str, bytes] = {}
         self.units = UnitCache(self.encode_units)
@@ -88,6 +94,17 @@ class LibraryEncoder:
     def encode_units(self, units: list[bytes]) -> list[bytes]:
         return [self._encoded(u) for u in units]
 
+    def texts(self, batch: list[bytes], added_tokens: bool = True) -> list[bytes]:
+        """Packed ids of each text."""
+        whole = [n for n, t in enumerate(batch) if any(a in t for a in self.added)] if added_tokens else []
+        if not whole:
+            return self.units.texts(batch)
+        skip = set(whole)
+        out = self.units.texts([b"" if n in skip else t for n, t in enumerate(batch)])
+        for n in whole:
+            out[n] = array("I", self.tokenizer.encode(batch[n].decode(), add_special_tokens=False).ids).tobytes()
+        return out
+
 
 _loaded: dict[str, LibraryEncoder] = {}
 
@@ -148,8 +165,11 @@ class _Writer:
         yield counts
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str, end_id: int = 2, length: int = 2048, vocabulary: int = 50_257, file_tokens: int = 4 << 20, partition_bytes: int = 24 << 20) -> DataFrame:
-    """Write docs (doc_id, text) below folder; returns the manifest (file, n_docs, n_tokens)."""
+def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str, end_id: int = 2, length: int = 2048, vocabulary: int = 50_257, file_tokens: int = 4 << 20, partition_bytes: int = 24 << 20, added_tokens: bool = False) -> DataFrame:
+    """Write docs (doc_id, text) below folder; returns the manifest (file, n_docs, n_tokens).
+
+    With added_tokens, added tokens of the tokenizer are found in texts as the library does by default.
+    """
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     salt = F.xxhash64("text")
@@ -162,7 +182,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str, e
         counts: list[dict] = []
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.units.texts(texts(part.column("text"))), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.texts(texts(part.column("text")), added_tokens), strict=True):
                     counts += writer.add(doc, ids + end)
         counts += writer.flush()
         if counts:
