@@ -32,6 +32,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """An empty folder that can be read even if no task writes into it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return a scan of what was written."""
     path = new_path(spark, name)
