@@ -13,7 +13,8 @@ execution splits where one payload is hot.
 
 Edge cases: a null html is an empty payload, a null url has no target; a null
 page_id ranks below all others and is read back as null. Identical rows give
-identical records: each is written and read back. No pages, no archives.
+identical records: each is written and read back. Only page_id, url and html are
+read, whatever else the table holds. No pages, no archives, and no captures.
 """
 
 from __future__ import annotations
@@ -83,6 +84,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_bytes: int = 1000, file_bytes: int = 16 << 20, date: str = "2024-01-31T00:00:00Z") -> DataFrame:
     """Write pages (page_id, url, html) below folder; returns the manifest (file, n_records)."""
+    scratch.make_folder(spark, folder)
     ready = holders(pages, least_bytes).select("page_id", "url", F.when(~F.col("revisits"), F.col("html")).alias("html"), "digest", "holder", "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +175,22 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: its response or revisit with the request and metadata tied to it."""
-    main = records.where("type in ('response', 'revisit')")
-    sides = {}
-    for kind, columns in (("request", ["record_id", "head"]), ("metadata", ["record_id", "payload"])):
-        one = records.where(F.col("type") == kind).dropDuplicates(["concurrent_to"])
-        sides[kind] = one.select(F.col("concurrent_to").alias("capture_id"), F.struct(*columns).alias(kind))
-    response = F.struct("record_id", "type", "target_uri", "date", "refers_to", "stated_digest", "payload_digest", "payload_bytes", "head", "payload").alias("response")
-    return main.select(F.col("record_id").alias("capture_id"), response).join(sides["request"], "capture_id", "left").join(sides["metadata"], "capture_id", "left")
+    """One nested row per capture: its response or revisit with the request and metadata tied to it.
+
+    Records are parsed once and meet in one aggregation by the identifier that ties
+    them, combined map-side; columns that nobody reads never enter it. A capture that
+    was written n times is n rows.
+    """
+    main, tied = ("type", "refers_to", "stated_digest", "payload_digest", "payload_bytes", "head", "payload"), {"request": ("record_id", "head"), "metadata": ("record_id", "payload")}
+    own = F.col("type").isin("response", "revisit")
+    columns = [F.max(F.when(own, F.col(c))).alias(f"response_{c}") for c in main]
+    for kind, names in tied.items():
+        columns += [F.max(F.when(F.col("type") == kind, F.col(c))).alias(f"{kind}_{c}") for c in names]
+    key = F.when(own, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id")
+    met = records.where(own | F.col("type").isin(*tied)).groupBy(key, "target_uri", "date").agg(F.sum(own.cast("long")).alias("times"), *columns).where("times > 0")
+    response = F.struct(F.col("capture_id").alias("record_id"), "target_uri", "date", *[F.col(f"response_{c}").alias(c) for c in main]).alias("response")
+    sides = [F.when(F.col(f"{kind}_record_id").isNotNull(), F.struct(*[F.col(f"{kind}_{c}").alias(c) for c in names])).alias(kind) for kind, names in tied.items()]
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("capture_id", response, *sides)
 
 
 def resolve(captures: DataFrame) -> DataFrame:

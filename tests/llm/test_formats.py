@@ -50,6 +50,13 @@ def test_plain_and_joined_archives_parse():
 def test_no_pages(spark):
     folder = scratch.new_path(spark, "warc")
     assert warc.write_archives(spark, pages(spark).limit(0), folder).count() == 0
+    assert warc.resolve(warc.assemble(warc.read_records(spark, folder))).count() == 0
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {name: query(spark, str(tmp_path)).count() for name, query in queries.queries().items()} == dict.fromkeys(queries.queries(), 0)
 
 
 @pytest.mark.parametrize(("shards", "size"), [(["a"], 7), (["a", "b", "c"], 13), ([f"s{n}" for n in range(20)], 251)])
