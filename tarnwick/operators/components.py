@@ -1,9 +1,11 @@
 """Connected components of an edge table, by large-star and small-star rounds.
 
-No adjacency list is ever gathered: each round is two aggregations and two
-equi-joins on the vertex, so a hub with any number of neighbours is only the hot
-key of a join, which adaptive execution splits. Rounds grow with the logarithm of
-the longest path (Kiveris et al., "Connected components in MapReduce and beyond").
+No adjacency list is ever gathered: each round is two aggregations, combined
+map-side, and two joins on the vertex. A hub is not dealt to one task: at most
+``rows / limit`` vertices can have more than ``limit`` rows, so a bounded table of
+these is broadcast and their rows are joined where they are; all other vertices have
+few rows each. Rounds grow with the logarithm of the longest path (Kiveris et al.,
+"Connected components in MapReduce and beyond").
 """
 
 from __future__ import annotations
@@ -13,15 +15,27 @@ from pyspark.sql import functions as F
 
 from tarnwick import scratch
 
+#: No more than this many hubs are broadcast.
+MOST_HUBS = 1000
 
-def _round(edges: DataFrame) -> DataFrame:
+
+def with_least(rows: DataFrame, key: str, value: str, n_rows: int, hub_rows: int = 256) -> DataFrame:
+    """rows plus m, the least value of their key (null only if no value is known); n_rows: how many rows there are at most."""
+    limit = max(hub_rows, n_rows // MOST_HUBS)
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > limit).select(key, F.col("m").alias("hub_m"), F.lit(True).alias("hub")))
+    known = rows.join(hubs, key, "left")
+    rest = known.where("hub is null").drop("hub", "hub_m").join(least.where(F.col("n") <= limit).drop("n"), key)
+    return known.where("hub").withColumnRenamed("hub_m", "m").drop("hub").unionByName(rest)
+
+
+def _round(edges: DataFrame, n_edges: int) -> DataFrame:
     """edges: (hi, lo), hi > lo, distinct."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-    down = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-    moved = large.withColumnRenamed("hi", "u").join(down, "u").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionAll(down.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
+    large = with_least(both, "u", "v", 2 * n_edges).where("v > u").select(F.col("v").alias("hi"), F.least("m", "u").alias("lo"))
+    met = with_least(large, "hi", "lo", n_edges)
+    moved = met.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    return moved.unionAll(met.select("hi", F.col("m").alias("lo"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple[int, int | None]:
@@ -39,7 +53,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     current = scratch.table(spark, edges.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
     seen = _mark(current)
     for _ in range(max_rounds):
-        following = scratch.table(spark, _round(current), "edges")
+        following = scratch.table(spark, _round(current, seen[0]), "edges")
         scratch.drop(spark, current)
         current, before = following, seen
         seen = _mark(current)
