@@ -1,21 +1,23 @@
-"""Near duplicates by five-word shingles with a Jaccard similarity of 0.8 or more.
+"""Near-duplicate groups: SimHash candidates, verified by exact word shingles.
 
-Candidates come from MinHash: 240 minima of a text's shingle hashes in 40 bands of
-six. Two texts of similarity s share a band with probability 1 - (1 - s**6)**40,
-which is 0.999995 at 0.8 and more above; that is the only place where a pair can be
-missed. Every candidate is then compared by its exact shingles, and components are
-built from the links that hold, so no chance collision drops a text.
+Candidates are the components of the vantage-point forest (see simhash) over four
+fingerprints of a text's five-word shingles, 16 trees of 16 bits each, that differ
+in at most 56 of 256 bits. Two texts whose shingles have a Jaccard similarity of 0.8
+differ in 15 % of the bits; they are within one bit in some block with probability
+0.99 and within 56 bits in all with probability 0.998. The tests measure the recall.
 
-A band's texts are first compared with the band's first text only. Texts that this
-ties need not be compared with one another. Bands that still hold more than one
-component become shards of at most two chunks of texts, in which all pairs across
-components are compared, each pair in the first band that it shares. A shard
-returns a spanning forest of its links, never all pairs.
+Candidates are then compared by their exact shingles and groups are built from the
+links that hold, so no chance collision drops a text. In each of ``rounds`` rounds one
+text of a component that is not yet one group is compared with all others and
+leaves; components that then still hold several groups are dealt into chunks, and
+every pair of chunks is a shard in which all pairs across groups are compared. A shard returns
+a spanning forest of its links, never all pairs.
 
 Only distinct texts are compared. Edge cases: a text of fewer than five words has
 one shingle, the text; null, empty and blank texts have none and are alike. Case of
 A-Z and the kind of white space do not count. Rows with a null doc_id are kept only
-if no row of their group has one.
+if no row of their group has one; of rows that share id and text one is kept, the
+first by all its columns. Extra columns pass through. No documents, no rows.
 """
 
 from __future__ import annotations
@@ -27,17 +29,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarnwick import scratch
-from tarnwick.llm.batches import LOWER, append_columns
+from tarnwick.llm.batches import LOWER
 from tarnwick.llm.batches import texts as texts_of
-from tarnwick.llm.simhash import Forest
+from tarnwick.llm.simhash import Ties, add_fingerprints, components, text_key
 from tarnwick.operators.components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 6
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: How candidates are searched: fingerprints a text, blocks (trees) a fingerprint, bits within a block, bits in all.
+SEARCH = {"blocks": 4, "reach": 1, "radius": 56}
+PRINTS = 4
 
 
 def shingles(text: bytes) -> set[bytes]:
@@ -56,40 +58,23 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def bands(text: bytes) -> list[int]:
-    """One signed 64-bit key a band; equal keys make two texts candidates."""
-    found = shingles(text)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), 256):  # small enough for the processor's cache
-        np.minimum(least, np.multiply.outer(_FACTORS, hashes[lo : lo + 256]).min(axis=1), out=least)
-    packed, width = least.tobytes(), 8 * ROWS
-    keys = [xxhash.xxh64_intdigest(packed[n * width : (n + 1) * width], n) for n in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def _text_key(text: str) -> F.Column:
-    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-
-
 def verified(spark: SparkSession, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Those (a, b) whose texts are similar; bodies (node, text) has one row a node."""
     both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [similarity(shingles(x.encode()), shingles(y.encode())) >= SIMILARITY for x, y in zip(*(map(lambda t: t.as_py() or "", batch.column(n)) for n in ("text_a", "text_b")), strict=True)]
+            near = [similarity(shingles((x.as_py() or "").encode()), shingles((y.as_py() or "").encode())) >= SIMILARITY for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return scratch.table(spark, both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def link_across(place: int, nodes: list[int], roots: list[int], chunks: list[int], keys: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between components in one shard.
+def link_across(nodes: list[int], roots: list[int], chunks: list[int], texts: list[bytes]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between groups in one shard; across chunks only if the shard has two.
 
-    Two texts meet only in the first band that they share, and only across chunks if
-    the shard has two. Sizes of intersections come from hashed shingles, all texts at
-    once; a link that these show is confirmed by the shingles themselves.
+    Sizes of intersections come from hashed shingles, all texts at once; a link that
+    these show is confirmed by the shingles themselves.
     """
     hashes = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(t)), np.uint64)) for t in texts]
     hashes = [h if len(h) else np.zeros(1, np.uint64) for h in hashes]
@@ -98,69 +83,76 @@ def link_across(place: int, nodes: list[int], roots: list[int], chunks: list[int
     begin = np.concatenate([[0], size.cumsum()])
     mark = np.zeros(int(ids.max()) + 1, np.int32)
     names, root = np.unique(roots, return_inverse=True)
-    chunk, forest, found = np.array(chunks), Forest(len(names)), []
+    chunk, ties, found = np.array(chunks), Ties(len(names)), []
     two = chunk.min() != chunk.max()
     for i in range(len(nodes) - 1):
         rest = slice(i + 1, None)
         todo = (root[rest] != root[i]) & (np.minimum(size[rest], size[i]) >= SIMILARITY * np.maximum(size[rest], size[i]) - 1e-6)
         if two:
             todo &= chunk[rest] != chunk[i]
-        todo &= (keys[rest] == keys[i]).argmax(axis=1) == place
         if not todo.any():
             continue
-        own = ids[begin[i] : begin[i + 1]]
-        mark[own] = 1
+        mark[ids[begin[i] : begin[i + 1]]] = 1
         both = np.add.reduceat(mark[ids[begin[i + 1] :]], begin[i + 1 : -1] - begin[i + 1])
-        mark[own] = 0
+        mark[ids[begin[i] : begin[i + 1]]] = 0
         for j in (np.flatnonzero(todo & (both >= SIMILARITY * (size[rest] + size[i] - both) - 1e-6)) + i + 1).tolist():
-            if forest.root(root[i]) != forest.root(root[j]) and similarity(shingles(texts[i]), shingles(texts[j])) >= SIMILARITY:
-                forest.tie(root[i], root[j])
+            if ties.root(root[i]) != ties.root(root[j]) and similarity(shingles(texts[i]), shingles(texts[j])) >= SIMILARITY:
+                ties.tie(root[i], root[j])
                 found.append((nodes[i], nodes[j]))
     return found
 
 
 def across(spark: SparkSession, members: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(band, place, node, root, chunks) -> (a, b): links that join what is alike in a band but not yet in one component.
-
-    A band of more than one chunk becomes a shard for every pair of its chunks, so no
-    task holds more than two chunks.
-    """
+    """(root, node, own_root, chunks) -> (a, b): links that join what is alike in a component but not yet in one group."""
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = members.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sharded = dealt.select("band", "place", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "root", "chunk")
+    sharded = dealt.select("root", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "own_root", "chunk")
 
     def solve(shard: pa.Table) -> pa.Table:
-        column = {n: shard.column(n).to_pylist() for n in ("node", "root", "chunk")}
-        keys = np.array(shard.column("bands").to_pylist(), np.int64)
-        found = link_across(shard.column("place")[0].as_py(), column["node"], column["root"], column["chunk"], keys, texts_of(shard.column("text")))
+        column = {n: shard.column(n).to_pylist() for n in ("node", "own_root", "chunk")}
+        found = link_across(column["node"], column["own_root"], column["chunk"], texts_of(shard.column("text")))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return scratch.table(spark, sharded.join(bodies, "node").groupBy("band", "place", "lo", "hi").applyInArrow(solve, "a long, b long"), "links")
-
+    return scratch.table(spark, sharded.join(bodies.select("node", "text"), "node").groupBy("root", "lo", "hi").applyInArrow(solve, "a long, b long"), "links")
 
-def near_groups(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_rows: int = 256) -> DataFrame:
-    """One row per distinct text: text_key, node, root (least node of its group), least (its least doc_id, null if none)."""
 
-    def work(batch: list[bytes]) -> list[pa.Array]:
-        return [pa.array([bands(t) for t in batch], pa.list_(pa.int64()))]
+def candidates(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, text, text_key) -> points (node, text_key, least, prints), one a text, and (node, root) of its SimHash component."""
+    printed = add_fingerprints(rows, "text", WORDS, PRINTS).select("doc_id", "text_key", "prints")
+    points = scratch.table(spark, printed.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id()), "points")
+    # Texts with equal fingerprints are one point of the forest.
+    distinct = scratch.table(spark, points.groupBy("prints").agg(F.min("node").alias("node")), "distinct-prints")
+    joined = components(spark, distinct.select("node", "prints"), **SEARCH)
+    rooted = distinct.join(joined, "node", "left").select("prints", F.coalesce("root", "node").alias("root"))
+    return points, scratch.table(spark, points.select("node", "prints").join(rooted, "prints").select("node", "root"), "candidates")
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _text_key(text).alias("text_key"))
-    sketched = append_columns(rows, "text", [T.StructField("bands", T.ArrayType(T.LongType()))], work).select("doc_id", "text_key", "bands")
-    points = scratch.table(spark, sketched.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "points")
-    placed = points.select("node", F.posexplode("bands").alias("place", "band"))
-    shared = scratch.table(spark, placed.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first"), "bands")
-    members = scratch.table(spark, placed.join(shared, "band"), "members")
 
-    known = members.select("node").distinct().join(points.select("node", "text_key"), "node")
-    bodies = scratch.table(spark, rows.select("text_key", "text").join(known, "text_key").groupBy("node").agg(F.first("text").alias("text")), "bodies")
-    stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(spark, stars, bodies)
-
-    joined = scratch.table(spark, connected_components(spark, links), "joined")
-    # The first text of a band has met all others already.
-    rooted = scratch.table(spark, members.where("node <> first").join(joined, "node", "left").select("band", "place", "node", F.coalesce("component", "node").alias("root")), "rooted")
-    mixed = scratch.table(spark, rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")).where("lo <> hi").select("band", "chunks"), "mixed")
-    links = links.unionAll(across(spark, rooted.join(mixed, "band"), bodies.join(points.select("node", "bands"), "node")))
+def near_groups(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = 2, chunk_rows: int = 256, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """One row per distinct text: text_key, node, root (least node of its group), least (its least doc_id, null if none)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("text_key"))
+    points, rooted = candidates(spark, rows)
+    many = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    members = scratch.table(spark, rooted.join(many, "root"), "members")
+    known = members.select("node").join(points.select("node", "text_key"), "node")
+    bodies = scratch.table(spark, rows.select("text_key", "text").join(known, "text_key").groupBy("node").agg(F.first("text").alias("text")).withColumn("bytes", F.octet_length("text")), "bodies")
+
+    links = spark.createDataFrame([], "a long, b long")
+    left = members.withColumn("own_root", F.col("node"))
+    for _ in range(rounds):
+        # One text of the last group of each component that is still apart meets all others.
+        lead = F.max(F.struct("own_root", "node"))
+        leaders = scratch.table(spark, left.groupBy("root").agg(F.min("own_root").alias("lo"), lead.alias("lead")).where("lo <> lead.own_root").select("root", F.col("lead.own_root").alias("group"), F.col("lead.node").alias("a")), "leaders")
+        if leaders.isEmpty():
+            break
+        met = left.join(leaders, "root")
+        links = links.unionAll(verified(spark, met.where("own_root <> group").select("a", F.col("node").alias("b")), bodies))
+        joined = connected_components(spark, links)
+        left = scratch.table(spark, met.where("node <> a").select("root", "node").join(joined, "node", "left").select("root", "node", F.coalesce("component", "node").alias("own_root")), "left")
+    size = F.greatest(F.count("*") / chunk_rows, F.sum("bytes") / chunk_bytes)
+    mixed = left.join(bodies.select("node", "bytes"), "node").groupBy("root").agg(F.min("own_root").alias("lo"), F.max("own_root").alias("hi"), F.ceil(size).cast("int").alias("chunks")).where("lo <> hi").select("root", "chunks")
+    mixed = scratch.table(spark, mixed, "mixed")
+    if not mixed.isEmpty():
+        links = links.unionAll(across(spark, left.join(mixed, "root"), bodies))
 
     named = connected_components(spark, links).select("node", F.col("component").alias("root"))
     return scratch.table(spark, points.select("text_key", "node", "least").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "groups")
@@ -170,5 +162,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: s
     """docs with one row of each group: the one of least doc_id (null last), then text key."""
     first = near_groups(spark, docs, text, doc_id, **how).groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "text_key")).alias("kept"))
     chosen = first.select(F.coalesce(F.col("kept.least").cast("string"), F.lit("")).alias("__id"), F.col("kept.text_key").alias("__key"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__key": _text_key(text)})
-    return keyed.join(chosen, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__key": text_key(text)})
+    # Rows that share id and text differ only in other columns: the least of these stays, whatever the partitioning.
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
+    row = keyed.join(chosen, ["__id", "__key"], "left_semi").withColumn("__rest", rest)
+    return row.groupBy("__id", "__key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__rest").alias("__row")).select("__row.*")

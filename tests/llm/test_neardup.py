@@ -2,35 +2,16 @@
 
 import random
 
-import numpy as np
 import pytest
-import test_pipeline_brute
+from test_pipeline_brute import grams, groups
 
 import corpus_pipeline
 from tarnwick.llm import neardup
 
 
-def grams(text):
-    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
-    k = min(5, len(w))
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
-
-
 def brute_kept(rows):
     """doc_ids that stay: the least of each component of pairs with Jaccard >= 0.8."""
-    sets, parent = [grams(t) for _, t in rows], list(range(len(rows)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return {rows[n][0] for n in range(len(rows)) if root(n) == n}
+    return {rows[n][0] for n, first in enumerate(groups([grams(t) for _, t in rows])) if n == first}
 
 
 def graded_documents():
@@ -66,22 +47,35 @@ def test_chunks_miss_no_link(spark, chunk_rows):
     assert {r["doc_id"] for r in neardup.keep_one(spark, docs, chunk_rows=chunk_rows).collect()} == brute_kept(rows)
 
 
-def test_shard_links_what_the_first_text_missed():
-    """Two texts that are alike, each unlike the others of the band."""
-    rows = [t for _, t in graded_documents() if len(t.split()) == 200][:60]
-    texts, keys = [t.encode() for t in rows], np.array([[7] * 40] * len(rows))
-    found = neardup.link_across(0, list(range(len(rows))), list(range(len(rows))), [0] * len(rows), keys, texts)
-    parent = list(range(len(rows)))
+@pytest.mark.parametrize("rounds", [0, 1, 5])
+def test_rounds_do_not_matter(spark, rounds):
+    rows = graded_documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in neardup.keep_one(spark, docs, rounds=rounds).collect()} == brute_kept(rows)
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs of texts whose similarity is just above 0.8, at least 0.97 are candidates."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    pairs = []
+    while len(pairs) < 500:
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for n in rng.sample(range(300), 7):
+            copy[n] = word()
+        a, b = grams(" ".join(base)), grams(" ".join(copy))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.83:
+            pairs.append((" ".join(base), " ".join(copy)))
+    rows = [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert neardup.keep_one(spark, docs).count() <= 500 + 15
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in found:
-        x, y = root(a), root(b)
-        parent[max(x, y)] = min(x, y)
-    assert {n for n in range(len(rows)) if root(n) == n} == brute_kept(list(enumerate(rows)))
+def test_repeated_rows_keep_the_least_by_all_columns(spark):
+    rows = [(1, "one text of five words", "b"), (1, "one text of five words", "a"), (2, "one text of five words", "a"), (None, "other", "x"), (None, "other", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    assert sorted((tuple(r) for r in neardup.keep_one(spark, docs).collect()), key=str) == [(1, "one text of five words", "a"), (None, "other", "w")]
 
 
 def test_odd_documents(spark, odd_documents, no_documents):
@@ -90,26 +84,3 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns
     assert {r["doc_id"] for r in kept.collect()} == brute_kept(rows)
     assert neardup.keep_one(spark, no_documents).count() == 0
-
-
-def test_pipeline_equals_plain_python_by_shingles(spark, monkeypatch):
-    """The plain pipeline of test_pipeline_brute with this stage's rule for near copies."""
-
-    def components(sets):
-        parent = list(range(len(sets)))
-
-        def root(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a in range(len(sets)):
-            for b in range(a):
-                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                    x, y = root(a), root(b)
-                    parent[max(x, y)] = min(x, y)
-        return [root(n) for n in range(len(sets))]
-
-    monkeypatch.setattr(test_pipeline_brute, "slow_print", grams)
-    monkeypatch.setattr(test_pipeline_brute, "components", components)
-    test_pipeline_brute.test_pipeline_equals_plain_python(spark)

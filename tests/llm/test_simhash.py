@@ -48,28 +48,17 @@ def test_odd_documents(spark, odd_documents):
 
 def test_none(spark, no_documents):
     assert simhash.near_duplicates(spark, no_documents).count() == 0
-    assert simhash.keep_one(spark, no_documents).count() == 0
 
 
-def test_keep_one(spark, odd_documents):
-    kept = simhash.keep_one(spark, odd_documents)
-    assert kept.columns == odd_documents.columns
-    groups = {r["component_id"] for r in simhash.near_duplicates(spark, odd_documents).collect()}
-    assert kept.count() == len(groups)
-
-
-@pytest.mark.parametrize("leaf_rows", [8, 40, 10_000])
-def test_forest_finds_every_link(spark, leaf_rows):
-    rng = random.Random(leaf_rows)
+def clouds(seed):
+    rng = random.Random(seed)
     centre = [rng.getrandbits(64) for _ in range(3)]
     points = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centre for _ in range(90)} | {rng.getrandbits(64) for _ in range(200)} | {0, 2**64 - 1}
-    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(points)]
-    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
-    edges = [(r["a"], r["b"]) for r in simhash.links(simhash.shards(frame, 4, leaf_rows), 4).collect()]
-    unsigned = [p & (1 << 64) - 1 for p in signed]
-    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in edges)
-    place = {p: n for n, p in enumerate(signed)}
-    parent = list(range(len(signed)))
+    return sorted(points)
+
+
+def grouped(n, edges):
+    parent = list(range(n))
 
     def root(x):
         while parent[x] != x:
@@ -77,23 +66,58 @@ def test_forest_finds_every_link(spark, leaf_rows):
         return x
 
     for a, b in edges:
-        x, y = root(place[a]), root(place[b])
+        x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
-    assert [root(n) for n in range(len(signed))] == components(unsigned)
+    return [root(k) for k in range(n)]
+
+
+@pytest.mark.parametrize(("leaf_rows", "most_rows", "sample_rows"), [(8, 8, 400), (8, 40, 50), (40, 90, 400), (1024, 10_000, 400), (16, 10_000, 1)])
+def test_forest_finds_every_link(spark, leaf_rows, most_rows, sample_rows):
+    points = clouds(leaf_rows + most_rows)
+    frame = spark.createDataFrame([(n, [p - (1 << 64) if p >> 63 else p]) for n, p in enumerate(points)], "node long, prints array<long>")
+    sample = np.array(points[:: max(1, len(points) // sample_rows)], np.uint64).reshape(-1, 1)
+    forest = simhash.Forest.grow(sample, len(points), 3, 1, 4, leaf_rows)
+    sharded = simhash.shards(spark, frame, forest, most_rows)
+    if most_rows < 50:
+        assert sharded.groupBy("shard").count().agg({"count": "max"}).first()[0] < len(points) / 2
+    edges = [(r["a"], r["b"]) for r in simhash.links(sharded, forest, 4).collect()]
+    assert all((points[a] ^ points[b]).bit_count() <= 4 for a, b in edges)
+    assert grouped(len(points), edges) == components(points)
+    found = {r["node"]: r["root"] for r in simhash.components(spark, frame, leaf_rows=leaf_rows, most_rows=most_rows, sample_rows=sample_rows).collect()}
+    assert [found.get(n, n) for n in range(len(points))] == components(points)
+
+
+def test_trees_prune_and_lose_no_neighbour():
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 1 << 63, 20_000, np.uint64)
+    (mask, *_) = simhash.masks(3)
+    tree = simhash.Tree.grow(points[:4000], mask, 1, 20)
+    held = [set() for _ in points]
+    for leaf, at in tree.route(points):
+        for k in at.tolist():
+            held[k].add(leaf)
+    leaves = sum(x < 0 for x in tree.inner)
+    assert leaves > 100 and sum(map(len, held)) < 8 * len(points) and max(map(len, held)) < leaves / 4  # whole branches are out of reach
+    for k in range(0, 300):
+        away = np.bitwise_count((points ^ points[k]) & np.uint64(mask))
+        assert all(held[k] & held[j] for j in np.flatnonzero(away <= 1).tolist())
 
 
 def test_large_shard_equals_brute_force():
     rng = random.Random(9)
     centre = rng.getrandbits(64)
     points = np.array(sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 8))) for _ in range(400)}), np.uint64)
-    parent = list(range(len(points)))
+    found = simhash.link_shard(points.reshape(-1, 1), points, 4, 4)
+    assert len(found) < len(points) and grouped(len(points), found) == components([int(p) for p in points])
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in simhash.link_large(points, 4):
-        x, y = root(a), root(b)
-        parent[max(x, y)] = min(x, y)
-    assert [root(n) for n in range(len(points))] == components([int(p) for p in points])
+def test_query_equals_brute_force(spark):
+    from helpers import SMALL
+
+    from tarnwick.llm import queries
+    from tarnwick.tables import read_table
+
+    rows = sorted((r["doc_id"], r["text"]) for r in read_table(spark, SMALL, "documents").collect())
+    prints = [slow_print(t) for _, t in rows]
+    wanted = [(d, f"{p:016x}", rows[c][0]) for (d, _), p, c in zip(rows, prints, components(prints), strict=True)]
+    assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in queries.op3_simhash(spark, SMALL).collect()) == wanted
