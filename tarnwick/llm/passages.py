@@ -3,22 +3,31 @@
 A window is ``window`` consecutive words. A word is removed if a window covers it
 whose word sequence starts anywhere else, in the same document or in another one.
 
-1. Equal texts collapse to one row with a count, in the JVM.
-2. Every window has an anchor: its ``anchor_words``-gram of least hash. Equal windows
-   have equal anchors, so only anchors that recur matter; about one word in
-   fifteen starts a new one. Consecutive windows of one anchor form a run.
-3. A run that recurs as a whole confirms all its windows. Where an anchor recurs but
-   the run does not (passage edges, edited copies) the run's windows are confirmed
-   one by one. Both are counts by (anchor hash, content hash), 128 bits together,
-   combined map-side, so a passage in a third of all documents stays cheap.
-4. The confirmed passages of each shard of documents (one slice of a partition) are
-   compiled into an Aho-Corasick automaton over words with pyahocorasick, and the
-   shard's whole documents stream through it; every occurrence found is removed.
-   Routing passages to the shards that can hold them keeps the work linear: no
-   document meets an automaton that cannot match it.
+1. Phrases are confirmed by counting. Every window has an anchor: its
+   ``anchor_words``-gram of least hash. Equal windows have equal anchors, so only
+   anchors that recur matter; about one word in fifteen starts a new one. Consecutive
+   windows of one anchor form a run. A run that recurs as a whole is a phrase. Where
+   an anchor recurs but the run does not (passage edges, edited copies) the windows of
+   its distinct runs are counted one by one, and stretches of recurring ones are
+   phrases. Both are counts by (anchor hash, content hash), 128 bits together,
+   combined map-side, so a passage in a third of all documents stays cheap. Counting
+   keeps one carrier of each distinct run, from which the words of the phrase are
+   read; it does not know where else a phrase occurs.
+2. Documents are dealt into shards of about ``shard_bytes``. A phrase is sent to the
+   shards in which its anchor occurs: an occurrence has the phrase's anchor, so no
+   other shard can hold it, and no shard gets more phrases than its documents have
+   anchors for. Shards compile their distinct phrases into an Aho-Corasick automaton
+   over words with pyahocorasick, and all documents of the shard stream through it;
+   the automaton alone decides what is removed.
+
+Words become two letters each of an alphabet as large as the root of the shard's
+vocabulary, since a node of the automaton looks for its child one by one; any number
+of different words has letters.
 
 Edge cases: null, empty and blank texts have no words and lose none; texts shorter
 than a window lose none; a repeated row makes every window of its text recur.
+Columns of the input with the name of a result are replaced, others pass through. No
+documents, no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwick import scratch
 from tarnwick.llm.batches import slices, texts
@@ -41,8 +51,8 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM_BASE = np.uint64(0xD1B54A32D192ED03)
 _MOST_WORDS = 150_000
 _LONGEST = 256
-#: Bytes of text per shard of documents and automaton.
-_SHARD_BYTES = 1 << 20
+#: Bytes of text that one step of counting holds.
+_SLICE_BYTES = 1 << 20
 _words: dict[bytes, int] = {}
 
 
@@ -126,155 +136,160 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
-    """(text, copies, id): one row per text; write it before the ids are used."""
-    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("text").agg(F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id())
-
-
-def emit_runs(distinct: DataFrame, window: int, anchor_words: int) -> DataFrame:
-    """(anchor, run, id, first, windows, copies, inside) of every run; first counts words of the document."""
+def emit_runs(rows: DataFrame, window: int, anchor_words: int) -> DataFrame:
+    """(anchor, run, row, shard, first, windows, inside) of every run; first counts words of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", _SHARD_BYTES):
+            for part in slices(batch, "text", _SLICE_BYTES):
                 seq = Sequence(texts(part.column("text")))
                 first, count, anchor, inside = runs(seq, window, anchor_words)
-                row = np.searchsorted(seq.begin, first, "right") - 1
+                doc = np.searchsorted(seq.begin, first, "right") - 1
                 content = seq.content(first, first + count + window - 1) if len(first) else np.empty(0, np.uint64)
-                ids, copies = (part.column(n).to_numpy(zero_copy_only=False)[row] for n in ("id", "copies"))
-                columns = [_longs(anchor), _longs(content), pa.array(ids), pa.array((first - seq.begin[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(copies), pa.array(inside)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "run", "id", "first", "windows", "copies", "inside"])
+                row, shard = (part.column(n).to_numpy(zero_copy_only=False)[doc] for n in ("row", "shard"))
+                columns = [_longs(anchor), _longs(content), pa.array(row), pa.array(shard), pa.array((first - seq.begin[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inside)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "run", "row", "shard", "first", "windows", "inside"])
+
+    return rows.mapInArrow(run, "anchor long, run long, row long, shard int, first int, windows int, inside boolean")
+
+
+def _windows_of(part: pa.RecordBatch, window: int) -> tuple[Sequence, np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Of carriers (text, runs): their words, and for each window its document, the fields of its run and its first word."""
+    seq = Sequence(texts(part.column("text")))
+    lists = part.column("runs")
+    flat = pa.RecordBatch.from_struct_array(lists.flatten())
+    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    count = flat.column("windows").to_numpy(zero_copy_only=False)
+    each = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(each)) - np.repeat(count.cumsum() - count, count)
+    fields = {n: flat.column(n).to_numpy(zero_copy_only=False)[each] for n in flat.schema.names}
+    return seq, doc[each], fields, fields["first"].astype(np.int64) + step
+
+
+def count_windows(carriers: DataFrame, window: int) -> DataFrame:
+    """(anchor, content) of the windows that recur, of carriers (row, text, runs: anchor, first, windows, weight)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE_BYTES):
+                seq, doc, fields, first = _windows_of(part, window)
+                at = seq.begin[doc] + first
+                content = seq.content(at, at + window) if len(at) else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(fields["anchor"], pa.int64()), _longs(content), pa.array(fields["weight"], pa.int64()), pa.array(part.column("row").to_numpy(zero_copy_only=False)[doc]), pa.array(first.astype(np.int32)), pa.array(fields["weight"] == 1)], names=["anchor", "content", "weight", "row", "first", "part"])
 
-    return distinct.mapInArrow(run, "anchor long, run long, id long, first int, windows int, copies long, inside boolean")
+    return carriers.mapInArrow(run, "anchor long, content long, weight long, row long, first int, part boolean")
 
 
-def emit_windows(listed: DataFrame, window: int) -> DataFrame:
-    """Texts with runs (anchor, first, windows, weight, part) -> (anchor, content, id, first, weight, part) of each window."""
+def phrase_words(carriers: DataFrame, window: int) -> DataFrame:
+    """(anchor, content, words) of carriers (row, text, runs: anchor, first, windows): the words of each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", _SHARD_BYTES):
-                seq = Sequence(texts(piece.column("text")))
-                lists = piece.column("runs")
-                flat = pa.RecordBatch.from_struct_array(lists.flatten())
-                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                anchor, first, count, weight = (flat.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "first", "windows", "weight"))
-                part = flat.column("part").to_numpy(zero_copy_only=False)
-                total, each = int(count.sum()), np.repeat(np.arange(len(count)), count)
-                step = np.arange(total) - np.repeat(count.cumsum() - count, count)
-                begin = first[each].astype(np.int64) + step
-                at = seq.begin[row[each]] + begin
-                content = seq.content(at, at + window) if total else np.empty(0, np.uint64)
-                ids = piece.column("id").to_numpy(zero_copy_only=False)[row[each]]
-                columns = [pa.array(anchor[each], pa.int64()), _longs(content), pa.array(ids, pa.int64()), pa.array(begin.astype(np.int32)), pa.array(weight[each], pa.int64()), pa.array(part[each].astype(bool))]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "id", "first", "weight", "part"])
-
-    return listed.mapInArrow(run, "anchor long, content long, id long, first int, weight long, part boolean")
-
-
-def confirmed(spark: SparkSession, distinct: DataFrame, window: int, anchor_words: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, spans): the stretches of recurring windows of each text that has some; and the tables it reads."""
-    every = scratch.table(spark, emit_runs(distinct, window, anchor_words), "runs")
-    met = F.sum(F.when(F.col("inside"), 2).otherwise(F.col("copies")))
-    again = scratch.table(spark, every.groupBy("anchor").agg(met.alias("times")).where("times > 1").select("anchor"), "anchors")
-    some = scratch.table(spark, every.join(again, "anchor", "left_semi"), "recurring-runs")
+            for part in slices(batch, "text", _SLICE_BYTES):
+                anchors, words = [], []
+                for text, stretches in zip(texts(part.column("text")), part.column("runs").to_pylist(), strict=True):
+                    split = text.split()
+                    merged: dict[int, list[list[int]]] = {}
+                    for s in sorted(stretches, key=lambda s: s["first"]):  # windows of one anchor that follow on are one phrase
+                        own = merged.setdefault(s["anchor"], [])
+                        if own and own[-1][1] >= s["first"]:
+                            own[-1][1] = max(own[-1][1], s["first"] + s["windows"])
+                        else:
+                            own.append([s["first"], s["first"] + s["windows"]])
+                    for anchor, spans in merged.items():
+                        for begin, end in spans:
+                            anchors.append(anchor)
+                            words.append(b" ".join(split[begin : end + window - 1]))
+                digest = pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64()).view(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), digest, pa.array(words, pa.binary())], names=["anchor", "content", "words"])
+
+    return carriers.mapInArrow(run, "anchor long, content long, words binary")
+
+
+def confirmed(spark: SparkSession, rows: DataFrame, window: int, anchor_words: int) -> tuple[DataFrame, DataFrame]:
+    """(anchor, words) of every distinct phrase, and (shard, anchor): the shards in which a recurring anchor occurs."""
+    every = scratch.table(spark, emit_runs(rows, window, anchor_words), "runs")
+    met = F.sum(F.when(F.col("inside"), 2).otherwise(1))
+    again = every.groupBy("anchor").agg(met.alias("times")).where("times > 1").select("anchor")
+    some = scratch.table(spark, every.join(scratch.table(spark, again, "anchors"), "anchor", "left_semi"), "recurring-runs")
     scratch.drop(spark, every)
-    by_run = scratch.table(spark, some.groupBy("anchor", "run").agg(F.sum("copies").alias("times"), F.max("inside").alias("inside"), F.min(F.struct("id", "first", "windows")).alias("at")), "distinct-runs")
+    by_run = scratch.table(spark, some.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.max("inside").alias("inside"), F.min(F.struct("row", "first", "windows")).alias("at")), "distinct-runs")
     mixed = by_run.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.max("inside").alias("inside")).where("(kinds > 1 or inside) and fewest = 1").select("anchor")
-    mixed = scratch.table(spark, mixed, "mixed-anchors")
-    edges = by_run.join(mixed, "anchor", "left_semi").select("anchor", "at.*", F.least("times", F.lit(2)).alias("weight"), (F.col("times") == 1).alias("part"))
-    lists = edges.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "windows", "weight", "part")).alias("runs"))
-    windows = scratch.table(spark, emit_windows(distinct.select("id", "text").join(lists, "id"), window), "windows")
-    twice = scratch.table(spark, windows.groupBy("anchor", "content").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "content"), "recurring-windows")
-    single = windows.where("part").join(twice, ["anchor", "content"], "left_semi").select("id", "first", F.lit(1).alias("windows"))
-    whole = some.join(by_run.where("times > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("id", "first", "windows")
-    spans = whole.unionAll(single).groupBy("id").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
-    return spans, [again, some, by_run, mixed, windows, twice]
+    edges = by_run.join(scratch.table(spark, mixed, "mixed-anchors"), "anchor", "left_semi").select("at.row", F.struct("anchor", "at.first", "at.windows", F.least("times", F.lit(2)).alias("weight")).alias("run"))
+    carriers = rows.select("row", "text").join(edges.groupBy("row").agg(F.collect_list("run").alias("runs")), "row")
+    windows = scratch.table(spark, count_windows(carriers, window), "windows")
+    twice = windows.groupBy("anchor", "content").agg(F.sum("weight").alias("n")).where("n > 1")
+    # Of a run that is met once, the windows that recur; of one that recurs, all.
+    part = windows.where("part").join(scratch.table(spark, twice.select("anchor", "content"), "recurring-windows"), ["anchor", "content"], "left_semi").select("row", F.struct("anchor", "first", F.lit(1).alias("windows")).alias("run"))
+    whole = by_run.where("times > 1").select("at.row", F.struct("anchor", "at.first", "at.windows").alias("run"))
+    stretches = whole.unionAll(part).groupBy("row").agg(F.collect_list("run").alias("runs"))
+    phrases = phrase_words(rows.select("row", "text").join(stretches, "row"), window).groupBy("anchor", "content").agg(F.first("words").alias("words")).select("anchor", "words")
+    return scratch.table(spark, phrases, "phrases"), some.select("shard", "anchor").distinct()
 
 
 class Phrases:
-    """Aho-Corasick automaton over words for the passages of one shard of documents."""
+    """Aho-Corasick automaton over words, two letters each, for the phrases of one shard of documents."""
 
-    def __init__(self, passages: set[tuple[bytes, ...]]) -> None:
-        self.code: dict[bytes, str] = {}
+    def __init__(self, phrases: list[list[bytes]]) -> None:
+        vocabulary = list({w for words in phrases for w in words})
+        base = max(2, int(np.ceil(np.sqrt(len(vocabulary)))))
+        letter = [chr(n if n < 0xD800 else n + 0x800) for n in range(1, 2 * base + 1)]
+        self.code = {w: letter[n // base] + letter[base + n % base] for n, w in enumerate(vocabulary)}
         self.automaton = ahocorasick.Automaton()
-        for words in passages:
-            self.automaton.add_word("".join([self._letter(w) for w in words]), len(words))
-        if passages:
+        for words in phrases:
+            self.automaton.add_word("".join(map(self.code.__getitem__, words)), len(words))
+        if phrases:
             self.automaton.make_automaton()
 
-    def _letter(self, word: bytes) -> str:
-        if word not in self.code:
-            n = len(self.code) + 1
-            self.code[word] = chr(n if n < 0xD800 else n + 0x800)
-        return self.code[word]
-
     def covered(self, words: list[bytes]) -> np.ndarray:
         """Mask of the words that an occurrence of a phrase covers."""
         edge = np.zeros(len(words) + 1, np.int64)
         if self.code:
             get = self.code.get
-            for end, size in self.automaton.iter("".join([get(w, "\0") for w in words])):
-                edge[end + 1 - size] += 1
-                edge[end + 1] -= 1
+            for end, size in self.automaton.iter("".join([get(w, "\0\0") for w in words])):
+                edge[end // 2 + 1 - size] += 1
+                edge[end // 2 + 1] -= 1
         return edge[:-1].cumsum() > 0
 
 
-def _passages(words: list[bytes], spans: list[dict], window: int) -> Iterator[tuple[bytes, ...]]:
-    begin = end = -1
-    for first, stop in sorted((s["first"], s["first"] + s["windows"] + window - 1) for s in spans):
-        if first > end - window + 1:  # the next window does not follow on: another passage
-            if end >= 0:
-                yield tuple(words[begin:end])
-            begin, end = first, stop
-        end = max(end, stop)
-    if end >= 0:
-        yield tuple(words[begin:end])
-
-
-def remove_passages(located: DataFrame, window: int) -> DataFrame:
-    """(text_key, text, spans) -> (text_key, n_words, n_removed, kept_sha256, kept_text).
-
-    Kept words are joined by single blanks; kept_text is null where nothing is removed,
-    so unchanged texts do not travel on.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", _SHARD_BYTES):
-                split = [t.split() for t in texts(part.column("text"))]
-                spans = part.column("spans").to_pylist()
-                phrases = Phrases({p for words, some in zip(split, spans, strict=True) if some for p in _passages(words, some, window)})
-                rows = []
-                for words, some in zip(split, spans, strict=True):
-                    removed, kept = 0, words
-                    if some:
-                        gone = phrases.covered(words)
-                        removed, kept = int(gone.sum()), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    left = b" ".join(kept)
-                    rows.append((len(words), removed, hashlib.sha256(left).hexdigest(), left if removed else None))
-                n_words, n_removed, digest, kept_text = zip(*rows, strict=True)
-                columns = [part.column("text_key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept_text, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["text_key", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    return located.mapInArrow(run, "text_key string, n_words long, n_removed long, kept_sha256 string, kept_text string")
-
-
-def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = 35, anchor_words: int = 8, keep_text: bool = True) -> DataFrame:
-    """docs plus n_words, n_removed, kept_sha256 and, on demand, kept_text.
-
-    kept_text is the original text where nothing is removed.
+def remove_phrases(docs: pa.Table, phrases: pa.Table, text: str, keep_text: bool) -> list[pa.Array]:
+    """n_words, n_removed, kept_sha256 and, on demand, kept_text of the documents of one shard."""
+    found = Phrases([w.split(b" ") for w in phrases.column("words").to_pylist()])
+    n_words, n_removed, digests, texts_left = [], [], [], []
+    for whole in texts(docs.column(text)):
+        words = whole.split()
+        gone = found.covered(words)
+        removed = int(gone.sum())
+        left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words)
+        n_words.append(len(words))
+        n_removed.append(removed)
+        digests.append(hashlib.sha256(left).hexdigest())
+        texts_left.append(left if removed else whole)
+    columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+    return [*columns, pa.array(texts_left, pa.binary()).cast(pa.string())] if keep_text else columns
+
+
+def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = 35, anchor_words: int = 8, keep_text: bool = True, shard_bytes: int = 1 << 20) -> DataFrame:
+    """docs plus n_words, n_removed, kept_sha256 and, on demand, kept_text; without it, text is left out too.
+
+    Kept words are joined by single blanks; kept_text is the original text where nothing
+    is removed, and the empty one for a null.
     """
-    results = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    distinct = scratch.table(spark, distinct_texts(docs, text), "texts")
-    spans, tables = confirmed(spark, distinct, window, anchor_words)
-    located = distinct.select("id", "text").join(spans, "id", "left").select(F.md5(F.col("text").cast("binary")).alias("text_key"), "text", "spans")
-    done = remove_passages(located, window).withColumnRenamed("text_key", "__text_key")
-    found = scratch.table(spark, done if keep_text else done.drop("kept_text"), "kept")
-    for done_with in [distinct, *tables]:
-        scratch.drop(spark, done_with)
-    keyed = docs.drop(*results).withColumn("__text_key", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    if not keep_text:
-        return keyed.drop(text).join(found, "__text_key").drop("__text_key")
-    out = keyed.join(found, "__text_key").drop("__text_key")
-    return out.withColumn("kept_text", F.when(F.col("n_removed") == 0, F.col(text)).otherwise(F.col("kept_text")))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * keep_text
+    named = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
+    names = named.columns
+    kept = [f for f in named.schema.fields if keep_text or f.name != text]
+    # Written once, so that a row keeps its shard whatever is computed again.
+    dealt = scratch.table(spark, named.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc")), "texts")
+    size = dealt.agg(F.sum(F.octet_length(F.col(f"__doc.`{text}`")))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("__row"), F.lit(max(1, -(-size // shard_bytes)))).cast("int")
+    rows = dealt.select(F.col("__row").alias("row"), shard.alias("shard"), F.coalesce(F.col(f"__doc.`{text}`"), F.lit("")).alias("text"))
+    phrases, places = confirmed(spark, rows, window, anchor_words)
+    sent = places.join(phrases, "anchor").select(F.col("shard").alias("__shard"), "words")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        docs_here = left.select([f"c{n}" for n in range(len(names))]).rename_columns(names)
+        return pa.Table.from_arrays([docs_here.column(f.name).combine_chunks() for f in kept] + remove_phrases(docs_here, right, text, keep_text), names=[f.name for f in kept + fields])
+
+    whole = dealt.select(shard.alias("__shard"), *[F.col(f"__doc.`{c}`").alias(f"c{n}") for n, c in enumerate(names)])
+    return whole.groupBy("__shard").cogroup(sent.groupBy("__shard")).applyInArrow(run, T.StructType(kept + fields))

@@ -4,8 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tarnwick.llm import passages
 from tarnwick.llm.passages import dedup_passages
 
 
@@ -34,7 +37,7 @@ def test_random_texts(spark, seed, letters, window, anchor):
     texts = [" ".join(rng.choice(letters) for _ in range(rng.choice([0, 3, window, 12, 40]))) for _ in range(18)]
     texts += [texts[4], "q " * 30, "q r " * 300, None]
     docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
-    assert rows(dedup_passages(spark, docs, window=window, anchor_words=anchor, keep_text=False)) == brute(texts, window)
+    assert rows(dedup_passages(spark, docs, window=window, anchor_words=anchor, keep_text=False, shard_bytes=300)) == brute(texts, window)
 
 
 def test_odd_documents(spark, odd_documents):
@@ -42,9 +45,26 @@ def test_odd_documents(spark, odd_documents):
     found = dedup_passages(spark, odd_documents)
     assert rows(found) == brute(texts, 35)
     whole = {r["doc_id"]: r for r in found.where("n_removed = 0").collect()}
-    assert all(r["kept_text"] == r["text"] for r in whole.values())
+    assert all(r["kept_text"] == (r["text"] or "") for r in whole.values())
     assert {"lang", "source", "score"} <= set(found.columns)
 
 
+def test_the_automaton_decides(spark, odd_documents, monkeypatch):
+    """Without occurrences from the automaton nothing is removed: counting knows no places."""
+    monkeypatch.setattr(passages.Phrases, "covered", lambda self, words: np.zeros(len(words), bool))
+    parts = dedup_passages(spark, odd_documents)  # the patch does not reach worker processes
+    docs, phrases = pa.table({"text": ["a b c d"]}), pa.table({"words": [b"b c"]})
+    assert passages.remove_phrases(docs, phrases, "text", False)[1].to_pylist() == [0] and parts.columns
+    monkeypatch.undo()
+    assert passages.remove_phrases(docs, phrases, "text", False)[1].to_pylist() == [2]
+    assert passages.remove_phrases(docs, phrases.slice(0, 0), "text", False)[1].to_pylist() == [0]
+
+
+def test_any_number_of_different_words():
+    many = [[b"%d" % n, b"%d" % (n + 1)] for n in range(0, 1_300_000, 2)]
+    found = passages.Phrases(many)
+    assert found.covered([b"x", b"1200000", b"1200001", b"1200000", b"7", b"6", b"7"]).tolist() == [False, True, True, False, False, True, True]
+
+
 def test_no_documents(spark, no_documents):
     assert dedup_passages(spark, no_documents).count() == 0
