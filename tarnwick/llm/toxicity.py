@@ -2,10 +2,13 @@
 
 Terms are a text's words, their prefixes of four to seven characters (so that a stem
 counts under every ending) and marks that several different words share a prefix,
-hashed to 2**22 buckets. The executors count in how
-many labelled texts of either class each bucket occurs; the buckets that separate
-the classes best become the machine's inputs. Its pairwise factors learn what a
-sum of weights misses: two terms that are only telling together.
+hashed to 2**22 buckets. The executors count in how many labelled texts of either
+class each bucket occurs. The machine's inputs are the ``telling`` buckets that
+separate the classes best by themselves (by at least ``least_gain``) and, whatever
+their classes, the ``frequent`` words that most texts hold: two words that are only
+telling together have equal rates alone. The machine's pairwise factors learn what a
+sum of weights misses. Terms of fewer than ``least_texts`` labelled texts are no
+inputs: nothing can be learned of them.
 
 Learning uses at most ``max_labelled`` labelled rows (those with the smallest hash
 of doc_id) outside the held-out third; that bound also bounds the one broadcast.
@@ -13,9 +16,10 @@ What reaches the driver is the table of chosen buckets and, for each labelled
 text, the few of them it holds. Scoring maps whole texts, without a shuffle.
 
 Edge cases: null and empty texts hold no term and get the score of the bias. A
-labelled row with a null doc_id or label teaches nothing; without both classes the
-score is the share of label 1. Repeated rows score alike. Columns of the input with
-the name of a result are replaced.
+labelled row with a null doc_id or label teaches nothing; of several labels of one
+doc_id the largest counts, of several texts the least. Without both classes the score
+is the share of label 1. Repeated rows score alike. Columns of the input with the name
+of a result are replaced, others pass through. No documents, no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwick import scratch
 from tarnwick.llm.batches import append_columns, slices, texts
 from tarnwick.llm.decontaminate import words_of
 
@@ -41,14 +46,14 @@ _MOST_WORDS = 400_000
 
 
 def terms(word: bytes) -> tuple[int, list[int]]:
-    """Bucket of a word, and those of its prefixes."""
+    """Bucket of a word (even), and those of its prefixes (odd)."""
     text = word.decode("utf-8", "replace").lower()
-    return xxhash.xxh32_intdigest(b"w" + text.encode()) % BUCKETS, [xxhash.xxh32_intdigest(b"p" + text[:n].encode()) % BUCKETS for n in PREFIXES if len(text) >= n]
+    return xxhash.xxh32_intdigest(b"w" + text.encode()) % BUCKETS & ~1, [xxhash.xxh32_intdigest(b"p" + text[:n].encode()) % BUCKETS | 1 for n in PREFIXES if len(text) >= n]
 
 
 def times(prefix: int, n: int) -> int:
     """Bucket of "n or more different words of the text have this prefix"."""
-    return (prefix * 0x9E3779B1 + n * 0x85EBCA6B) % BUCKETS
+    return (prefix * 0x9E3779B1 + n * 0x85EBCA6B) % BUCKETS | 1
 
 
 def terms_of(held: Iterable[tuple[int, list[int]]]) -> set[int]:
@@ -104,11 +109,11 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_machine(rows: list[list[int]], y: np.ndarray, index: dict[int, int], factors: int = 6, epochs: int = 40, batch: int = 128, rate: float = 0.1, ridge: float = 1e-4, seed: int = 7) -> Machine:
+def fit_machine(rows: list[list[int]], y: np.ndarray, index: dict[int, int], factors: int = 6, epochs: int = 30, batch: int = 128, rate: float = 0.1, ridge: float = 5e-4, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss."""
     random = np.random.default_rng(seed)
     share = (y.sum() + 1.0) / (len(y) + 2.0)
-    bias, weight, factor = float(np.log(share / (1 - share))), np.zeros(len(index)), random.normal(0, 0.02, (len(index), factors))
+    bias, weight, factor = float(np.log(share / (1 - share))), np.zeros(len(index)), random.normal(0, 0.1, (len(index), factors))
     if not len(index) or not 0 < y.sum() < len(y):
         return Machine({}, bias, weight[:0], factor[:0])
     square_w, square_v, square_b = np.full(len(index), 1e-6), np.full(factor.shape, 1e-6), 1e-6
@@ -118,34 +123,31 @@ def fit_machine(rows: list[list[int]], y: np.ndarray, index: dict[int, int], fac
         order = random.permutation(len(rows))
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
-            cell = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in some])
-            row, at = np.repeat(np.arange(len(some)), sizes[some]), flat[cell]
-            v = factor[at]
-            total = np.zeros((len(some), factors))
-            np.add.at(total, row, v)
-            own = np.zeros(len(some))
-            np.add.at(own, row, weight[at] - 0.5 * (v**2).sum(1))
-            margin = bias + own + 0.5 * (total**2).sum(1)
+            row = np.repeat(np.arange(len(some)), sizes[some])
+            used, at = np.unique(flat[np.repeat(begin[some] - np.concatenate([[0], sizes[some].cumsum()[:-1]]), sizes[some]) + np.arange(len(row))], return_inverse=True)
+            held = np.zeros((len(some), len(used)), np.float32)
+            held[row, at] = 1.0
+            w, v = weight[used], factor[used]
+            total = held @ v
+            margin = bias + held @ (w - 0.5 * (v**2).sum(1)) + 0.5 * (total**2).sum(1)
             g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[some]) / len(some)
-            grad_w, grad_v = np.zeros_like(weight), np.zeros_like(factor)
-            np.add.at(grad_w, at, g[row])
-            np.add.at(grad_v, at, g[row, None] * (total[row] - v))
-            used = np.unique(at)
-            grad_w[used] += ridge * weight[used]
-            grad_v[used] += ridge * factor[used]
-            square_w[used] += grad_w[used] ** 2
-            square_v[used] += grad_v[used] ** 2
+            pull = g @ held
+            grad_w = pull + ridge * w
+            grad_v = held.T @ (g[:, None] * total) - pull[:, None] * v + ridge * v
+            square_w[used] += grad_w**2
+            square_v[used] += grad_v**2
             square_b += g.sum() ** 2
-            weight[used] -= rate * grad_w[used] / np.sqrt(square_w[used])
-            factor[used] -= 0.3 * rate * grad_v[used] / np.sqrt(square_v[used])
+            weight[used] -= 0.3 * rate * grad_w / np.sqrt(square_w[used])
+            factor[used] -= 0.5 * rate * grad_v / np.sqrt(square_v[used])
             bias -= 0.3 * rate * g.sum() / np.sqrt(square_b)
     return Machine(index, float(bias), weight, factor)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """(label, text), one row for each of at most max_labelled ids."""
     usable = labels.where(~held_out()).where("doc_id is not null and toxic is not null")
-    some = usable.select("doc_id", (F.col("toxic") > 0).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    some = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def count_terms(labelled: DataFrame) -> DataFrame:
@@ -171,15 +173,21 @@ def count_terms(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "bucket long, ones long, zeros long").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, inputs: int = 4096, least_gain: float = 0.002) -> Machine:
-    """Learn labels.toxic of at most max_labelled rows that are not held out."""
-    labelled = _labelled(docs, labels, max_labelled)
-    classes = {r["label"]: r["n"] for r in _labelled(docs.select("doc_id", F.lit("").alias("text")), labels, max_labelled).groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total_1, total_0 = float(classes.get(1, 0)), float(classes.get(0, 0))
-    rate_1, rate_0 = F.col("ones") / max(1.0, total_1), F.col("zeros") / max(1.0, total_0)
+def choose_inputs(labelled: DataFrame, telling: int, frequent: int, least_texts: int, least_gain: float) -> dict[int, int]:
+    """bucket -> number of the input."""
+    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rate_1, rate_0 = F.col("ones") / float(max(1, totals.get(1, 0))), F.col("zeros") / float(max(1, totals.get(0, 0)))
     gain = F.abs(rate_1 - rate_0) * F.abs(F.log((rate_1 + 1e-3) / (rate_0 + 1e-3)))
-    best = count_terms(labelled).where("ones + zeros >= 3").withColumn("gain", gain).where(F.col("gain") > least_gain).orderBy(F.desc("gain"), "bucket").limit(inputs)
-    index = {b: n for n, b in enumerate(sorted(r["bucket"] for r in best.select("bucket").collect()))}
+    counted = scratch.table(labelled.sparkSession, count_terms(labelled).where(F.col("ones") + F.col("zeros") >= least_texts), "terms")
+    best = counted.withColumn("gain", gain).where(F.col("gain") > least_gain).orderBy(F.desc("gain"), "bucket").limit(telling)
+    often = counted.where("bucket % 2 = 0").orderBy(F.desc(F.col("ones") + F.col("zeros")), "bucket").limit(frequent)
+    return {b: n for n, b in enumerate(sorted({r["bucket"] for part in (best, often) for r in part.select("bucket").collect()}))}
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, telling: int = 4096, frequent: int = 1024, least_texts: int = 3, least_gain: float = 0.002) -> Machine:
+    """Learn labels.toxic of at most max_labelled rows that are not held out."""
+    labelled = scratch.table(docs.sparkSession, _labelled(docs, labels, max_labelled), "labelled")
+    index = choose_inputs(labelled, telling, frequent, least_texts, least_gain)
     chooser = Machine(index, 0.0, np.zeros(0), np.zeros((0, 0)))
 
     def work(batch: list[bytes]) -> list[pa.Array]:
