@@ -8,8 +8,10 @@ in the executors; only a row of floats per labelled document reaches the driver.
 Edge cases: a null or blank text has no words and fails the base rules. Labelled
 rows with a null or an unknown doc_id, or a null label, teach nothing. Without
 usable labels of both classes the trees are empty and the verdict is the base
-rules' alone. Repeated rows are judged alike, each for itself. Columns of the
-input with the name of a result are replaced.
+rules' alone. Of several labels of one doc_id the largest counts, of several texts
+the least, so no more than max_labelled rows reach the driver. Repeated rows are
+judged alike, each for itself. Columns of the input with the name of a result are
+replaced. No documents, no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +41,10 @@ def _count(text: bytes, chars: bytes) -> int:
 def _repeat_words(words: list[bytes], ids: np.ndarray, size: int) -> int:
     if len(words) < 4:
         return 0
-    key = (ids[:-2] * size + ids[1:-1]) * size + ids[2:]
+    pair = ids[:-1] * size + ids[1:]
+    if size >= 1 << 21:  # three ids do not fit into 63 bits: number the pairs instead
+        pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    key = pair[:-1] * size + ids[2:]
     _, group, times = np.unique(key, return_inverse=True, return_counts=True)
     twice = times[group] > 1
     if not twice.any():
@@ -79,13 +84,13 @@ def base_failed(counts: np.ndarray, least_words: int = 50, most_repeats: int = 5
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> boosting.FlatTrees:
     """Fit the trees on labels.quality of at most max_labelled labelled rows."""
-    some = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
+    some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     field = T.StructField("features", T.ArrayType(T.DoubleType()))
 
     def work(batch: list[bytes]) -> list[pa.Array]:
         return [pa.array(list(statistics(batch)[1]), pa.list_(pa.float64()))]
 
-    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = append_columns(known, "text", [field], work).select("features", "label").toPandas()
     x = np.stack(rows["features"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     order = np.lexsort(np.column_stack([rows["label"], x]).T) if len(rows) else []
