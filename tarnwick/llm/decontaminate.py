@@ -1,22 +1,27 @@
 """Benchmark decontamination by a generalised suffix automaton over words.
 
-The test items, normalised to words, are compiled into generalised suffix automata
-of at most ``shard_words`` words each, one broadcast per shard, so that what is
-broadcast is bounded whatever the benchmark's size. Documents stream through every
-shard in turn inside Arrow batches: no shuffle, no join, and a lost executor only
-recomputes its own splits. The automaton's states of length one and two (words and
-word pairs) are first tested for a whole batch at once in numpy; the walk that
-tracks the longest matching length visits only stretches of documents all of whose
-pairs occur in items, which is where a window can lie.
+The test items, normalised to words, are dealt by hash into shards of about
+``shard_words`` words. Tasks compile each shard into a generalised suffix automaton
+and store it in the shared folder; neither items nor automata pass through the
+driver. Documents then stream once through a Python step that takes the shards in
+turn for each slice of texts. A worker holds at most ``_HELD`` automata, so its memory
+is bounded whatever the benchmark's size. No shuffle of documents, no join, and a
+lost executor only recomputes its own splits. The automaton's states of length one
+and two (words and word pairs) are first tested for a whole slice at once in numpy;
+the walk that tracks the longest matching length visits only stretches of documents
+all of whose pairs occur in items, which is where a window can lie.
 
 Edge cases: null and word-less documents have no words, no hits and no items; a
 null or word-less item has no windows. An item with a null id still marks words
-but is neither counted nor listed; equal ids count once. Repeated rows are judged
-alike. Columns of the input with the name of a result are replaced.
+but is neither counted nor listed; equal ids count once. An item longer than a shard
+is cut into pieces that overlap by a window less one word. Repeated rows are judged
+alike. Columns of the input with the name of a result are replaced, others pass
+through. No documents give no rows, no benchmark gives no hits.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,11 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.llm.batches import slices, texts
+from tarnwick import scratch
+from tarnwick.llm.batches import append_columns, texts
+from tarnwick.llm.files import get, put
 
 #: ASCII letters lower-cased; bytes that are neither ASCII alphanumeric nor part of a multi-byte character become blanks.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BITS = 22
+#: Automata that a worker holds at a time, and bytes of text that meet each in turn.
+_HELD, _SLICE_BYTES = 4, 16 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -193,18 +202,50 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.St
 _ARROW_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
-def item_shards(benchmark: DataFrame, item_id: str, text: str, shard_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Items in shards of at most shard_words words (a longer item is a shard by itself)."""
-    shard, size = [], 0
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        content = (row["t"] or "").encode()
-        n = len(words_of(content))
-        if shard and size + n > shard_words:
-            yield shard
-            shard, size = [], 0
-        shard.append((row["i"], content))
-        size += n
-    yield shard
+def item_pieces(benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> DataFrame:
+    """(item, n, words) of distinct items: their words, of long items in pieces that hold every window."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null").distinct()
+    most = max(shard_words, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, whole in zip(batch.column("item").to_pylist(), texts(batch.column("text")), strict=True):
+                words = words_of(whole)
+                for lo in range(0, max(1, len(words) - window + 1) if words else 0, most - window + 1):
+                    piece = words[lo : lo + most]
+                    rows.append((item, len(piece), b" ".join(piece)))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["item", "n", "words"])
+
+    return items.mapInArrow(run, "item string, n long, words binary")
+
+
+def compile_shards(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> list[str]:
+    """Automata of the items' shards, stored by the tasks that build them; the names of their files."""
+    folder = scratch.new_path(spark, "automata")
+    pieces = scratch.table(spark, item_pieces(benchmark, item_id, text, window, shard_words), "items")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("item", "words"), F.lit(max(1, -(-total // shard_words))))
+
+    def build(items: pa.Table) -> pa.Table:
+        name = f"{folder}/{items.column('shard')[0].as_py():08d}"
+        held = sorted(zip(items.column("item").to_pylist(), items.column("words").to_pylist(), strict=True), key=lambda x: (x[0] or "", x[1]))
+        put(name, pickle.dumps(Automaton.build(held, window)))
+        return pa.table({"name": [name]})
+
+    return sorted(r["name"] for r in pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "name string").collect())
+
+
+_loaded: dict[str, Automaton] = {}
+
+
+def _automaton(name: str) -> Automaton:
+    if name not in _loaded:
+        while len(_loaded) >= _HELD:
+            del _loaded[next(iter(_loaded))]
+        _loaded[name] = pickle.loads(get(name))
+    return _loaded[name]
 
 
 def mark_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 100_000) -> DataFrame:
@@ -213,37 +254,20 @@ def mark_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     A word is hit if an occurrence of `window` consecutive words of an item, or of
     a whole item that is shorter, covers it.
     """
+    names = compile_shards(spark, benchmark, item_id, item_text, window, shard_words)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    out = docs.drop(*(f.name for f in fields))
-    for number, items in enumerate(item_shards(benchmark, item_id, item_text, shard_words)):
-        shared = spark.sparkContext.broadcast(Automaton.build(items, window))
-        out = _stream(out, text, fields, shared, first=number == 0)
-    return out
 
-
-def _stream(df: DataFrame, text: str, fields: list[T.StructField], shared, first: bool) -> DataFrame:
-    kept = [f for f in df.schema.fields if f.name not in {g.name for g in fields}]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        for batch in batches:
-            for part in slices(batch, text):
-                content = texts(part.column(text))
-                found = automaton.matches(content)
-                if first:
-                    counts = [len(words_of(t)) for t in content]
-                    spans = [found[i][0] if i in found else [] for i in range(len(content))]
-                    items = [sorted(found[i][1]) if i in found else [] for i in range(len(content))]
-                else:
-                    counts, spans, items = (part.column(f.name).to_pylist() for f in fields)
-                    spans = [[(s["begin"], s["end"]) for s in x] for x in spans]
-                    for i, (more, owners) in found.items():
-                        spans[i], items[i] = _merged(spans[i], more), sorted({*items[i], *owners})
-                packed = [[{"begin": a, "end": b} for a, b in x] for x in spans]
-                columns = [part.column(f.name) for f in kept] + [pa.array(counts, pa.int64()), pa.array(packed, _ARROW_SPANS), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept + fields])
-
-    return df.mapInArrow(run, T.StructType(kept + fields))
+    def work(batch: list[bytes]) -> list[pa.Array]:
+        spans: list[list[tuple[int, int]]] = [[] for _ in batch]
+        items: list[set[str]] = [set() for _ in batch]
+        for name in names:
+            for i, (more, owners) in _automaton(name).matches(batch).items():
+                spans[i] = _merged(spans[i], more)
+                items[i] |= owners
+        packed = [[{"begin": a, "end": b} for a, b in x] for x in spans]
+        return [pa.array([len(words_of(t)) for t in batch], pa.int64()), pa.array(packed, _ARROW_SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+
+    return append_columns(docs, text, fields, work, _SLICE_BYTES)
 
 
 def hit_counts(marked: DataFrame) -> DataFrame:

@@ -19,3 +19,9 @@ def put(uri: str, data: bytes | memoryview) -> None:
     with filesystem.open_output_stream(part) as out:
         out.write(data)
     filesystem.move(part, path)
+
+
+def get(uri: str) -> bytes:
+    filesystem, path = fs.FileSystem.from_uri(uri)
+    with filesystem.open_input_stream(path) as stream:
+        return stream.readall()

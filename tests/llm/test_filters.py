@@ -110,6 +110,54 @@ def test_machine_learns_a_pair():
     assert ((machine.probability(rows[2000:]) > 0.5) == y[2000:]).mean() > 0.97
 
 
+def test_probability_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine({}, 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    rows = [[], [4], [0, 8], [1, 2, 3, 5, 7], list(range(9))]
+    for row, p in zip(rows, machine.probability(rows), strict=True):
+        total = 0.3 + sum(machine.weight[i] for i in row)
+        total += sum(machine.factor[i] @ machine.factor[j] for n, i in enumerate(row) for j in row[n + 1 :])
+        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_a_pair_that_tells_only_together(spark):
+    """Label 1 if a text holds both of two words or neither: each is as frequent in both classes."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows = []
+    for n in range(4000):
+        text = rng.sample(words, 20) + ["insultword"] * (n % 4 in (0, 1)) + ["groupword"] * (n % 4 in (0, 2))
+        rows.append((n, " ".join(rng.sample(text, len(text))), int(n % 4 in (0, 3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs.where(toxicity.held_out()), machine, predict_at=0.5).select("toxic", "predicted").toPandas()
+    assert (scored["toxic"] == scored["predicted"]).mean() > 0.85
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark):
+    docs = spark.createDataFrame([(n % 5, f"text number {n}") for n in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n % 5, n % 2, n % 2) for n in range(50)], "doc_id long, quality int, toxic int")
+    assert toxicity._labelled(docs, labels, 3).count() <= 3
+    assert len(quality.fit_quality(docs, labels, max_labelled=3).roots) == 0  # one class: every id has a label 1
+
+
+def test_items_longer_than_a_shard_are_cut(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randint(0, 400)}" for _ in range(900)]
+    bench = spark.createDataFrame([("long", " ".join(words)), ("short", "w1 w2"), ("long", " ".join(words))], "item_id string, text string")
+    pieces = decontaminate.item_pieces(bench, "item_id", "text", 10, 50).collect()
+    assert max(r["n"] for r in pieces) <= 50 and len(pieces) > 20
+    have = {tuple(bytes(r["words"]).decode().split()[i : i + 10]) for r in pieces for i in range(max(1, r["n"] - 9))}
+    assert {tuple(words[i : i + 10]) for i in range(891)} <= have
+
+
+def test_repeat_words_of_any_vocabulary():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 6, 500)
+    words = [b"%d" % i for i in ids]
+    assert quality._repeat_words(words, ids, 6) == quality._repeat_words(words, ids, 1 << 22) > 0
+
+
 def test_toxicity_on_held_out_labels(spark):
     where = "/root/testdata/sf0.1"
     docs, labels = read_table(spark, where, "documents"), read_table(spark, where, "labels")
