@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one step of Python work holds at a time.
@@ -41,14 +42,15 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], work:
     work maps a list of UTF-8 texts to one Arrow array per field. Columns of df
     that clash with a new field are replaced; all others pass through.
     """
-    names = [f.name for f in fields]
-    base = df.drop(*[n for n in names if n != text])
-    kept = [f for f in base.schema.fields if f.name not in names]
+    new = {f.name for f in fields}
+    left = [f for f in df.schema.fields if f.name not in new]
+    read = [f.name for f in left] + [text] * (text in new)  # a text that a result replaces is read all the same
+    held = df.select(*[F.col(f"`{c}`") for c in read]).toDF(*[f"c{n}" for n in range(len(read))])
+    at, names = read.index(text), [f.name for f in left + fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, slice_bytes):
-                columns = [part.column(f.name) for f in kept] + work(texts(part.column(text)))
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + names)
+            for part in slices(batch, f"c{at}", slice_bytes):
+                yield pa.RecordBatch.from_arrays(part.columns[: len(left)] + work(texts(part.column(at))), names=names)
 
-    return base.mapInArrow(run, T.StructType(kept + fields))
+    return held.mapInArrow(run, T.StructType(left + fields))

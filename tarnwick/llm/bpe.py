@@ -4,8 +4,13 @@ The pre-tokens of a batch that this worker has not met yet become rows of byte i
 bucketed by length and padded. In each round every unfinished row merges its
 leftmost pair of minimum rank; pair ranks come from an open-addressing hash table,
 the row is closed up behind the merged pair, and finished rows leave the matrix.
-Rows beyond the last bucket are merged one by one, all leftmost occurrences of the
-minimum pair in a round, unless a merge would create a pair of lower rank.
+
+A pre-token beyond the last width is cut into rows of that width, which are merged
+like all others, and then stitched: ids that follow one another are those of the
+whole exactly if every two neighbours are the encoding of their joint bytes. Where
+the neighbours at a seam are not, a few ids on both sides are merged again, more of
+them until they fit what is left and right of them. All seams of a level are rows of
+one matrix, so one run of letters takes time in proportion to its length.
 
 Documents are mapped partition by partition, without a shuffle. Edge cases: null
 and empty texts give no ids; repeated rows are encoded alike; columns of the input
@@ -19,14 +24,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tarnwick.llm.batches import append_columns
-from tarnwick.llm.units import UnitCache
+from tarnwick.llm.units import PieceCache, cutter
 
-_BUCKETS = (4, 6, 8, 12, 16, 24, 32, 64)
+_WIDTHS = (4, 6, 8, 12, 16, 24, 32, 64)
+#: Cells of one matrix.
+_CELLS = 1 << 22
 #: Bytes of text that are split and merged at a time; bounds what a worker holds beside its cache.
 _SLICE_BYTES = 1 << 20
 _NONE = np.int32(2**31 - 1)
@@ -74,36 +80,88 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.fitting: dict[tuple[int, int], bool] = {}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.pairs = PairTable(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
-        self.units = UnitCache(self.encode_units)
-
-    def encode_units(self, units: list[bytes]) -> list[bytes]:
-        split = [[m.encode() for m in self.pattern.findall(u.decode())] for u in units]
-        tokens = list({t for unit in split for t in unit})
-        ids = dict(zip(tokens, self.encode_tokens(tokens), strict=True))
-        return [b"".join([ids[t] for t in unit]) for unit in split]
+        self.pieces = PieceCache(cutter(pattern), self.encode_tokens)
 
     def encode_tokens(self, tokens: list[bytes]) -> list[bytes]:
         """Packed little-endian ids of each pre-token."""
         out: list[bytes] = [b""] * len(tokens)
-        buckets: dict[int, list[int]] = {}
+        short, long = [], []
         for n, t in enumerate(tokens):
             if t in self.ranks:
                 out[n] = self.ranks[t].to_bytes(4, "little")
-            elif len(t) > _BUCKETS[-1]:
-                out[n] = self._long(t)
             else:
-                buckets.setdefault(next(b for b in _BUCKETS if len(t) <= b), []).append(n)
+                (short if len(t) <= _WIDTHS[-1] else long).append(n)
+        for rows, solve in ((short, self._matrices), (long, self._stitched)):
+            for n, ids in zip(rows, solve([tokens[n] for n in rows]), strict=True):
+                out[n] = ids.astype("<u4").tobytes()
+        return out
+
+    def _matrices(self, tokens: list[bytes]) -> list[np.ndarray]:
+        """Ids of each row, merged with the others of its width."""
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(tokens)
+        buckets: dict[int, list[int]] = {}
+        for n, t in enumerate(tokens):
+            width = next((w for w in _WIDTHS if len(t) <= w), 1 << (len(t) - 1).bit_length())
+            buckets.setdefault(width, []).append(n)
         for width, rows in buckets.items():
-            for n, ids in zip(rows, self._merge([tokens[n] for n in rows], width), strict=True):
-                out[n] = ids
+            for lo in range(0, len(rows), max(1, _CELLS // width)):
+                some = rows[lo : lo + max(1, _CELLS // width)]
+                for n, ids in zip(some, self._merge([tokens[n] for n in some], width), strict=True):
+                    out[n] = ids
         return out
 
-    def _merge(self, tokens: list[bytes], width: int) -> list[bytes]:
+    def _fit(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether two ids are the encoding of their joint bytes."""
+        new = list(set(pairs).difference(self.fitting))
+        if len(self.fitting) > _CELLS:
+            self.fitting.clear()
+            new = list(set(pairs))
+        for (a, b), ids in zip(new, self._matrices([self.tokens[a] + self.tokens[b] for a, b in new]), strict=True):
+            self.fitting[a, b] = ids.tolist() == [a, b]
+        return [self.fitting[p] for p in pairs]
+
+    def _stitched(self, tokens: list[bytes]) -> list[np.ndarray]:
+        width = _WIDTHS[-1]
+        cut = [[t[k : k + width] for k in range(0, len(t), width)] for t in tokens]
+        flat = iter(self._matrices([row for rows in cut for row in rows]))
+        parts = [[next(flat).tolist() for _ in rows] for rows in cut]
+        while any(len(p) > 1 for p in parts):
+            seams = [(p[k], p[k + 1]) for p in parts for k in range(0, len(p) - 1, 2)]
+            joined = iter(self._seams(seams))
+            parts = [[next(joined) if k + 1 < len(p) else p[k] for k in range(0, len(p), 2)] for p in parts]
+        return [np.array(p[0] if p else [], np.int64) for p in parts]
+
+    def _seams(self, seams: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """Each left part followed by its right part."""
+        out: list[list[int]] = [[]] * len(seams)
+        open_, reach = [], 1
+        for n, fits in enumerate(self._fit([(a[-1], b[0]) for a, b in seams])):
+            if fits:
+                out[n] = seams[n][0] + seams[n][1]
+            else:
+                open_.append(n)
+        while open_:
+            words = [b"".join(self.tokens[i] for i in seams[n][0][-reach:] + seams[n][1][:reach]) for n in open_]
+            middle = [m.tolist() for m in self._matrices(words)]
+            edges = [(n, m, seams[n][0][:-reach], seams[n][1][reach:]) for n, m in zip(open_, middle, strict=True)]
+            left = self._fit([(a[-1], m[0]) if a else (m[0], m[0]) for _, m, a, _ in edges])
+            right = self._fit([(m[-1], b[0]) if b else (m[0], m[0]) for _, m, _, b in edges])
+            open_ = []
+            for (n, m, a, b), x, y in zip(edges, left, right, strict=True):
+                if (x or not a) and (y or not b):
+                    out[n] = a + m + b
+                else:
+                    open_.append(n)
+            reach *= 2
+        return out
+
+    def _merge(self, tokens: list[bytes], width: int) -> list[np.ndarray]:
         sizes = np.array([len(t) for t in tokens])
         raw = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in tokens), np.uint8).reshape(-1, width)
         ids = self.byte_id[raw]
@@ -135,32 +193,7 @@ class ByteBpe:
                 inside = (side >= 0) & (side < rank.shape[1])
                 where, side = lines[inside], side[inside]
                 rank[where, side] = self.pairs(ids[where, side], ids[where, side + 1])
-        return [x[x >= 0].astype("<u4").tobytes() for x in done]
-
-    def _long(self, token: bytes) -> bytes:
-        ids = self.byte_id[np.frombuffer(token, np.uint8)]
-        while len(ids) > 1:
-            rank = self.pairs(ids[:-1], ids[1:])
-            least = rank.min()
-            if least == _NONE:
-                break
-            places, chosen = np.flatnonzero(rank == least), []
-            for p in places.tolist():
-                if not chosen or p > chosen[-1] + 1:
-                    chosen.append(p)
-            merged = self._closed(ids, np.array(chosen), least)
-            if len(chosen) > 1 and (self.pairs(merged[:-1], merged[1:]) < least).any():
-                merged = self._closed(ids, np.array(chosen[:1]), least)
-            ids = merged
-        return ids.astype("<u4").tobytes()
-
-    @staticmethod
-    def _closed(ids: np.ndarray, places: np.ndarray, merged: np.int32) -> np.ndarray:
-        out = ids.copy()
-        out[places] = merged
-        keep = np.ones(len(ids), bool)
-        keep[places + 1] = False
-        return out[keep]
+        return [x[x >= 0] for x in done]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -180,7 +213,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """docs plus token_ids (packed little-endian unsigned 32-bit) and n_tokens."""
 
     def work(batch: list[bytes]) -> list[pa.Array]:
-        ids = load(path, pattern).units.texts(batch)
+        ids = load(path, pattern).pieces.texts(batch)
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
     return append_columns(docs, text, [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], work, _SLICE_BYTES)
@@ -204,7 +237,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
 
     def work(batch: list[bytes]) -> list[pa.Array]:
         bpe = load(path, pattern)
-        ids = bpe.units.texts(batch)
+        ids = bpe.pieces.texts(batch)
         hashes = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]]
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, hashes)] + [pa.array(ids, pa.binary())] * keep_ids
 

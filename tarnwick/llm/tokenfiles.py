@@ -4,21 +4,23 @@ Documents are dealt by ranges of doc_id and sorted, each partition encodes its
 texts and writes Arrow IPC files. A row of a file is one sequence of ``length``
 ids with two masks of the same length: ``valid`` (false in the padding that ends a
 file) and ``starts`` (true where a document begins), and the ids of the documents
-that begin in it. Every list has one fixed size, so a memory-mapped file gives any
-sequence without a copy. Ids are stored in 16 bits where the vocabulary allows.
+that begin in it. Every list has one fixed size and a file is one batch, so a
+memory-mapped file gives any sequence without a copy. Ids are stored in 16 bits
+where the vocabulary allows.
 
-Only one row per file (its name and counts) is gathered to place files behind one
-another. Files are cut at ``file_tokens``, whatever a partition holds.
+Files are cut at ``file_tokens``, whatever a partition holds. They are placed behind
+one another by running sums over the manifest, in blocks of partitions, so that no
+task meets every file; contents of files are never shuffled.
 
 Edge cases: null and empty texts consist of the end id alone; null doc_ids come
-first, equal ones by text hash; repeated rows are each written. No documents give
-no files.
+first, equal ones by text hash; repeated rows are each written. Only doc_id and text
+are read, whatever else the table holds. No documents give no files, and reading
+them back gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,78 +33,47 @@ from pyspark.sql import types as T
 from tarnwick import scratch
 from tarnwick.llm.batches import slices, texts
 from tarnwick.llm.files import put
-from tarnwick.llm.units import UnitCache
+from tarnwick.llm.units import BYTE_LEVEL, PieceCache, cutter, plain
 
-
-#: Pre-tokens a worker remembers before it starts afresh.
-_MOST_TOKENS = 300_000
-#: Bytes of text that are split at a time; small enough for the pieces to stay in the processor's cache.
+#: Bytes of text that are cut at a time; small enough for the pieces to stay in the processor's cache.
 _SLICE_BYTES = 256 << 10
-_MARKS = ".,;:!?"
-
-
-def byte_letters() -> dict[str, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else one from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+#: Partitions whose files are placed by one task.
+_BLOCK = 1024
 
 
 class LibraryEncoder:
-    """Encodes texts as the tokenizers library does without its post-processor.
-
-    A text that holds an added token of the tokenizer goes through the library as a
-    whole, unless ``added_tokens`` is false: then it is ordinary text, as with the
-    library's ``encode_special_tokens``.
+    """Encodes texts as the tokenizers library does with add_special_tokens=False.
 
-    A unit is cut into pre-tokens (plain words directly, anything else by the library's
-    own pre-tokenizer), and the library's model merges those this worker has not met.
+    The library encodes every distinct pre-token once (as one pretokenized sequence a
+    batch). A text that holds an added token of the tokenizer, or a character beyond
+    ASCII that is no letter, goes through the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.normalizer is not None:
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
             raise ValueError("a byte-level tokenizer without normalizer is needed")
-        self.model, self.split = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
-        self.tokenizer = tokenizer
-        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-        self.letters = str.maketrans(byte_letters())
-        self.known: dict[str, bytes] = {}
-        self.units = UnitCache(self.encode_units)
-
-    def _merged(self, written: str) -> bytes:
-        """Ids of one pre-token as the pre-tokenizer writes it."""
-        found = self.known.get(written)
-        if found is None:
-            if len(self.known) >= _MOST_TOKENS:
-                self.known.clear()
-            found = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-            self.known[written] = found
-        return found
-
-    def _encoded(self, unit: bytes) -> bytes:
-        text = unit.decode()
-        word = text.rstrip(_MARKS)
-        if word.removeprefix(" ").isalpha():
-            marks = text[len(word) :]
-            written = word.encode().decode("latin-1").translate(self.letters)
-            return self._merged(written) + (self._merged(marks) if marks else b"")
-        return b"".join([self._merged(written) for written, _ in self.split(text)])
-
-    def encode_units(self, units: list[bytes]) -> list[bytes]:
-        return [self._encoded(u) for u in units]
-
-    def texts(self, batch: list[bytes], added_tokens: bool = True) -> list[bytes]:
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = PieceCache(cutter(BYTE_LEVEL), self.encode_pieces)
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        if not pieces:
+            return []
+        found = self.words.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
+        edge = 4 * np.searchsorted(np.array(found.word_ids), np.arange(len(pieces) + 1))
+        data, edge = np.array(found.ids, "<u4").tobytes(), edge.tolist()
+        return [data[a:b] for a, b in zip(edge, edge[1:])]  # noqa: B905
+
+    def texts(self, batch: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
-        whole = [n for n, t in enumerate(batch) if any(a in t for a in self.added)] if added_tokens else []
-        if not whole:
-            return self.units.texts(batch)
+        whole = [n for n, t in enumerate(batch) if any(a in t for a in self.added) or not plain(t)]
         skip = set(whole)
-        out = self.units.texts([b"" if n in skip else t for n, t in enumerate(batch)])
+        out = self.pieces.texts([b"" if n in skip else t for n, t in enumerate(batch)])
         for n in whole:
-            out[n] = array("I", self.tokenizer.encode(batch[n].decode(), add_special_tokens=False).ids).tobytes()
+            out[n] = np.array(self.tokenizer.encode(batch[n].decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
@@ -155,26 +126,24 @@ class _Writer:
         )
         sink = pa.BufferOutputStream()
         with pa.ipc.new_file(sink, batch.schema) as out:
-            for lo in range(0, rows, 64):
-                out.write_batch(batch.slice(lo, 64))
+            out.write_batch(batch)
         name = f"part-{self.part:08d}-{self.number:06d}.arrow"
         put(f"{self.folder}/{name}", sink.getvalue())
-        counts = {"file": name, "n_docs": len(self.docs), "n_tokens": self.total}
+        counts = {"part": self.part, "file": name, "n_docs": len(self.docs), "n_tokens": self.total}
         self.number += 1
         self._clear()
         yield counts
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str, end_id: int = 2, length: int = 2048, vocabulary: int = 50_257, file_tokens: int = 4 << 20, partition_bytes: int = 24 << 20, added_tokens: bool = False) -> DataFrame:
-    """Write docs (doc_id, text) below folder; returns the manifest (file, n_docs, n_tokens).
-
-    With added_tokens, added tokens of the tokenizer are found in texts as the library does by default.
-    """
+def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str, end_id: int = 2, length: int = 2048, vocabulary: int = 50_257, file_tokens: int = 4 << 20, partition_bytes: int = 24 << 20) -> DataFrame:
+    """Write docs (doc_id, text) below folder; returns the manifest (part, file, n_docs, n_tokens)."""
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+    scratch.make_folder(spark, folder)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     salt = F.xxhash64("text")
     dealt = docs.select("doc_id", "text").repartitionByRange(max(1, -(-size // partition_bytes)), "doc_id", salt).sortWithinPartitions("doc_id", salt, "text")
     end = int(end_id).to_bytes(4, "little")
+    manifest = pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(folder, TaskContext.get().partitionId(), length, file_tokens, kind)
@@ -182,42 +151,51 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str, e
         counts: list[dict] = []
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.texts(texts(part.column("text")), added_tokens), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.texts(texts(part.column("text"))), strict=True):
                     counts += writer.add(doc, ids + end)
         counts += writer.flush()
         if counts:
-            yield pa.RecordBatch.from_pylist(counts, pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(counts, manifest)
 
-    return scratch.table(spark, dealt.mapInArrow(run, "file string, n_docs long, n_tokens long"), "manifest")
+    return scratch.table(spark, dealt.mapInArrow(run, "part long, file string, n_docs long, n_tokens long"), "manifest")
 
 
-def sequences(data: bytes) -> pa.Table:
-    """All sequences of one file, on the file's own memory."""
-    return pa.ipc.open_file(pa.py_buffer(data)).read_all()
+def sequences(data: pa.Buffer | bytes | pa.NativeFile) -> pa.RecordBatch:
+    """All sequences of one file, on the file's own memory (for instance of pa.memory_map)."""
+    source = data if isinstance(data, pa.NativeFile) else pa.py_buffer(data)
+    return pa.ipc.open_file(source).get_batch(0)
 
 
-def documents_of(table: pa.Table) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(doc_id, first token in the file, ids) of each document of a file."""
-    flat = {n: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(n).chunks]) for n in ("input_ids", "valid", "starts")}
-    ids = flat["input_ids"][flat["valid"].astype(bool)]
-    begin = np.flatnonzero(flat["starts"])
-    docs = [d for row in table.column("doc_ids").to_pylist() for d in row]
-    for doc, a, b in zip(docs, begin.tolist(), [*begin[1:].tolist(), len(ids)], strict=True):
+def documents_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(doc_id, first token in the file, ids) of each document of a file; ids are views."""
+    ids = batch.column("input_ids").flatten().to_numpy()
+    valid, starts = (batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("valid", "starts"))
+    begin, total = np.flatnonzero(starts).tolist(), int(valid.sum())
+    docs = batch.column("doc_ids").flatten().to_pylist()
+    for doc, a, b in zip(docs, begin, [*begin[1:], total], strict=True):
         yield doc, a, ids[a:b]
 
 
+def placed(manifest: DataFrame) -> DataFrame:
+    """(file, base): tokens of all files before each file."""
+    block = manifest.select("file", "n_tokens", F.floor(F.col("part") / _BLOCK).alias("block"))
+    inside = Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sums = block.groupBy("block").agg(F.sum("n_tokens").alias("n")).select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("base"))
+    return block.join(sums, "block").select("file", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0).cast("long"))).alias("base"))
+
+
 def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))).select("file", "base")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.arrow").load(folder)
-    files = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(placed, "file")
+    files = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    numbers = ("doc_id", "place", "n_tokens", "ids_crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, base in zip(batch.column("content"), batch.column("base").to_pylist(), strict=True):
-                rows = [(d, base + a, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, a, ids in documents_of(sequences(data.as_buffer()))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for name, data in zip(batch.column("file"), batch.column("content"), strict=True):
+                rows = [(d, a, len(ids), zlib.crc32(ids.astype("<u4"))) for d, a, ids in documents_of(sequences(data.as_buffer()))]
+                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows)), *columns], names=["file", *numbers])
 
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
-    return files.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("file", T.StringType()), *(T.StructField(n, T.LongType()) for n in numbers)])
+    return files.mapInArrow(run, schema).join(placed(manifest), "file").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

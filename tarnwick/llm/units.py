@@ -1,76 +1,65 @@
-"""Cutting texts where byte-level BPE is independent on both sides, with a cache.
+"""Cutting texts into pre-tokens, with a cache of what an encoder made of them.
 
-The pre-tokenisation pattern starts a new match at every single blank that a
-non-blank character follows, so a text may be cut there and each unit encoded
-alone; the ids of the text are the units' ids in order. Units repeat far more than
-texts do, and only units not seen before by this worker reach the encoder.
+The pre-tokens of the byte-level pattern are independent of one another, so the ids
+of a text are the ids of its pre-tokens in order. Pre-tokens repeat far more than
+texts do, and only those that a worker has not met yet reach the encoder.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-#: Units a worker remembers before it starts afresh; bounds its memory, never its results.
-MOST_UNITS = 300_000
-#: Longer units are encoded when met and not remembered.
+import regex
+
+#: Pre-tokens a worker remembers before it starts afresh; bounds its memory, never its results.
+MOST_PIECES = 500_000
+#: Longer pre-tokens are encoded whenever met and not remembered.
 LONGEST_KEPT = 200
 
+#: Fixed value: the pattern of byte-level vocabularies.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same over UTF-8 bytes, for texts whose characters beyond ASCII are all letters.
+_LETTERS_ONLY = re.compile(rb" ?[A-Za-z\x80-\xff]+| ?[0-9]+|'(?:[stmd]|ll|ve|re)| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
+_ASCII = bytes(range(128))
+
 Encode = Callable[[list[bytes]], list[bytes]]
 
 
-def _opens_blank(piece: bytes) -> bool:
-    """True if no cut may be made before this piece: it is empty or starts with white space."""
-    return not piece or piece[:4].decode("utf-8", "ignore")[:1].isspace() or piece[:1] in b"\x1c\x1d\x1e\x1f"
+def plain(text: bytes) -> bool:
+    """True if every character beyond ASCII is a letter."""
+    return text.isascii() or text.translate(None, _ASCII).decode().isalpha()
+
 
+def cutter(pattern: str) -> Callable[[bytes], list[bytes]]:
+    """The matches of a pattern in a text, as bytes."""
+    general = regex.compile(pattern)
 
-def cut(text: bytes) -> list[bytes]:
-    """Units of a text; b"".join gives the text back."""
-    pieces = text.split(b" ")
-    units = [pieces[0]]
-    for piece in pieces[1:]:
-        if _opens_blank(piece):
-            units[-1] += b" " + piece
-        else:
-            units.append(b" " + piece)
-    return units
+    def cut(text: bytes) -> list[bytes]:
+        return [m.encode() for m in general.findall(text.decode())]
 
+    if pattern != BYTE_LEVEL:
+        return cut
+    return lambda text: _LETTERS_ONLY.findall(text) if plain(text) else cut(text)
 
-class UnitCache:
-    """Encodes texts through an encoder of units; ids are packed bytes."""
 
-    def __init__(self, encode: Encode) -> None:
-        self.encode, self.kept = encode, {}
+class PieceCache:
+    """Encodes texts through an encoder of distinct pre-tokens; ids are packed bytes."""
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Remember pieces that follow a blank; those that may not be cut there stay out."""
-        new = [p for p in pieces if len(p) <= LONGEST_KEPT and not _opens_blank(p)]
-        if len(self.kept) + len(new) > MOST_UNITS:
-            self.kept.clear()
-        self.kept.update(zip(new, self.encode([b" " + p for p in new]), strict=True))
+    def __init__(self, cut: Callable[[bytes], list[bytes]], encode: Encode) -> None:
+        self.cut, self.encode, self.kept = cut, encode, {}
 
     def texts(self, batch: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
-        split = [t.split(b" ") for t in batch]
-        kept = self.kept
-        unknown: set[bytes] = set()
-        for pieces in split:
-            unknown.update(pieces[1:])
-        new = unknown.difference(kept)
-        if len(new) + len(kept) > MOST_UNITS:
-            kept.clear()
-            new = unknown
-        self._learn(new)
-        get = kept.get
-        heads = self.encode([pieces[0] for pieces in split])
-        out: list[bytes] = []
-        for text, head, pieces in zip(batch, heads, split, strict=True):
-            try:
-                out.append(head + b"".join([kept[p] for p in pieces[1:]]))
-            except KeyError:  # a run of blanks, or a unit too long to keep
-                units = cut(text)
-                ids = [get(u[1:]) if u[:1] == b" " and n else None for n, u in enumerate(units)]
-                missing = [n for n, x in enumerate(ids) if x is None]
-                for n, x in zip(missing, self.encode([units[n] for n in missing]), strict=True):
-                    ids[n] = x
-                out.append(b"".join(ids))
+        split = [self.cut(t) for t in batch]
+        met = set().union(*split)
+        if len(self.kept) + len(met) > MOST_PIECES:
+            self.kept = {p: self.kept[p] for p in met if p in self.kept}
+        new = list(met.difference(self.kept))
+        self.kept.update(zip(new, self.encode(new), strict=True))
+        find = self.kept.__getitem__
+        out = [b"".join(map(find, pieces)) for pieces in split]
+        for p in new:
+            if len(p) > LONGEST_KEPT:
+                del self.kept[p]
         return out

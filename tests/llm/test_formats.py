@@ -125,10 +125,13 @@ def test_pipeline(spark):
 def test_pipeline_stages_handle_odd_documents(spark, odd_documents):
     import corpus_pipeline
 
-    for docs in (odd_documents.drop("n_words", "score"), odd_documents.drop("n_words", "score").limit(0)):
+    clash = odd_documents.selectExpr("*", "'mine' as kept", "1 as hit_spans", "source as `a.b`")
+    for docs in (clash, clash.limit(0)):
+        columns, tags = docs.columns, {(r["kept"], r["hit_spans"], r["score"], r["a.b"] == r["source"]) for r in docs.collect()}
         for name, stage in corpus_pipeline.STAGES:
-            out = scratch.new_path(spark, "stage")
-            out = out.replace("/tarnwick/", "/kept/")
+            out = scratch.new_path(spark, "stage").replace("/tarnwick/", "/kept/")
             stage(spark, docs, SMALL).write.parquet(out)
             docs = spark.read.parquet(out)
-        assert "ids_sha256" in docs.columns, name
+            assert docs.columns[: len(columns)] == columns, name
+            assert {(r["kept"], r["hit_spans"], r["score"], r["a.b"] == r["source"]) for r in docs.collect()} <= tags
+        assert "ids_sha256" in docs.columns
