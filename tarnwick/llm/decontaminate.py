@@ -40,7 +40,7 @@ from tarnwick.llm.files import get, put
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BITS = 22
 #: Automata that a worker holds at a time, and bytes of text that meet each in turn.
-_HELD, _SLICE_BYTES = 4, 16 << 20
+_HELD, _SLICE_BYTES = 4, 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -269,7 +269,7 @@ def remove_phrases(docs: pa.Table, phrases: pa.Table, text: str, keep_text: bool
     return [*columns, pa.array(texts_left, pa.binary()).cast(pa.string())] if keep_text else columns
 
 
-def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = 35, anchor_words: int = 8, keep_text: bool = True, shard_bytes: int = 1 << 20) -> DataFrame:
+def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = 35, anchor_words: int = 8, keep_text: bool = True, shard_bytes: int = 1 << 19) -> DataFrame:
     """docs plus n_words, n_removed, kept_sha256 and, on demand, kept_text; without it, text is left out too.
 
     Kept words are joined by single blanks; kept_text is the original text where nothing

@@ -50,7 +50,7 @@ from tarnwick.operators.components import connected_components, with_least
 SEED = 42
 _ALL = (1 << 64) - 1
 #: Points routed, and pairs compared, at a time.
-_ROUTED, _PAIRS = 1 << 18, 1 << 20
+_ROUTED, _PAIRS = 1 << 16, 1 << 18
 #: A vantage point of a shard that has more neighbours than this links them at once.
 _HUB = 32
 
