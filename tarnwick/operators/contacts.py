@@ -58,31 +58,78 @@ def redaction_cascade(outreach: DataFrame, gone: DataFrame) -> DataFrame:
     return flagged.withColumns({"text": F.when(~hit, F.col("text")), "outreach_stage": F.when(hit, "DO_NOT_CONTACT").otherwise(F.col("outreach_stage"))}).drop("gone")
 
 
-def can_contact(now: Column) -> Column:
-    """PRD-04: suppression, retention, origin, a 30-day pause and one follow-up."""
-    c, yes = F.col, lambda x: F.coalesce(x, F.lit(False))
-    rested = c("last_contacted_at").isNull() | (c("last_contacted_at") <= F.timestamp_add("DAY", F.lit(-30), now))
-    return ~yes(c("do_not_contact")) & ~yes(c("retention_expires_at") <= now) & yes(c("contact_origin") != "") & rested & (F.coalesce("follow_ups", F.lit(0)) < 1)
+# Words a text may not claim, words of a text by channel (least, most), and other lengths.
+UNSAFE_CLAIMS = ("stealth", "bypassed akamai", "defeated bot protection", "exactly-once kafka", "exactly once kafka", "10x faster", "10x lower latency", "10x throughput")
+WORD_LIMITS = {"LINKEDIN_MESSAGE": (80, 160), "EMAIL": (130, 190), "WHATSAPP": (50, 90), "APPLICATION_NOTE": (120, 220), "FOLLOW_UP": (0, 90)}
+NOTE_CHARS, SUBJECT_CHARS, CLAIM_WORDS = 250, 60, 32
 
 
-def approved_claims(claims: Column, denied: Column, top: int = 2) -> Column:
-    """PRD-10: the first distinct claims of 1 to 32 words that hold no denied phrase."""
-    words = lambda x: F.size(F.split(F.trim(x), r"\s+"))
-    fits = F.filter(F.array_distinct(claims), lambda x: (F.trim(x) != "") & (words(x) <= 32) & ~F.exists(denied, lambda d: F.contains(F.lower(x), F.lower(d))))
-    return F.slice(fits, 1, top)
+def _words(x: Column) -> Column:
+    return F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
 
 
-def draft_error(text: Column, channel: Column) -> Column:
+def five_business_days(start: Column) -> Column:
+    """Monday to Friday start a full week; from a weekend the fifth weekday is the coming Friday."""
+    day = F.weekday(start)
+    return F.timestamp_add("DAY", F.when(day == 5, 6).when(day == 6, 5).otherwise(7), start)
+
+
+def can_contact(now: Column, follow_up: bool = False, override_reason: Column | None = None) -> Column:
+    """PRD-04: permission, reply state, retention and origin; then a 30-day pause, or one follow-up after five business days.
+
+    A given reason lifts the pause only. Unknown flags count against a contact.
+    """
+    c, no = F.col, lambda x: ~F.coalesce(x, F.lit(False))
+    open_channel = F.startswith(F.coalesce("contactability_basis", F.lit("")), F.lit("EXPLICIT_RECRUITING_CHANNEL:"))
+    known = F.coalesce(c("contact_origin").isin(*USER_ORIGINS), F.lit(False)) | open_channel
+    allowed = no(c("do_not_contact")) & F.coalesce("outreach_allowed", F.lit(False)) & F.coalesce(c("reply_state").isin("NONE", "NO_REPLY"), F.lit(False)) & no(c("retention_expires_at") <= now) & known
+    last = c("last_contacted_at")
+    if follow_up:
+        return allowed & F.coalesce((F.coalesce("follow_up_count", F.lit(0)) == 0) & (now >= five_business_days(last)), F.lit(False))
+    reason = F.trim(F.coalesce(override_reason, F.lit(""))) if override_reason is not None else F.lit("")
+    return allowed & (no(last > F.timestamp_add("DAY", F.lit(-30), now)) | (reason != ""))
+
+
+def approved_claims(evidence: Column) -> Column:
+    """PRD-10: distinct claims, the first that fits of each permitted one of the first two pieces of evidence.
+
+    evidence: array of (allowed_in_outreach, allowed_atomic_claims, forbidden_extrapolations).
+    A claim fits with 1 to 32 words, none of which are unsafe or forbidden.
+    """
+    unsafe = F.array(*map(F.lit, UNSAFE_CLAIMS))
+
+    def first_fit(e: Column) -> Column:
+        denied = F.concat(unsafe, F.coalesce(e["forbidden_extrapolations"], F.array().cast("array<string>")))
+        fits = F.filter(e["allowed_atomic_claims"], lambda x: _words(x).between(1, CLAIM_WORDS) & ~F.exists(denied, lambda d: F.contains(F.lower(x), F.lower(d))))
+        return F.trim(F.get(fits, F.lit(0)))
+
+    permitted = F.filter(F.slice(evidence, 1, 2), lambda e: F.coalesce(e["allowed_in_outreach"], F.lit(False)))
+    return F.array_distinct(F.array_compact(F.transform(permitted, first_fit)))
+
+
+def draft_error(text: Column, channel: Column, subject: Column | None = None) -> Column:
     """PRD-11: why a draft may not be used, or null."""
-    words = F.size(F.split(F.trim(text), r"\s+"))
-    return F.when(text.rlike(r"\{[A-Za-z_]+\}|\[[A-Z _]+\]|TODO"), "UNRESOLVED_PLACEHOLDER").when(text.rlike(r"(?i)guarantee|exactly-once|unlimited scale"), "UNSAFE_CLAIM").when((channel == "LINKEDIN") & (F.length(text) > 300), "TOO_LONG").when(words > 180, "TOO_MANY_WORDS")
+    subject = F.lit("") if subject is None else F.coalesce(subject, F.lit(""))
+    open_field = F.concat(text, subject).rlike(r"(?i)\{\{|\}\}|\{(?:company|name|role)\}|\[(?:name|company|role|link)\]")
+    unsafe = F.exists(F.array(*map(F.lit, UNSAFE_CLAIMS)), lambda d: F.contains(F.lower(text), d))
+    limits = F.create_map(*[x for k, v in WORD_LIMITS.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("least"), F.lit(v[1]).alias("most")))])
+    limit = F.try_element_at(limits, channel)
+    note = channel == "LINKEDIN_CONNECTION"
+    return (
+        F.when(open_field, "UNRESOLVED_PLACEHOLDER")
+        .when(unsafe, "UNSAFE_CLAIM")
+        .when(note & (F.length(text) > NOTE_CHARS), "NOTE_TOO_LONG")
+        .when(~note & limit.isNull(), "UNKNOWN_CHANNEL")
+        .when(~note & ~_words(text).between(limit["least"], limit["most"]), "WORDS_OUTSIDE_LIMIT")
+        .when(F.length(subject) > SUBJECT_CHARS, "SUBJECT_TOO_LONG")
+    )
 
 
-CHANNELS = {"LINKEDIN": "Hello %s, I applied for %s at %s. %s", "EMAIL": "Hello %s,\n\nI applied for %s at %s. %s\n\nThank you.", "WHATSAPP": "Hi %s, about %s at %s: %s"}
+CHANNELS = {"LINKEDIN_MESSAGE": "Hello %s, I applied for %s at %s. %s", "EMAIL": "Hello %s,\n\nI applied for %s at %s. %s\n\nThank you.", "WHATSAPP": "Hi %s, about %s at %s: %s"}
 
 
 def generate_drafts(pairs: DataFrame, existing: DataFrame) -> DataFrame:
-    """CTC-04: one draft per pair and channel, with an id by content; known ones are left out.
+    """CTC-04, short form: one line per pair and channel, with an id by content; known ones are left out.
 
     pairs: job_uid, contact_uid, first_name, title, company, claim, channels (array).
     """

@@ -99,16 +99,14 @@ select doc_id, count(*) filter (where regexp_matches(cell, '^[=+\-@\t\r\n]') or
 
 
 def theta_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-02, JON-05: token Jaccard of short documents against every tag phrase.
+    """SET-02, JON-05: token Jaccard of short documents against every tag phrase that shares a word.
 
-    Tokens are matched by an equi-join; a document meets only phrases it shares a word with.
+    The phrases are few literals, so each row is compared where it is, without a shuffle.
     """
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(text.normalized_text(F.col("text")), " ")).alias("t"))
-    n = F.size("t").cast("long")
-    words = d.select("doc_id", n.alias("n"), F.explode("t").alias("word"))
-    phrases = spark.range(1, numPartitions=1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("phrase"), F.array(*map(F.lit, v)).alias("w")) for k, v in PHRASES.items()])).alias("p")).select("p.phrase", F.size("p.w").cast("long").alias("m"), F.explode("p.w").alias("word"))
-    shared = words.join(F.broadcast(phrases), "word").groupBy("doc_id", "phrase", "n", "m").agg(F.count("*").alias("k"))
-    return shared.select("doc_id", "phrase", F.round(F.col("k") * 100.0 / (F.col("n") + F.col("m") - F.col("k")), 6).alias("jaccard"))
+    shared = [F.struct(F.lit(k).alias("phrase"), F.lit(len(v)).cast("long").alias("m"), F.size(F.array_intersect("t", F.array(*map(F.lit, v)))).cast("long").alias("k")) for k, v in PHRASES.items()]
+    met = d.select("doc_id", F.size("t").cast("long").alias("n"), F.inline(F.array(*shared))).where("k > 0")
+    return met.select("doc_id", "phrase", F.round(F.col("k") * 100.0 / (F.col("n") + F.col("m") - F.col("k")), 6).alias("jaccard"))
 
 
 PHRASES = {"english": ("the", "of", "and", "to", "in"), "french": ("le", "la", "de", "est", "une"), "german": ("der", "die", "und", "ist", "den"), "spanish": ("el", "los", "de", "que", "las")}

@@ -32,15 +32,21 @@ def current(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/v={found[-1]}") if found else None
 
 
-def commit_batch(root: str, spec: TableSpec) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: one new version per batch id; a replayed id changes nothing."""
+def commit_batch(root: str, spec: TableSpec, order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: one new version per batch id; a replayed id changes nothing.
+
+    Of several rows of a key in a batch the one with the largest order stays, then the
+    largest by all columns of the table.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         done = versions(spark, root)
         if number in done:
             return
-        latest = batch.dropDuplicates([spec.key])
+        given = [c for c in spec.columns if c in batch.columns]
+        rank = F.struct(*([order] if order else []), *given)
+        latest = batch.groupBy(spec.key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != spec.key]), rank).alias("row")).select(spec.key, "row.*")
         old = spark.read.parquet(f"{root}/v={done[-1]}") if done else latest.select(*spec.columns).limit(0)
         upsert(old, latest, spec).drop("change").write.mode("overwrite").parquet(f"{root}/v={number}")
         spark.range(number, number + 1).select(F.col("id").alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/_commits")

@@ -160,12 +160,43 @@ def test_contacts_rank_and_redaction(spark):
 
 
 def test_claims_and_drafts(spark):
-    claims = F.array(*map(F.lit, ["Built a thing", "Built a thing", "guaranteed exactly-once", " ", "w " * 33, "Second", "Third"]))
-    assert spark.range(1).select(contacts.approved_claims(claims, F.array(F.lit("Exactly-Once"))).alias("x")).first()["x"] == ["Built a thing", "Second"]
-    pairs = spark.createDataFrame([("j", "c", "Ada", "Dev", "Acme", "Built it.", ["EMAIL", "LINKEDIN", "FAX"])], "job_uid string, contact_uid string, first_name string, title string, company string, claim string, channels array<string>")
+    piece = "struct<allowed_in_outreach: boolean, allowed_atomic_claims: array<string>, forbidden_extrapolations: array<string>>"
+    given = [
+        [(True, [" ", "w " * 33, "Stealth work", "all of X", " Built a thing ", "Other"], ["ALL of"]), (True, ["Second"], None), (True, ["Third"], [])],
+        [(False, ["Built a thing"], []), (True, ["Second"], [])],
+        [(True, ["Same"], []), (True, ["Same"], [])],
+        [(True, [" "], [])],
+    ]
+    frame = spark.createDataFrame([(n, e) for n, e in enumerate(given)], f"n int, e array<{piece}>")
+    assert [r["x"] for r in frame.select("n", contacts.approved_claims(F.col("e")).alias("x")).orderBy("n").collect()] == [["Built a thing", "Second"], ["Second"], ["Same"], []]
+    pairs = spark.createDataFrame([("j", "c", "Ada", "Dev", "Acme", "Built it.", ["EMAIL", "LINKEDIN_MESSAGE", "FAX"])], "job_uid string, contact_uid string, first_name string, title string, company string, claim string, channels array<string>")
     none = spark.createDataFrame([], "draft_id string")
     drafts = contacts.generate_drafts(pairs, none)
-    assert sorted(r["channel"] for r in drafts.collect()) == ["EMAIL", "LINKEDIN"] and contacts.generate_drafts(pairs, drafts).count() == 0
+    assert sorted(r["channel"] for r in drafts.collect()) == ["EMAIL", "LINKEDIN_MESSAGE"] and contacts.generate_drafts(pairs, drafts).count() == 0
+
+
+@pytest.mark.parametrize(("body", "channel", "subject", "wanted"), [("w " * 130, "EMAIL", "s" * 60, None), ("w " * 129, "EMAIL", "", "WORDS_OUTSIDE_LIMIT"), ("w " * 130, "EMAIL", "s" * 61, "SUBJECT_TOO_LONG"), ("x" * 250, "LINKEDIN_CONNECTION", None, None), ("x" * 251, "LINKEDIN_CONNECTION", None, "NOTE_TOO_LONG"), ("Hi {Name}", "FOLLOW_UP", "", "UNRESOLVED_PLACEHOLDER"), ("Hi", "FOLLOW_UP", "[Link]", "UNRESOLVED_PLACEHOLDER"), ("10X faster", "FOLLOW_UP", "", "UNSAFE_CLAIM"), ("", "FOLLOW_UP", "", None), ("x", "FAX", "", "UNKNOWN_CHANNEL")])
+def test_draft_errors(spark, body, channel, subject, wanted):
+    frame = spark.createDataFrame([(body, channel, subject)], "b string, c string, s string")
+    assert frame.select(contacts.draft_error(F.col("b"), F.col("c"), F.col("s")).alias("x")).first()["x"] == wanted
+
+
+def test_contact_rules(spark):
+    base = {"do_not_contact": False, "outreach_allowed": True, "reply_state": "NONE", "retention_expires_at": None, "contact_origin": "USER_CSV", "contactability_basis": "", "last_contacted_at": None, "follow_up_count": 0}
+    at = datetime.fromisoformat
+    cases = [
+        ({}, True, False), ({"do_not_contact": True}, False, False), ({"outreach_allowed": None}, False, False), ({"reply_state": "REPLIED"}, False, False), ({"reply_state": "NO_REPLY"}, True, False),
+        ({"contact_origin": "SCRAPED"}, False, False), ({"contact_origin": None, "contactability_basis": "EXPLICIT_RECRUITING_CHANNEL:page"}, True, False), ({"retention_expires_at": at("2024-03-15T12:00")}, False, False),
+        ({"last_contacted_at": at("2024-03-08T12:00")}, False, True),  # Friday; seven days later
+        ({"last_contacted_at": at("2024-03-08T12:01")}, False, False), ({"last_contacted_at": at("2024-03-09T12:00")}, False, True), ({"last_contacted_at": at("2024-03-10T12:00")}, False, True),
+        ({"last_contacted_at": at("2024-03-11T12:00")}, False, False), ({"last_contacted_at": at("2024-02-14T12:00")}, True, True), ({"last_contacted_at": at("2024-02-14T12:00"), "follow_up_count": 1}, True, False),
+    ]
+    schema = "n int, do_not_contact boolean, outreach_allowed boolean, reply_state string, retention_expires_at timestamp, contact_origin string, contactability_basis string, last_contacted_at timestamp, follow_up_count int"
+    frame = spark.createDataFrame([(n, *(base | change).values()) for n, (change, _, _) in enumerate(cases)], schema)
+    moment = F.lit("2024-03-15T12:00:00").cast("timestamp")
+    found = frame.select("n", contacts.can_contact(moment).alias("a"), contacts.can_contact(moment, follow_up=True).alias("b"), contacts.can_contact(moment, override_reason=F.lit("asked")).alias("c")).orderBy("n").collect()
+    assert [(r["a"], r["b"]) for r in found] == [(a, b) for _, a, b in cases]
+    assert all(r["c"] for r in found[8:])
 
 
 @pytest.mark.parametrize(("before", "after", "why", "ok"), [("NOT_REVIEWED", "APPLIED", "", True), ("NOT_REVIEWED", "ACCEPTED", "", False), ("APPLIED", "REVIEWING", "", False), ("APPLIED", "REVIEWING", "CORRECTION: typo", True), ("REJECTED", "APPLIED", "", False), ("OFFER", "ACCEPTED", "", True), ("REVIEWING", "SKIPPED", "", False), ("REVIEWING", "SKIPPED", "no fit", True), ("X", "APPLIED", "", False)])
