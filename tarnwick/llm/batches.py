@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,42 @@ from pyspark.sql import types as T
 SLICE_BYTES = 4 << 20
 #: a-z for A-Z, every other byte unchanged.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: What empties the caches of the operators that this worker has loaded, and the one whose caches are filled.
+caches: list[Callable[[], None]] = []
+_owner = ""
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def enter(owner: str) -> None:
+    """Workers outlive stages: the caches of another operator are emptied."""
+    global _owner
+    if owner != _owner:
+        for forget in caches:
+            forget()
+        _owner = owner
+
+
+def leave() -> None:
+    """Give the memory that a task has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidied(run: Run, owner: str = "") -> Run:
+    """run, holding no other operator's caches while it works and no freed memory afterwards."""
+    owner = owner or run.__module__
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            leave()
+
+    return held
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -53,4 +90,4 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], work:
             for part in slices(batch, f"c{at}", slice_bytes):
                 yield pa.RecordBatch.from_arrays(part.columns[: len(left)] + work(texts(part.column(at))), names=names)
 
-    return held.mapInArrow(run, T.StructType(left + fields))
+    return held.mapInArrow(tidied(run, work.__module__), T.StructType(left + fields))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnwick.llm.batches import append_columns
+from tarnwick.llm.batches import append_columns, caches
 from tarnwick.llm.units import PieceCache, cutter
 
 _WIDTHS = (4, 6, 8, 12, 16, 24, 32, 64)
@@ -200,6 +200,7 @@ class ByteBpe:
 
 
 _loaded: dict[tuple[str, str], ByteBpe] = {}
+caches.append(_loaded.clear)
 
 
 def load(path: str, pattern: str) -> ByteBpe:

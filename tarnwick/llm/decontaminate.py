@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick import scratch
-from tarnwick.llm.batches import append_columns, texts
+from tarnwick.llm.batches import append_columns, caches, texts, tidied
 from tarnwick.llm.files import get, put
 
 #: ASCII letters lower-cased; bytes that are neither ASCII alphanumeric nor part of a multi-byte character become blanks.
@@ -218,7 +218,7 @@ def item_pieces(benchmark: DataFrame, item_id: str, text: str, window: int, shar
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["item", "n", "words"])
 
-    return items.mapInArrow(run, "item string, n long, words binary")
+    return items.mapInArrow(tidied(run), "item string, n long, words binary")
 
 
 def compile_shards(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> list[str]:
@@ -238,6 +238,7 @@ def compile_shards(spark: SparkSession, benchmark: DataFrame, item_id: str, text
 
 
 _loaded: dict[str, Automaton] = {}
+caches.append(_loaded.clear)
 
 
 def _automaton(name: str) -> Automaton:
@@ -291,4 +292,4 @@ def remove_contamination(marked: DataFrame, text: str = "text", max_coverage: fl
                 batch = batch.set_column(names.index(text), text, pa.array(column, pa.binary()).cast(batch.column(text).type))
             yield batch
 
-    return kept.mapInArrow(run, kept.schema)
+    return kept.mapInArrow(tidied(run), kept.schema)

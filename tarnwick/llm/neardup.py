@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick import scratch
-from tarnwick.llm.batches import LOWER
+from tarnwick.llm.batches import LOWER, leave, tidied
 from tarnwick.llm.batches import texts as texts_of
 from tarnwick.llm.simhash import Ties, add_fingerprints, components, text_key
 from tarnwick.operators.components import connected_components
@@ -67,7 +67,7 @@ def verified(spark: SparkSession, pairs: DataFrame, bodies: DataFrame) -> DataFr
             near = [similarity(shingles((x.as_py() or "").encode()), shingles((y.as_py() or "").encode())) >= SIMILARITY for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return scratch.table(spark, both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    return scratch.table(spark, both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long"), "links")
 
 
 def link_across(nodes: list[int], roots: list[int], chunks: list[int], texts: list[bytes]) -> list[tuple[int, int]]:
@@ -111,6 +111,7 @@ def across(spark: SparkSession, members: DataFrame, bodies: DataFrame) -> DataFr
     def solve(shard: pa.Table) -> pa.Table:
         column = {n: shard.column(n).to_pylist() for n in ("node", "own_root", "chunk")}
         found = link_across(column["node"], column["own_root"], column["chunk"], texts_of(shard.column("text")))
+        leave()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return scratch.table(spark, sharded.join(bodies.select("node", "text"), "node").groupBy("root", "lo", "hi").applyInArrow(solve, "a long, b long"), "links")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick import scratch
-from tarnwick.llm.batches import slices, texts
+from tarnwick.llm.batches import caches, leave, slices, texts, tidied
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -54,6 +54,7 @@ _LONGEST = 256
 #: Bytes of text that one step of counting holds.
 _SLICE_BYTES = 1 << 20
 _words: dict[bytes, int] = {}
+caches.append(_words.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -150,7 +151,7 @@ def emit_runs(rows: DataFrame, window: int, anchor_words: int) -> DataFrame:
                 columns = [_longs(anchor), _longs(content), pa.array(row), pa.array(shard), pa.array((first - seq.begin[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inside)]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "run", "row", "shard", "first", "windows", "inside"])
 
-    return rows.mapInArrow(run, "anchor long, run long, row long, shard int, first int, windows int, inside boolean")
+    return rows.mapInArrow(tidied(run), "anchor long, run long, row long, shard int, first int, windows int, inside boolean")
 
 
 def _windows_of(part: pa.RecordBatch, window: int) -> tuple[Sequence, np.ndarray, dict[str, np.ndarray], np.ndarray]:
@@ -177,7 +178,7 @@ def count_windows(carriers: DataFrame, window: int) -> DataFrame:
                 content = seq.content(at, at + window) if len(at) else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(fields["anchor"], pa.int64()), _longs(content), pa.array(fields["weight"], pa.int64()), pa.array(part.column("row").to_numpy(zero_copy_only=False)[doc]), pa.array(first.astype(np.int32)), pa.array(fields["weight"] == 1)], names=["anchor", "content", "weight", "row", "first", "part"])
 
-    return carriers.mapInArrow(run, "anchor long, content long, weight long, row long, first int, part boolean")
+    return carriers.mapInArrow(tidied(run), "anchor long, content long, weight long, row long, first int, part boolean")
 
 
 def phrase_words(carriers: DataFrame, window: int) -> DataFrame:
@@ -203,7 +204,7 @@ def phrase_words(carriers: DataFrame, window: int) -> DataFrame:
                 digest = pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64()).view(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), digest, pa.array(words, pa.binary())], names=["anchor", "content", "words"])
 
-    return carriers.mapInArrow(run, "anchor long, content long, words binary")
+    return carriers.mapInArrow(tidied(run), "anchor long, content long, words binary")
 
 
 def confirmed(spark: SparkSession, rows: DataFrame, window: int, anchor_words: int) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +290,9 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", win
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         docs_here = left.select([f"c{n}" for n in range(len(names))]).rename_columns(names)
-        return pa.Table.from_arrays([docs_here.column(f.name).combine_chunks() for f in kept] + remove_phrases(docs_here, right, text, keep_text), names=[f.name for f in kept + fields])
+        columns = remove_phrases(docs_here, right, text, keep_text)
+        leave()
+        return pa.Table.from_arrays([docs_here.column(f.name).combine_chunks() for f in kept] + columns, names=[f.name for f in kept + fields])
 
     whole = dealt.select(shard.alias("__shard"), *[F.col(f"__doc.`{c}`").alias(f"c{n}") for n, c in enumerate(names)])
     return whole.groupBy("__shard").cogroup(sent.groupBy("__shard")).applyInArrow(run, T.StructType(kept + fields))

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick import scratch
-from tarnwick.llm.batches import LOWER, append_columns
+from tarnwick.llm.batches import LOWER, append_columns, tidied
 from tarnwick.operators.components import connected_components, with_least
 
 SEED = 42
@@ -211,7 +211,7 @@ def routed(points: DataFrame, forest: Forest) -> DataFrame:
                 shard = np.concatenate([np.full(len(at), number << 32 | leaf, np.int64) for leaf, at in found])
                 yield _sharded_batch(batch, prints, shard, np.full(len(shard), number, np.int32), np.concatenate([at for _, at in found]))
 
-    return points.select("node", "prints").mapInArrow(run, _SHARDED)
+    return points.select("node", "prints").mapInArrow(tidied(run), _SHARDED)
 
 
 def shard_sizes(points: DataFrame, forest: Forest) -> DataFrame:
@@ -223,7 +223,7 @@ def shard_sizes(points: DataFrame, forest: Forest) -> DataFrame:
             found = [(number << 32 | leaf, len(at)) for number, tree in enumerate(forest.trees) for leaf, at in tree.route(prints[:, number // forest.blocks])]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["shard", "n"])
 
-    return points.select("node", "prints").mapInArrow(run, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    return points.select("node", "prints").mapInArrow(tidied(run), "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
 
 
 def _deeper(large: DataFrame, forest: Forest) -> DataFrame:
@@ -240,7 +240,7 @@ def _deeper(large: DataFrame, forest: Forest) -> DataFrame:
                         shard = _mix(outer[rows[at]] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part << 32 | leaf)).view(np.int64)
                         yield _sharded_batch(batch, prints, shard, np.full(len(at), number, np.int32), rows[at])
 
-    return large.mapInArrow(run, _SHARDED)
+    return large.mapInArrow(tidied(run), _SHARDED)
 
 
 def shards(spark: SparkSession, points: DataFrame, forest: Forest, most_rows: int) -> DataFrame:
@@ -365,7 +365,7 @@ def links(sharded: DataFrame, forest: Forest, radius: int) -> DataFrame:
         if held:
             yield solve(pa.concat_batches(held))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def components(spark: SparkSession, points: DataFrame, radius: int = 4, blocks: int = 3, reach: int | None = None, leaf_rows: int = 1024, most_rows: int = 65_536, sample_rows: int = 32_768) -> DataFrame:

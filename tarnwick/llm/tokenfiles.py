@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick import scratch
-from tarnwick.llm.batches import slices, texts
+from tarnwick.llm.batches import caches, slices, texts, tidied
 from tarnwick.llm.files import put
 from tarnwick.llm.units import BYTE_LEVEL, PieceCache, cutter, plain
 
@@ -78,6 +78,7 @@ class LibraryEncoder:
 
 
 _loaded: dict[str, LibraryEncoder] = {}
+caches.append(_loaded.clear)
 
 
 def load(path: str) -> LibraryEncoder:
@@ -157,7 +158,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str, e
         if counts:
             yield pa.RecordBatch.from_pylist(counts, manifest)
 
-    return scratch.table(spark, dealt.mapInArrow(run, "part long, file string, n_docs long, n_tokens long"), "manifest")
+    return scratch.table(spark, dealt.mapInArrow(tidied(run), "part long, file string, n_docs long, n_tokens long"), "manifest")
 
 
 def sequences(data: pa.Buffer | bytes | pa.NativeFile) -> pa.RecordBatch:
@@ -198,4 +199,4 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows)), *columns], names=["file", *numbers])
 
     schema = T.StructType([T.StructField("file", T.StringType()), *(T.StructField(n, T.LongType()) for n in numbers)])
-    return files.mapInArrow(run, schema).join(placed(manifest), "file").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return files.mapInArrow(tidied(run), schema).join(placed(manifest), "file").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick import scratch
-from tarnwick.llm.batches import append_columns, slices, texts
+from tarnwick.llm.batches import append_columns, slices, texts, tidied
 from tarnwick.llm.decontaminate import words_of
 
 BUCKETS = 1 << 22
@@ -170,7 +170,7 @@ def count_terms(labelled: DataFrame) -> DataFrame:
                 n1, n0 = np.concatenate([ones[1], 0 * zeros[1]]), np.concatenate([0 * ones[1], zeros[1]])
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (bucket, n1, n0)], names=["bucket", "ones", "zeros"])
 
-    return labelled.mapInArrow(run, "bucket long, ones long, zeros long").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    return labelled.mapInArrow(tidied(run), "bucket long, ones long, zeros long").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
 def choose_inputs(labelled: DataFrame, telling: int, frequent: int, least_texts: int, least_gain: float) -> dict[int, int]:

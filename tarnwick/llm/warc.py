@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick import scratch
-from tarnwick.llm.batches import slices, texts
+from tarnwick.llm.batches import slices, texts, tidied
 from tarnwick.llm.files import put
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -114,7 +114,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_byt
         if files:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in files]), pa.array([n for _, n in files], pa.int64())], names=["file", "n_records"])
 
-    return scratch.table(spark, ready.mapInArrow(run, "file string, n_records long"), "archives")
+    return scratch.table(spark, ready.mapInArrow(tidied(run), "file string, n_records long"), "archives")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -171,7 +171,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, _RECORD)
 
-    return found.mapInArrow(run, "record_id string, concurrent_to string, type string, target_uri string, date string, refers_to string, stated_digest string, payload_digest string, payload_bytes long, head string, payload binary")
+    return found.mapInArrow(tidied(run), "record_id string, concurrent_to string, type string, target_uri string, date string, refers_to string, stated_digest string, payload_digest string, payload_bytes long, head string, payload binary")
 
 
 def assemble(records: DataFrame) -> DataFrame:
