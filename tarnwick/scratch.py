@@ -6,6 +6,7 @@ survives lost executors, is columnar, and gives the next plan real sizes.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,7 +57,14 @@ def drop(spark: SparkSession, df_or_path: DataFrame | str) -> None:
             _written.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the broadcasts and shuffle files of finished jobs, which it does once the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every scratch table of this process; call when results are stored."""
     for path in list(_written):
         drop(spark, path)
+    release(spark)
