@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.plans import events, records, relations, texts
+from tarnwick.plans import events, ledgers, records, relations, texts
 
-_MODULES = (events, relations, texts, records)
+_MODULES = (events, relations, texts, records, ledgers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
