@@ -31,6 +31,20 @@ def decisions(jobs: DataFrame, existing: DataFrame, changes: DataFrame) -> DataF
     return named.select("alert_id", "job_uid", "alert_type", "material_version", "priority_score").join(existing.select("alert_id"), "alert_id", "left_anti")
 
 
+def material_version(priority_transition: Column | None = None, template: str = "v1") -> Column:
+    """HSH-05: digest of what a reader would have to be told again; no clock, age or score is part of it.
+
+    Reads the normalized columns, apply_url being canonical. Null differs from empty, except for the URL.
+    """
+    names = ("location", "work_mode", "visa_text", "min_years", "max_years", "education_constraint")
+    text = lambda c: F.col(c).cast("string")
+    url = F.coalesce("apply_url", F.lit(""))
+    return digest(
+        publication=text("posted_at_source"), publication_confidence=F.col("posted_at_confidence"), priority_transition=F.lit("") if priority_transition is None else priority_transition, apply_url=F.when(url != "", F.sha2(url, 256)).otherwise(""),
+        active_state=F.col("active_state"), deadline=text("deadline"), eligibility=digest(**{n: text(n) for n in names}), description_sequence=F.col("material_change_sequence"), template=F.lit(template),
+    )
+
+
 def used_today(existing: DataFrame, now: Column) -> DataFrame:
     """OBX-02: distinct bundles or alerts of today's IST day that are no longer pending."""
     day = lambda x: F.to_date(F.from_utc_timestamp(x, IST))

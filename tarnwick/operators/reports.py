@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,30 @@ def enum_counts(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return listed.join(df.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n")), "label", "left").select("label", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+AMOUNTS = ("salary_base_min", "salary_base_max", "salary_total_min", "salary_total_max")
+SOURCED = ("OBSERVED", "SOURCE_BACKED", "EXACT")
+
+
+def pay_figures(jobs: DataFrame, target_lakh: float | None) -> DataFrame:
+    """AGG-19: share of named records with a known, sourced amount, and how many reach the target; one row.
+
+    Without records the rate is null, without a positive target the number is.
+    """
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    amount = reduce(or_, (F.col(c).isNotNull() for c in AMOUNTS))
+    yearly = F.upper("salary_period").isin("ANNUAL", "YEAR") & (F.col("salary_currency") == "INR") & F.col("salary_confidence").isin(*SOURCED)
+    open_ = ~F.col("active_state").eqNullSafe("CLOSED") & ~F.col("action_priority").eqNullSafe("EXCLUDED")
+    reached = (F.col("salary_base_min") >= target_lakh * 100_000) & yearly & filled("salary_source") & open_ if target_lakh and target_lakh > 0 else None
+    count = F.lit(None).cast("long") if reached is None else F.count_if(F.coalesce(reached, F.lit(False)))
+    return jobs.where(filled("job_uid")).agg(F.avg((amount & filled("salary_source")).cast("int")).alias("known_pay_rate"), count.alias("reach_target"))
+
+
+def source_figures(sources: DataFrame, now: Column) -> DataFrame:
+    """AGG-19: largest cadence and oldest last success, in hours, of enabled sources; one row, null without any."""
+    past = F.when(F.col("last_success_at") <= now, hours_between(F.col("last_success_at"), now))
+    return sources.where("enabled").agg(F.max("cadence_hours").alias("largest_cadence"), F.max(past).alias("largest_age"))
+
+
 def action_queue(jobs: DataFrame, applications: DataFrame, outreach: DataFrame, now_local: str) -> DataFrame:
     """RPT-02: open records by priority, overdue first, due, uid.
 

@@ -210,7 +210,7 @@ _ORIGINS, _RELATIONS = ("USER_CSV", "GOOGLE_CONTACTS_EXPORT", "PUBLIC_PAGE", "UN
 
 
 def contact_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CTC-01, JON-03, WIN-01/03: suppliers as records, customers of their nation as contacts; the best three."""
+    """CTC-01, JON-03, WIN-01/03: suppliers as records, customers of their nation as contacts; the best forty."""
     k = F.col("c_custkey")
     people = read_table(spark, sf_dir, "customer").select(
         F.concat(F.lit("contact_"), k.cast("string")).alias("contact_uid"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"), F.lit(" Pvt Ltd")).alias("company"), (k % 11 == 0).alias("do_not_contact"), F.when(k % 13 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("retention_expires_at"),
@@ -218,7 +218,7 @@ def contact_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 8 == 2, "EXPLICIT_RECRUITING_CHANNEL: page").alias("contactability_basis"), _pick(_RELATIONS, k).alias("relationship_basis"), F.when(k % 3 == 0, "https://example.org/in").alias("linkedin_url"), F.when(k % 3 == 1, "a@example.org").alias("work_email"), (k % 2 == 0).alias("whatsapp_allowed"),
     )
     jobs = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("job_uid"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("normalized_company"))
-    return contacts.rank_contacts(jobs, people, _now(), top=3).select("job_uid", "contact_uid", F.col("strength").cast("long").alias("strength"), "candidate_type", "recommended_channel", F.col("rank").cast("long").alias("rank"))
+    return contacts.rank_contacts(jobs, people, _now(), top=40).select("job_uid", "contact_uid", F.col("strength").cast("long").alias("strength"), "candidate_type", "recommended_channel", F.col("rank").cast("long").alias("rank"))
 
 
 CONTACT_RANKS = f"""
@@ -229,7 +229,7 @@ with people as (
 told as (select *, case when own and fresh then case when relation in ('CLOSE_CONNECTION', 'FORMER_COLLEAGUE') then 0 when relation = 'FIRST_DEGREE_IMPORTED' then 1 else 2 end when not own and open_channel then 3 end as strength,
   case when own then case when relation = 'AGREED_REFERRAL' then 'CONFIRMED_REFERRER' else 'WARM_CONNECTION' end else 'PERMITTED_RECRUITER' end as candidate_type from people)
 select cast(s_suppkey as varchar) as job_uid, contact_uid, strength, candidate_type, recommended_channel, row_number() over (partition by s_suppkey order by strength, contact_uid) as rank
-from supplier join told on s_nationkey = c_nationkey where strength is not null qualify rank <= 3
+from supplier join told on s_nationkey = c_nationkey where strength is not null qualify rank <= 40
 """
 
 QUERIES = {f.__name__: f for f in (miss_batch, miss_closure, missing_alone, facts_by_record, command_replay, alert_decisions, outbox_claim, contact_ranks)}

@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.functions.dates import instant
+from tarnwick.functions.hashing import digest
+
 RAW = ("source_id", "provider", "tenant", "provider_job_id", "title", "company", "location", "description", "url", "apply_url", "fetched_at", "posted_at_raw", "updated_at_raw", "deadline_raw", "salary_text", "official_link_state")
 _GREENHOUSE = "id: string, title: string, location: struct<name: string>, absolute_url: string, first_published: string, updated_at: string, application_deadline: string, content: string, pay_input_ranges: array<variant>"
 _LEVER = "id: string, text: string, categories: struct<location: string>, descriptionPlain: string, description: string, lists: array<struct<text: string, content: string>>, hostedUrl: string, applyUrl: string, salaryRange: variant"
@@ -102,3 +105,11 @@ def parse(payloads: DataFrame) -> Parsed:
         rows, errors = rows.unionByName(one.rows), errors.unionByName(one.errors)
     other = payloads.where(~F.col("provider").isin(*known)).select("source_id", "url", F.lit("UNKNOWN_PROVIDER").alias("error"))
     return Parsed(rows, errors.unionByName(other))
+
+
+def listing_version(parser_version: str) -> Column:
+    """HSH-06: digest of a raw row's listing fields; rows without an update time with an offset raise."""
+    updated = instant(F.col("updated_at_raw"))
+    known = F.when(updated.isNull(), F.raise_error(F.lit("LISTING_VERSION_REQUIRED")).cast("long")).otherwise(F.unix_micros(updated))
+    fields = {n: F.coalesce(n, F.lit("")) for n in ("provider_job_id", "tenant", "company", "title", "location", "url")}
+    return digest(**fields, updated=known, parser=F.lit(parser_version))
