@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnwick import scratch
-from tarnwick.llm import bpe, chat, decontaminate, oracles, passages, quality, sharding, simhash, tokenfiles, toxicity, warc
+from tarnwick.llm import bpe, chat, decontaminate, infill, lines, oracles, passages, quality, sharding, simhash, spelling, tokenfiles, toxicity, warc
 from tarnwick.tables import read_table
 
 
@@ -68,6 +69,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs, trees).drop("text")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = {"output_sha256": F.sha2("fim_text", 256), "restored_sha256": F.sha2(infill.restored(), 256)}
+    return made.withColumns(digests).select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
