@@ -8,17 +8,17 @@ whose word sequence starts anywhere else, in the same document or in another one
    anchors that recur matter; about one word in fifteen starts a new one. Consecutive
    windows of one anchor form a run. A run that recurs as a whole is a phrase. Where
    an anchor recurs but the run does not (passage edges, edited copies) the windows of
-   its distinct runs are counted one by one, and stretches of recurring ones are
-   phrases. Both are counts by (anchor hash, content hash), 128 bits together,
+   its distinct runs are counted one by one, and stretches of recurring ones inside a
+   run are phrases. Both are counts by (anchor hash, content hash), 128 bits together,
    combined map-side, so a passage in a third of all documents stays cheap. Counting
-   keeps one carrier of each distinct run, from which the words of the phrase are
+   keeps one carrier of each distinct run, from which the words of its phrases are
    read; it does not know where else a phrase occurs.
-2. Documents are dealt into shards of about ``shard_bytes``. A phrase is sent to the
-   shards in which its anchor occurs: an occurrence has the phrase's anchor, so no
-   other shard can hold it, and no shard gets more phrases than its documents have
-   anchors for. Shards compile their distinct phrases into an Aho-Corasick automaton
-   over words with pyahocorasick, and all documents of the shard stream through it;
-   the automaton alone decides what is removed.
+2. Documents are dealt into shards of about ``shard_bytes``. Every recurring window of
+   a run is inside a phrase of that run, so a shard gets the phrases of the runs that
+   its documents hold, by (anchor, run), and no others: what is sent grows with the
+   runs, which grow with the text. Shards compile their distinct phrases into an
+   Aho-Corasick automaton over words with pyahocorasick, and all documents of the
+   shard stream through it; the automaton alone decides what is removed.
 
 Words become two letters each of an alphabet as large as the root of the shard's
 vocabulary, since a node of the automaton looks for its child one by one; any number
@@ -50,7 +50,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM_BASE = np.uint64(0xD1B54A32D192ED03)
 _MOST_WORDS = 150_000
-_LONGEST = 256
 #: Bytes of text that one step of counting holds.
 _SLICE_BYTES = 1 << 20
 _words: dict[bytes, int] = {}
@@ -103,10 +102,10 @@ class Sequence:
         return _mix(total)
 
 
-def runs(seq: Sequence, window: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(seq: Sequence, window: int, anchor_words: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, anchor hash, anchor repeats inside) of each run, in words of the slice.
 
-    A run is a stretch of windows of one document with one least hash, cut at _LONGEST windows.
+    A run is a stretch of windows of one document with one least hash, cut at longest windows.
     """
     none = np.empty(0, np.int64)
     reach, n = window - anchor_words + 1, len(seq.hashes) - window + 1
@@ -127,7 +126,7 @@ def runs(seq: Sequence, window: int, anchor_words: int) -> tuple[np.ndarray, np.
     if not len(begin):
         return none, none, np.empty(0, np.uint64), np.empty(0, bool)
     held = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    new |= inside & ((np.arange(n) - held) % _LONGEST == 0)
+    new |= inside & ((np.arange(n) - held) % longest == 0)
     first = np.flatnonzero(new)
     count = np.bincount((np.cumsum(new) - 1)[inside], minlength=len(first))
     return first, count, value[first], place[first + count - 1] != place[first]
@@ -137,14 +136,14 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def emit_runs(rows: DataFrame, window: int, anchor_words: int) -> DataFrame:
+def emit_runs(rows: DataFrame, window: int, anchor_words: int, longest: int = 256) -> DataFrame:
     """(anchor, run, row, shard, first, windows, inside) of every run; first counts words of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
                 seq = Sequence(texts(part.column("text")))
-                first, count, anchor, inside = runs(seq, window, anchor_words)
+                first, count, anchor, inside = runs(seq, window, anchor_words, longest)
                 doc = np.searchsorted(seq.begin, first, "right") - 1
                 content = seq.content(first, first + count + window - 1) if len(first) else np.empty(0, np.uint64)
                 row, shard = (part.column(n).to_numpy(zero_copy_only=False)[doc] for n in ("row", "shard"))
@@ -168,7 +167,7 @@ def _windows_of(part: pa.RecordBatch, window: int) -> tuple[Sequence, np.ndarray
 
 
 def count_windows(carriers: DataFrame, window: int) -> DataFrame:
-    """(anchor, content) of the windows that recur, of carriers (row, text, runs: anchor, first, windows, weight)."""
+    """(anchor, run, content, weight, row, first, part) of each window, of carriers (row, text, runs: anchor, run, first, windows, weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,56 +175,65 @@ def count_windows(carriers: DataFrame, window: int) -> DataFrame:
                 seq, doc, fields, first = _windows_of(part, window)
                 at = seq.begin[doc] + first
                 content = seq.content(at, at + window) if len(at) else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(fields["anchor"], pa.int64()), _longs(content), pa.array(fields["weight"], pa.int64()), pa.array(part.column("row").to_numpy(zero_copy_only=False)[doc]), pa.array(first.astype(np.int32)), pa.array(fields["weight"] == 1)], names=["anchor", "content", "weight", "row", "first", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(fields["anchor"], pa.int64()), pa.array(fields["run"], pa.int64()), _longs(content), pa.array(fields["weight"], pa.int64()), pa.array(part.column("row").to_numpy(zero_copy_only=False)[doc]), pa.array(first.astype(np.int32)), pa.array(fields["weight"] == 1)], names=["anchor", "run", "content", "weight", "row", "first", "part"])
 
-    return carriers.mapInArrow(tidied(run), "anchor long, content long, weight long, row long, first int, part boolean")
+    return carriers.mapInArrow(tidied(run), "anchor long, run long, content long, weight long, row long, first int, part boolean")
 
 
 def phrase_words(carriers: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, words) of carriers (row, text, runs: anchor, first, windows): the words of each stretch."""
+    """(anchor, run, words) of carriers (row, text, runs: anchor, run, first, windows): the words of each stretch.
+
+    Windows of one run that follow on are one stretch; runs are never joined with one
+    another, as a document may hold one of them alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
-                anchors, words = [], []
+                anchors, runs_of, words = [], [], []
                 for text, stretches in zip(texts(part.column("text")), part.column("runs").to_pylist(), strict=True):
                     split = text.split()
-                    merged: dict[int, list[list[int]]] = {}
-                    for s in sorted(stretches, key=lambda s: s["first"]):  # windows of one anchor that follow on are one phrase
-                        own = merged.setdefault(s["anchor"], [])
+                    merged: dict[tuple[int, int], list[list[int]]] = {}
+                    for s in sorted(stretches, key=lambda s: s["first"]):
+                        own = merged.setdefault((s["anchor"], s["run"]), [])
                         if own and own[-1][1] >= s["first"]:
                             own[-1][1] = max(own[-1][1], s["first"] + s["windows"])
                         else:
                             own.append([s["first"], s["first"] + s["windows"]])
-                    for anchor, spans in merged.items():
+                    for (anchor, of_run), spans in merged.items():
                         for begin, end in spans:
                             anchors.append(anchor)
+                            runs_of.append(of_run)
                             words.append(b" ".join(split[begin : end + window - 1]))
-                digest = pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64()).view(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), digest, pa.array(words, pa.binary())], names=["anchor", "content", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(runs_of, pa.int64()), pa.array(words, pa.binary())], names=["anchor", "run", "words"])
 
-    return carriers.mapInArrow(tidied(run), "anchor long, content long, words binary")
+    return carriers.mapInArrow(tidied(run), "anchor long, run long, words binary")
 
 
-def confirmed(spark: SparkSession, rows: DataFrame, window: int, anchor_words: int) -> tuple[DataFrame, DataFrame]:
-    """(anchor, words) of every distinct phrase, and (shard, anchor): the shards in which a recurring anchor occurs."""
-    every = scratch.table(spark, emit_runs(rows, window, anchor_words), "runs")
+def confirmed(spark: SparkSession, rows: DataFrame, window: int, anchor_words: int, longest: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(anchor, run, words) of every phrase, and (shard, anchor, run): the shards in which a run of a recurring anchor occurs."""
+    every = scratch.table(spark, emit_runs(rows, window, anchor_words, longest), "runs")
     met = F.sum(F.when(F.col("inside"), 2).otherwise(1))
     again = every.groupBy("anchor").agg(met.alias("times")).where("times > 1").select("anchor")
     some = scratch.table(spark, every.join(scratch.table(spark, again, "anchors"), "anchor", "left_semi"), "recurring-runs")
     scratch.drop(spark, every)
     by_run = scratch.table(spark, some.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.max("inside").alias("inside"), F.min(F.struct("row", "first", "windows")).alias("at")), "distinct-runs")
     mixed = by_run.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.max("inside").alias("inside")).where("(kinds > 1 or inside) and fewest = 1").select("anchor")
-    edges = by_run.join(scratch.table(spark, mixed, "mixed-anchors"), "anchor", "left_semi").select("at.row", F.struct("anchor", "at.first", "at.windows", F.least("times", F.lit(2)).alias("weight")).alias("run"))
-    carriers = rows.select("row", "text").join(edges.groupBy("row").agg(F.collect_list("run").alias("runs")), "row")
+    edges = by_run.join(scratch.table(spark, mixed, "mixed-anchors"), "anchor", "left_semi").select("at.row", F.struct("anchor", "run", "at.first", "at.windows", F.least("times", F.lit(2)).alias("weight")).alias("edge"))
+    carriers = rows.select("row", "text").join(edges.groupBy("row").agg(F.collect_list("edge").alias("runs")), "row")
     windows = scratch.table(spark, count_windows(carriers, window), "windows")
     twice = windows.groupBy("anchor", "content").agg(F.sum("weight").alias("n")).where("n > 1")
     # Of a run that is met once, the windows that recur; of one that recurs, all.
-    part = windows.where("part").join(scratch.table(spark, twice.select("anchor", "content"), "recurring-windows"), ["anchor", "content"], "left_semi").select("row", F.struct("anchor", "first", F.lit(1).alias("windows")).alias("run"))
-    whole = by_run.where("times > 1").select("at.row", F.struct("anchor", "at.first", "at.windows").alias("run"))
-    stretches = whole.unionAll(part).groupBy("row").agg(F.collect_list("run").alias("runs"))
-    phrases = phrase_words(rows.select("row", "text").join(stretches, "row"), window).groupBy("anchor", "content").agg(F.first("words").alias("words")).select("anchor", "words")
-    return scratch.table(spark, phrases, "phrases"), some.select("shard", "anchor").distinct()
+    part = windows.where("part").join(scratch.table(spark, twice.select("anchor", "content"), "recurring-windows"), ["anchor", "content"], "left_semi").select("row", F.struct("anchor", "run", "first", F.lit(1).alias("windows")).alias("stretch"))
+    whole = by_run.where("times > 1").select("at.row", F.struct("anchor", "run", "at.first", "at.windows").alias("stretch"))
+    stretches = whole.unionAll(part).groupBy("row").agg(F.collect_list("stretch").alias("runs"))
+    phrases = phrase_words(rows.select("row", "text").join(stretches, "row"), window)
+    return scratch.table(spark, phrases, "phrases"), some.select("shard", "anchor", "run").distinct()
+
+
+def sent_to_shards(phrases: DataFrame, places: DataFrame) -> DataFrame:
+    """(shard, words): each shard's phrases, at most those of the runs that it holds."""
+    return places.join(phrases, ["anchor", "run"]).select(F.col("shard").alias("__shard"), "words")
 
 
 class Phrases:
@@ -253,9 +261,9 @@ class Phrases:
         return edge[:-1].cumsum() > 0
 
 
-def remove_phrases(docs: pa.Table, phrases: pa.Table, text: str, keep_text: bool) -> list[pa.Array]:
+def remove_phrases(docs: pa.Table, phrases: pa.Table, text: str, keep_text: bool, automaton: type[Phrases] = Phrases) -> list[pa.Array]:
     """n_words, n_removed, kept_sha256 and, on demand, kept_text of the documents of one shard."""
-    found = Phrases([w.split(b" ") for w in phrases.column("words").to_pylist()])
+    found = automaton([w.split(b" ") for w in set(phrases.column("words").to_pylist())])
     n_words, n_removed, digests, texts_left = [], [], [], []
     for whole in texts(docs.column(text)):
         words = whole.split()
@@ -270,11 +278,12 @@ def remove_phrases(docs: pa.Table, phrases: pa.Table, text: str, keep_text: bool
     return [*columns, pa.array(texts_left, pa.binary()).cast(pa.string())] if keep_text else columns
 
 
-def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = 35, anchor_words: int = 8, keep_text: bool = True, shard_bytes: int = 1 << 19) -> DataFrame:
+def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = 35, anchor_words: int = 8, keep_text: bool = True, shard_bytes: int = 1 << 19, longest_run: int = 256, automaton: type[Phrases] = Phrases) -> DataFrame:
     """docs plus n_words, n_removed, kept_sha256 and, on demand, kept_text; without it, text is left out too.
 
     Kept words are joined by single blanks; kept_text is the original text where nothing
-    is removed, and the empty one for a null.
+    is removed, and the empty one for a null. Runs are
+    cut at longest_run windows; automaton finds the phrases of a shard.
     """
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * keep_text
     named = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
@@ -285,12 +294,12 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, text: str = "text", win
     size = dealt.agg(F.sum(F.octet_length(F.col(f"__doc.`{text}`")))).first()[0] or 0
     shard = F.pmod(F.xxhash64("__row"), F.lit(max(1, -(-size // shard_bytes)))).cast("int")
     rows = dealt.select(F.col("__row").alias("row"), shard.alias("shard"), F.coalesce(F.col(f"__doc.`{text}`"), F.lit("")).alias("text"))
-    phrases, places = confirmed(spark, rows, window, anchor_words)
-    sent = places.join(phrases, "anchor").select(F.col("shard").alias("__shard"), "words")
+    phrases, places = confirmed(spark, rows, window, anchor_words, longest_run)
+    sent = sent_to_shards(phrases, places)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         docs_here = left.select([f"c{n}" for n in range(len(names))]).rename_columns(names)
-        columns = remove_phrases(docs_here, right, text, keep_text)
+        columns = remove_phrases(docs_here, right, text, keep_text, automaton)
         leave()
         return pa.Table.from_arrays([docs_here.column(f.name).combine_chunks() for f in kept] + columns, names=[f.name for f in kept + fields])
 

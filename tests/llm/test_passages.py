@@ -49,17 +49,60 @@ def test_odd_documents(spark, odd_documents):
     assert {"lang", "source", "score"} <= set(found.columns)
 
 
-def test_the_automaton_decides(spark, odd_documents, monkeypatch):
-    """Without occurrences from the automaton nothing is removed: counting knows no places."""
-    monkeypatch.setattr(passages.Phrases, "covered", lambda self, words: np.zeros(len(words), bool))
-    parts = dedup_passages(spark, odd_documents)  # the patch does not reach worker processes
+def test_the_automaton_decides(spark, odd_documents):
+    """What the automaton does not find stays: counting knows no places."""
+
+    class Blind(passages.Phrases):
+        def covered(self, words):
+            return np.zeros(len(words), bool)
+
+    assert dedup_passages(spark, odd_documents, automaton=Blind).where("n_removed > 0").count() == 0
+    assert dedup_passages(spark, odd_documents).where("n_removed > 0").count() > 0
     docs, phrases = pa.table({"text": ["a b c d"]}), pa.table({"words": [b"b c"]})
-    assert passages.remove_phrases(docs, phrases, "text", False)[1].to_pylist() == [0] and parts.columns
-    monkeypatch.undo()
     assert passages.remove_phrases(docs, phrases, "text", False)[1].to_pylist() == [2]
     assert passages.remove_phrases(docs, phrases.slice(0, 0), "text", False)[1].to_pylist() == [0]
 
 
+def table_rows(seed, head, filler, rows):
+    """A table whose rows share a head and differ in the words after it; its first words; other text."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    start = [word(5) for _ in range(head)]
+    whole = [w for _ in range(rows) for w in [*start, *(word(4) for _ in range(filler))]]
+    part = whole[: len(whole) // 3] + [word(6) for _ in range(50)]
+    return [" ".join(whole), " ".join(part), " ".join(whole), " ".join([word(6) for _ in range(40)] + whole[-len(whole) // 4 :])]
+
+
+@pytest.mark.parametrize("longest", [256, 10, 3])
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_of_tables(spark, seed, longest):
+    """A document that holds some of the runs of a longer passage loses these."""
+    texts = table_rows(seed, 20, 7, 40) + table_rows(seed + 50, 8, 20, 30)
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert rows(dedup_passages(spark, docs, keep_text=False, longest_run=longest)) == brute(texts, 35)
+
+
+def shared_opening(n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    opening = " ".join(word() for _ in range(40))
+    bodies = [" ".join(word() for _ in range(60)) for _ in range(n // 2)]
+    return [f"{opening} {b}" for b in bodies for _ in range(2)]
+
+
+def test_what_is_sent_grows_with_the_input(spark):
+    """A shared opening and bodies met twice: an anchor of many phrases does not send all of them to all its shards."""
+    counts = []
+    for n in (200, 400, 800):
+        rows_of = [(k, k % (n // 7), t) for k, t in enumerate(shared_opening(n))]
+        frame = spark.createDataFrame(rows_of, "row long, shard int, text string")
+        phrases, places = passages.confirmed(spark, frame, 35, 8)
+        sent, held = passages.sent_to_shards(phrases, places), passages.emit_runs(frame, 35, 8).count()
+        assert sent.count() <= held
+        counts.append(sent.count())
+    assert counts[1] < 2.4 * counts[0] and counts[2] < 2.4 * counts[1]
+
+
 def test_any_number_of_different_words():
     many = [[b"%d" % n, b"%d" % (n + 1)] for n in range(0, 1_300_000, 2)]
     found = passages.Phrases(many)
