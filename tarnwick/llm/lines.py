@@ -79,7 +79,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
     scratch.drop(spark, lines)
     left = docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)], *[h.alias(n) for h, n in zip(_hashes(value), ("t1", "t2"), strict=True)])
     at = {c: f"c{n}" for n, c in enumerate(docs.columns)}
-    met = left.join(drops, F.col(at[doc_id]).eqNullSafe(F.col("id")) & (left["t1"] == drops["t1"]) & (left["t2"] == drops["t2"]), "left")
+    # The positions are the hashed side: texts stream past them, without a sort that holds texts.
+    met = left.join(drops.hint("shuffle_hash"), F.col(at[doc_id]).eqNullSafe(F.col("id")) & (left["t1"] == drops["t1"]) & (left["t2"] == drops["t2"]), "left")
     body = F.coalesce(F.col(at[text]), F.lit(""))
     n_lines = (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_dropped = F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long")
