@@ -95,43 +95,6 @@ def test_similarity_is_the_longest_common_subsequence(a, b):
     assert resolve.similarity(a, b) == pytest.approx(wanted)
 
 
-def record(seq, **changes):
-    at = datetime(2026, 8, 15)
-    identity = {"provider": "p", "tenant": "t", "provider_job_id": "", "canonical_url": "", "requisition_id": "", "requisition_namespace": ""}
-    base = {
-        "seq": seq, "job_uid": f"u{seq}", "normalized_company": "acme", "title": "backend engineer", "normalized_title": "backend engineer", "location": "Pune", "work_mode": "ONSITE", "description": "java work on services", "description_hash": "h",
-        "experience_text": "", "deadline": None, "apply_url": "", "canonical_url": "", "official_link_state": "VERIFIED_OFFICIAL", "identities": [identity], "posted_at_source": None, "posted_at_confidence": "MISSING", "age_hours_min": None,
-        "age_hours_max": None, "first_seen_at": at, "last_seen_at": at, "baseline": True, "quarantine_reason": "", "active_state": "ACTIVE", "members": 1, "changes": 0, "last_changed_at": None, "normalized_location": "pune", "body_tokens": ["java", "work", "on", "services"],
-    }
-    own = {k: v for k, v in changes.items() if k in identity}
-    return base | {k: v for k, v in changes.items() if k in base} | {"identities": [identity | own]}
-
-
-@pytest.mark.parametrize(
-    ("a", "b", "wanted"),
-    [
-        ({"provider_job_id": "1"}, {"provider_job_id": "1"}, "EXACT_PROVIDER_ID"), ({"provider_job_id": "1", "canonical_url": "u"}, {"provider_job_id": "2", "canonical_url": "u"}, ""), ({"canonical_url": "u", "normalized_company": "x"}, {"canonical_url": "u"}, "EXACT_CANONICAL_URL"),
-        ({"requisition_id": "1", "requisition_namespace": "n"}, {"requisition_id": "1", "requisition_namespace": "n"}, "EXACT_REQUISITION"), ({}, {}, "EXACT_FINGERPRINT"), ({}, {"description_hash": "other"}, "FUZZY_HIGH_CONFIDENCE"), ({}, {"work_mode": "REMOTE"}, ""),
-        ({}, {"normalized_company": "x"}, ""), ({}, {"posted_at_source": datetime(2026, 8, 15) - timedelta(days=46)}, ""), ({}, {"body_tokens": ["java", "work", "on", "services", "now"]}, "GRAY_ZONE"),
-    ],
-)
-def test_match_reasons(a, b, wanted):
-    assert resolve.reason(record(0, **a), record(1, **b), resolve.Thresholds()) == wanted
-
-
-def test_gray_zone_only_marks_what_stays_apart():
-    gray = record(1, body_tokens=["java", "work", "on", "services", "now"])
-    kept = resolve.fold([record(0), gray], resolve.Thresholds())
-    assert [r["quarantine_reason"] for r in kept] == ["", "UNRESOLVED_DUPLICATE_GRAY_ZONE"]
-
-
-def test_merge_prefers_the_official_link_and_keeps_identity():
-    old, new = record(0, official_link_state="X", title="a"), record(1, title="b", last_seen_at=datetime(2026, 8, 16))
-    out = resolve.merge(old, new)
-    assert (out["job_uid"], out["title"], out["members"], out["changes"], out["active_state"]) == ("u0", "b", 2, 1, "CHANGED")
-    assert resolve.merge(new, old)["title"] == "b"
-
-
 def test_replay_gives_nine_records(spark):
     found = records.replay(spark).select("company", "action_priority", "members").collect()
     counts = {p: sum(r["action_priority"] == p for r in found) for p in ("P0", "P1", "P2", "P3", "EXCLUDED")}
