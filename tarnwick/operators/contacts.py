@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions.hashing import uid
 from tarnwick.functions.text import normalized_company
+from tarnwick.operators.ordered import numbered
 
 USER_ORIGINS = ("LINKEDIN_CONNECTIONS_EXPORT", "GOOGLE_CONTACTS_EXPORT", "USER_CSV", "USER_ENTERED")
 CLOSE = ("CLOSE_CONNECTION", "CURRENT_COLLEAGUE", "FORMER_COLLEAGUE")
@@ -14,7 +15,12 @@ PERSONAL = ("name", "work_email", "linkedin_url", "phone")
 
 
 def rank_contacts(jobs: DataFrame, contacts: DataFrame, now: Column, top: int | None = None) -> DataFrame:
-    """CTC-01: contacts of each record's company, closest first; an equi-join on the company."""
+    """CTC-01: contacts of each record's company, closest first, with why and whether a referral was agreed.
+
+    The rank depends on the company alone: contacts are ranked and cut to ``top`` per
+    company before they meet records. The cut is a limit on each task's rows first, so
+    no company's contacts are gathered. Without ``top`` all are ranked by ranges.
+    """
     c = F.col
     usable = contacts.where(~F.coalesce(c("do_not_contact"), F.lit(False)) & (F.coalesce("company", F.lit("")) != "") & ~F.coalesce(c("retention_expires_at") <= now, F.lit(False)))
     own = c("contact_origin").isin(*USER_ORIGINS)
@@ -23,10 +29,14 @@ def rank_contacts(jobs: DataFrame, contacts: DataFrame, now: Column, top: int |
     strength = F.when(own & fresh, F.when(c("relationship_basis").isin(*CLOSE), 0).when(c("relationship_basis") == "FIRST_DEGREE_IMPORTED", 1).otherwise(2)).when(~own & open_channel, 3)
     kind = F.when(own, F.when(c("relationship_basis") == "AGREED_REFERRAL", "CONFIRMED_REFERRER").otherwise("WARM_CONNECTION")).otherwise("PERMITTED_RECRUITER")
     channel = F.when(F.coalesce("linkedin_url", F.lit("")) != "", "LINKEDIN").when(F.coalesce("work_email", F.lit("")) != "", "EMAIL").when(c("whatsapp_allowed"), "WHATSAPP").otherwise("")
-    told = usable.select("contact_uid", normalized_company(c("company")).alias("normalized_company"), strength.alias("strength"), kind.alias("candidate_type"), channel.alias("recommended_channel")).where("strength is not null")
-    rank = F.row_number().over(Window.partitionBy("job_uid").orderBy("strength", "contact_uid"))
-    ranked = jobs.select("job_uid", "normalized_company").join(told, "normalized_company").withColumn("rank", rank).drop("normalized_company")
-    return ranked if top is None else ranked.where(F.col("rank") <= top)
+    why = F.when(own, F.concat(F.lit("OWN_RELATIONSHIP:"), F.coalesce("relationship_basis", F.lit("UNKNOWN")))).otherwise(c("contactability_basis"))
+    told = usable.select("contact_uid", normalized_company(c("company")).alias("normalized_company"), strength.alias("strength"), kind.alias("candidate_type"), channel.alias("recommended_channel"), why.alias("why"), (kind == "CONFIRMED_REFERRER").alias("agreed")).where("strength is not null")
+    order = [c("strength").asc(), c("contact_uid").asc()]
+    if top is None:
+        ranked = numbered(jobs.sparkSession, told, order, ["normalized_company"]).withColumn("rank", c("rank").cast("int"))
+    else:
+        ranked = told.withColumn("rank", F.row_number().over(Window.partitionBy("normalized_company").orderBy(*order))).where(c("rank") <= top)
+    return jobs.select("job_uid", "normalized_company").join(ranked, "normalized_company").drop("normalized_company")
 
 
 def public_contact(allowed_host: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions.dates import hours_between
+from tarnwick.operators.ordered import numbered
 
 AUTOMATED_MODES = ("OFFICIAL_API", "RSS_ATOM", "PUBLIC_HTML_APPROVED")
 SUCCESS = ("SUCCESS_COMPLETE", "SUCCESS_EMPTY", "NO_CHANGE")
@@ -18,14 +19,15 @@ def plan(sources: DataFrame, now: Column, limit: int, full: bool = False, mandat
     """Due sources with their place in the run and whether it takes them.
 
     sources: source_id, enabled, backoff_until, health_state, next_due_at, priority_tier, last_outcome.
-    The ranking is over what is due, one row per source of a bounded catalogue.
+    The ranking is over what is due, by ranges of the order, so no task holds the catalogue.
     """
     wanted = F.col("source_id").isin(*mandatory) if mandatory else F.lit(False)
     waiting = F.coalesce(F.col("backoff_until") > now, F.lit(False))
     due = F.lit(full) | wanted | F.col("next_due_at").isNull() | (F.col("next_due_at") <= now)
     ready = sources.where(F.col("enabled") & ~waiting & ~F.col("health_state").isin("PAUSED", "AUTH_REQUIRED") & due)
-    order = Window.orderBy(~wanted, ~F.coalesce(F.col("last_outcome") == "PARTIAL_BUDGET", F.lit(False)), F.asc_nulls_first("next_due_at"), "priority_tier", "source_id")
-    return ready.withColumn("place", F.row_number().over(order)).withColumn("selected", F.col("place") <= limit)
+    partial = F.coalesce(F.col("last_outcome") == "PARTIAL_BUDGET", F.lit(False))
+    order = [wanted.desc(), partial.desc(), F.asc_nulls_first("next_due_at"), F.col("priority_tier").asc(), F.col("source_id").asc()]
+    return numbered(sources.sparkSession, ready, order, name="place").withColumn("selected", F.col("place") <= limit)
 
 
 def policy_reason(url_host: Column, now: Column, zero_cost: bool = True) -> Column:

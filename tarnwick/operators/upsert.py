@@ -19,16 +19,18 @@ class TableSpec:
     append_only: bool = False
 
 
-def upsert(old: DataFrame, new: DataFrame, spec: TableSpec) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, spec: TableSpec, order: str | None = None) -> DataFrame:
     """The table after the write, with ``change``: INSERTED, CHANGED, SAME or KEPT.
 
-    One full outer join on the key. Machine writes keep user columns of known rows
+    One full outer join on the key. Of several new rows of a key the one with the largest
+    order counts, then the largest by all columns; they are reduced map-side first. Machine writes keep user columns of known rows
     (SNK-03). In an append-only table a known key with other content raises (SNK-02).
     Columns outside the spec are dropped; a missing one keeps the old value.
     """
     given = [c for c in spec.columns if c in new.columns]
     left = old.select(F.col(spec.key), F.struct(*spec.columns).alias("was"))
-    right = new.select(F.col(spec.key), F.struct(*given).alias("now"))
+    row = F.struct(*given)
+    right = new.groupBy(spec.key).agg((F.max_by(row, F.struct(order, row)) if order else F.max(row)).alias("now"))
     both = left.join(right, spec.key, "full_outer")
     owned = set(spec.user_columns)
     known, sent = F.col("was").isNotNull(), F.col("now").isNotNull()
@@ -57,8 +59,19 @@ def append_new(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """SNK-05: keys that are not unique, or blank."""
-    return df.groupBy(key).agg(F.count("*").alias("copies")).where((F.col("copies") > 1) | F.col(key).isNull())
+    """SNK-05: keys that are not unique, null, or blank."""
+    blank = F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")
+    return df.groupBy(key).agg(F.count("*").alias("copies")).where((F.col("copies") > 1) | blank)
+
+
+def finalized(tables: dict[str, tuple[DataFrame, str]], run_uid: str) -> DataFrame:
+    """SNK-05: (run_uid, state, faults): COMMITTED if the keys of all tables are unique and filled, else REJECTED with how many are not."""
+    found = [duplicate_keys(df, key).agg(F.lit(name).alias("name"), F.count("*").alias("faults")) for name, (df, key) in sorted(tables.items())]
+    counts = found[0]
+    for one in found[1:]:
+        counts = counts.unionByName(one)
+    state = F.when(F.sum("faults") == 0, "COMMITTED").otherwise("REJECTED")
+    return counts.agg(F.lit(run_uid).alias("run_uid"), state.alias("state"), F.sum("faults").alias("faults"))
 
 
 def verify_schema(df: DataFrame, spec: TableSpec, version: str, expected: str) -> None:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwick import scratch
 from tarnwick.functions.hashing import digest
 from tarnwick.functions.text import plain_text
 
@@ -58,28 +59,93 @@ def triage(commands: DataFrame, registrations: DataFrame, jobs: DataFrame, event
     return known.withColumn("result", result).drop("issued", "is_job", "is_done")
 
 
-def replay(commands: DataFrame, applications: DataFrame) -> DataFrame:
-    """WFL-01: outcome of each triaged command; those of one record are folded in row order.
+_PLACES = {stage: n for n, stage in enumerate(STAGES)}
+#: A stage that is none of STAGES: nothing moves it but a replay of its own name, which is no transition.
+_OTHER = len(STAGES)
 
-    A record's commands are few by nature: they come from one person's hands.
+
+def _steps(pdf: pd.DataFrame) -> list[tuple[int, list[int]]]:
+    """(row_pos, stage after the row for each stage before it) in order; rows that change nothing map each stage to itself."""
+    same, out, met = list(range(_OTHER + 1)), [], {}
+    for r in pdf.sort_values("row_pos").itertuples():
+        key = (r.after, r.why) if r.counts else None
+        if key not in met:
+            met[key] = same if key is None else [n if n == _OTHER or not valid(STAGES[n], r.after or STAGES[n], r.why) else _PLACES[r.after] if r.after else n for n in same]
+        out.append((r.row_pos, met[key]))
+    return out
+
+
+def _stages_before(spark: SparkSession, commands: DataFrame, started: DataFrame) -> DataFrame:
+    """(row_pos, before): the stage that each command finds.
+
+    A command is a map of stages to stages, and maps compose: a block of commands is
+    composed where it is, the few blocks of a record are put in order, and rows then
+    start from what their block found. commands: job_uid, block, row_pos, counts, after, why.
+    """
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = list(range(_OTHER + 1))
+        for _, step in _steps(pdf):
+            whole = [step[n] for n in whole]
+        return pd.DataFrame({"job_uid": [pdf["job_uid"].iloc[0]], "block": [pdf["block"].iloc[0]], "whole": [whole]})
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        place, found = int(pdf["start"].iloc[0]), []
+        for r in pdf.sort_values("block").itertuples():
+            found.append((r.job_uid, r.block, place))
+            place = int(r.whole[place])
+        return pd.DataFrame(found, columns=["job_uid", "block", "start"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        place, found = int(pdf["start"].iloc[0]), []
+        for row_pos, step in _steps(pdf):
+            found.append((row_pos, place))
+            place = step[place]
+        return pd.DataFrame(found, columns=["row_pos", "before"])
+
+    blocks = commands.groupBy("job_uid", "block").applyInPandas(compose, "job_uid string, block long, whole array<int>")
+    found = scratch.table(spark, blocks.join(started, "job_uid").groupBy("job_uid").applyInPandas(carry, "job_uid string, block long, start int"), "blocks")
+    return commands.join(found, ["job_uid", "block"]).groupBy("job_uid", "block").applyInPandas(walk, "row_pos long, before int")
+
+
+def replay(spark: SparkSession, commands: DataFrame, applications: DataFrame, block_rows: int = 100_000, most_rounds: int = 200) -> DataFrame:
+    """WFL-01: outcome of each triaged command; those of one record count in row order.
+
+    row_pos is unique. A record of any number of commands is many tasks: commands are
+    composed in blocks of row_pos. A command is a replay if an earlier one of the same
+    event was applied, which depends on the stage that one found; rounds take for granted
+    what was applied in the round before and end when nothing changes (the first command
+    is right after one round, and each is right as soon as all earlier ones are).
+    Commands without a job_uid are of one record. Unknown stages of applications stay.
     """
-    current = applications.select("job_uid", F.col("application_stage").alias("stage"))
-    schema = "row_pos long, job_uid string, event_uid string, from_stage string, to_stage string, result string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, done = [], set()
-        stage = pdf["stage"].dropna().iloc[0] if pdf["stage"].notna().any() else "NOT_REVIEWED"
-        for r in pdf.sort_values("row_pos").itertuples():
-            before, after, result = stage, r.application_stage_update or stage, r.result
-            if result is None or result != result:
-                if r.event_uid in done:
-                    result = "REPLAY"
-                elif not valid(before, after, r.reason) or (r.referral_stage_update and r.referral_stage_update not in REFERRAL) or (r.outreach_stage_update and r.outreach_stage_update not in OUTREACH):
-                    result = "INVALID_TRANSITION"
-                else:
-                    result, stage = "APPLIED", after
-                    done.add(r.event_uid)
-            rows.append((r.row_pos, r.job_uid, r.event_uid, before, after if result == "APPLIED" else None, result))
-        return pd.DataFrame(rows, columns=["row_pos", "job_uid", "event_uid", "from_stage", "to_stage", "result"])
-
-    return commands.join(current, "job_uid", "left").groupBy("job_uid").applyInPandas(run, schema)
+    known = applications.groupBy("job_uid").agg(F.max("application_stage").alias("stage"))
+    odd = lambda c, names: (F.coalesce(c, F.lit("")) != "") & ~F.coalesce(c.isin(*names), F.lit(False))
+    why = F.coalesce("reason", F.lit(""))
+    rows = commands.select(
+        "row_pos", "job_uid", F.coalesce("job_uid", F.lit("")).alias("job"), "event_uid", F.floor(F.col("row_pos") / F.lit(block_rows)).cast("long").alias("block"), F.coalesce("application_stage_update", F.lit("")).alias("after"), F.col("result").alias("early"),
+        F.when(F.startswith(why, F.lit("CORRECTION:")), "CORRECTION:").when(why != "", "given").otherwise("").alias("why"), (odd(F.col("referral_stage_update"), REFERRAL) | odd(F.col("outreach_stage_update"), OUTREACH)).alias("bad"),
+    )
+    rows = scratch.table(spark, rows, "commands")
+    named = known.select(F.coalesce("job_uid", F.lit("")).alias("job"), F.coalesce("stage", F.lit(STAGES[0])).alias("stage"))
+    started = scratch.table(spark, rows.select("job").distinct().join(named, "job", "left").select("job", F.coalesce("stage", F.lit(STAGES[0])).alias("stage")).withColumn("start", F.coalesce(F.try_element_at(F.create_map(*[x for k, v in _PLACES.items() for x in (F.lit(k), F.lit(v))]), F.col("stage")), F.lit(_OTHER))), "started")
+    open_rows = rows.where("early is null and not bad")
+    first = scratch.table(spark, open_rows.groupBy("job", "event_uid").agg(F.min("row_pos").alias("done")), "applied")
+    names = F.array(*map(F.lit, STAGES))
+    rules = transitions(spark).select("from_stage", "to_stage", F.lit(True).alias("listed"))
+    for _ in range(most_rounds):
+        told = rows.join(first, ["job", "event_uid"], "left").withColumn("again", F.coalesce(F.col("done") < F.col("row_pos"), F.lit(False)))
+        ready = told.select(F.col("job").alias("job_uid"), "block", "row_pos", (F.col("early").isNull() & ~F.col("bad") & ~F.col("again")).alias("counts"), "after", "why")
+        before = _stages_before(spark, ready, started.select(F.col("job").alias("job_uid"), "start"))
+        full = told.join(before, "row_pos").join(started.select("job", F.col("stage").alias("own")), "job")
+        from_stage = F.coalesce(F.get(names, F.col("before")), "own")
+        full = full.withColumn("from_stage", from_stage).withColumn("to_stage", F.when(F.col("after") != "", F.col("after")).otherwise(F.col("from_stage"))).join(F.broadcast(rules), ["from_stage", "to_stage"], "left")
+        real = F.col("from_stage").isin(*STAGES) & F.col("to_stage").isin(*STAGES) & ~((F.col("to_stage") == "SKIPPED") & (F.col("why") == ""))
+        passes = real & ((F.col("why") == "CORRECTION:") | F.coalesce("listed", F.lit(False)))
+        result = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("again"), "REPLAY").when(F.col("bad") | ~passes, "INVALID_TRANSITION").otherwise("APPLIED")
+        decided = scratch.table(spark, full.select("row_pos", "job_uid", "job", "event_uid", "from_stage", "to_stage", result.alias("result")), "outcomes")
+        following = scratch.table(spark, decided.where("result = 'APPLIED'").groupBy("job", "event_uid").agg(F.min("row_pos").alias("done")), "applied")
+        ahead = first.select("job", "event_uid", F.col("done").alias("was")).join(following, ["job", "event_uid"], "full_outer")
+        if ahead.where("not (was <=> done)").isEmpty():
+            return decided.select("row_pos", "job_uid", "event_uid", "from_stage", F.when(F.col("result") == "APPLIED", F.col("to_stage")).alias("to_stage"), "result")
+        first = following
+    raise RuntimeError(f"commands did not settle in {most_rounds} rounds")

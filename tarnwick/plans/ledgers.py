@@ -142,7 +142,7 @@ def command_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     u = F.col("user_id")
     started = read_table(spark, sf_dir, "events").select("user_id").distinct().where(u % 3 != 0).select(u.cast("string").alias("job_uid"), _pick(workflow.STAGES, u).alias("application_stage"))
-    return workflow.replay(commands, started).select("row_pos", "job_uid", "from_stage", "to_stage", "result")
+    return workflow.replay(spark, commands, started).select("row_pos", "job_uid", "from_stage", "to_stage", "result")
 
 
 _PLACE = f"list_position([{_IN(workflow.STAGES)}], %s)"
@@ -218,7 +218,7 @@ def contact_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 8 == 2, "EXPLICIT_RECRUITING_CHANNEL: page").alias("contactability_basis"), _pick(_RELATIONS, k).alias("relationship_basis"), F.when(k % 3 == 0, "https://example.org/in").alias("linkedin_url"), F.when(k % 3 == 1, "a@example.org").alias("work_email"), (k % 2 == 0).alias("whatsapp_allowed"),
     )
     jobs = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("job_uid"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("normalized_company"))
-    return contacts.rank_contacts(jobs, people, _now(), top=40).select("job_uid", "contact_uid", F.col("strength").cast("long").alias("strength"), "candidate_type", "recommended_channel", F.col("rank").cast("long").alias("rank"))
+    return contacts.rank_contacts(jobs, people, _now(), top=40).select("job_uid", "contact_uid", F.col("strength").cast("long").alias("strength"), "candidate_type", "recommended_channel", F.col("rank").cast("long").alias("rank"), "why", "agreed")
 
 
 CONTACT_RANKS = f"""
@@ -227,8 +227,9 @@ with people as (
     case when c_custkey % 3 = 0 then 'LINKEDIN' when c_custkey % 3 = 1 then 'EMAIL' when c_custkey % 2 = 0 then 'WHATSAPP' else '' end as recommended_channel
   from customer where c_custkey % 11 <> 0 and c_custkey % 13 <> 0),
 told as (select *, case when own and fresh then case when relation in ('CLOSE_CONNECTION', 'FORMER_COLLEAGUE') then 0 when relation = 'FIRST_DEGREE_IMPORTED' then 1 else 2 end when not own and open_channel then 3 end as strength,
-  case when own then case when relation = 'AGREED_REFERRAL' then 'CONFIRMED_REFERRER' else 'WARM_CONNECTION' end else 'PERMITTED_RECRUITER' end as candidate_type from people)
-select cast(s_suppkey as varchar) as job_uid, contact_uid, strength, candidate_type, recommended_channel, row_number() over (partition by s_suppkey order by strength, contact_uid) as rank
+  case when own then case when relation = 'AGREED_REFERRAL' then 'CONFIRMED_REFERRER' else 'WARM_CONNECTION' end else 'PERMITTED_RECRUITER' end as candidate_type,
+  case when own then 'OWN_RELATIONSHIP:' || relation else 'EXPLICIT_RECRUITING_CHANNEL: page' end as why, own and relation = 'AGREED_REFERRAL' as agreed from people)
+select cast(s_suppkey as varchar) as job_uid, contact_uid, strength, candidate_type, recommended_channel, why, agreed, row_number() over (partition by s_suppkey order by strength, contact_uid) as rank
 from supplier join told on s_nationkey = c_nationkey where strength is not null qualify rank <= 40
 """
 

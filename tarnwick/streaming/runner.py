@@ -1,8 +1,9 @@
 """Micro-batches with durable state (STM-05/06/09, STM-01): the scan as a stream.
 
-A file source feeds snapshots; each micro-batch is upserted into a versioned table
-directory, and its checkpoint row is written last, so a batch that died before is
-run again and one that finished is skipped. Miss counters are per-key state.
+A file source feeds snapshots; each micro-batch is upserted into a table of hashed
+buckets, of which it rewrites those it touches. Its commit row is written last, so a
+batch that died before is run again and one that finished is skipped. Miss counters
+are per-key state.
 """
 
 from __future__ import annotations
@@ -16,40 +17,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tarnwick import scratch
 from tarnwick.operators.upsert import TableSpec, upsert
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    if _exists(spark, f"{root}/_commits"):
+        return spark.read.schema("version long").parquet(f"{root}/_commits")
+    return spark.createDataFrame([], "version long")
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Committed versions of a table, from its commit rows."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_commits")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return []
-    return sorted(r["version"] for r in spark.read.schema("version long").parquet(f"{root}/_commits").collect())
+    return sorted(r["version"] for r in _commits(spark, root).collect())
+
+
+def _manifest(spark: SparkSession, root: str, version: int | None) -> dict[int, str]:
+    """Bucket -> folder of a version; there are as many rows as buckets."""
+    if version is None:
+        return {}
+    return {r["bucket"]: r["path"] for r in spark.read.schema("bucket int, path string").parquet(f"{root}/_manifests/v={version}").collect()}
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    return spark.read.parquet(*paths) if paths else None
 
 
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    found = versions(spark, root)
-    return spark.read.parquet(f"{root}/v={found[-1]}") if found else None
+def current(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """The table as of its last (or a given) commit: the folders that its manifest names, whatever is being written."""
+    last = _commits(spark, root).agg(F.max("version")).first()[0] if version is None else version
+    return None if last is None else _read(spark, sorted(_manifest(spark, root, last).values()))
 
 
-def commit_batch(root: str, spec: TableSpec, order: str | None = None) -> Callable[[DataFrame, int], None]:
+def commit_batch(root: str, spec: TableSpec, order: str | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: one new version per batch id; a replayed id changes nothing.
 
-    Of several rows of a key in a batch the one with the largest order stays, then the
-    largest by all columns of the table.
+    Rows are dealt into buckets by a hash of their key. A batch reads and rewrites the
+    buckets that its keys are in and no others; its manifest names the new folders and,
+    for all other buckets, the old ones. The commit row comes last and points at the
+    manifest, so a reader sees one version and a batch that died is written again over
+    what it left. Of several rows of a key in a batch the one with the largest order
+    stays, then the largest by all columns of the table. The number of buckets is fixed
+    by the first commit.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = versions(spark, root)
-        if number in done:
+        done = _commits(spark, root)
+        if not done.where(F.col("version") == number).isEmpty():
             return
+        held = _manifest(spark, root, done.agg(F.max("version")).first()[0])
+        bucket = F.pmod(F.xxhash64(spec.key), F.lit(buckets)).cast("int")
         given = [c for c in spec.columns if c in batch.columns]
+        row = F.struct(*[c for c in batch.columns if c != spec.key])
         rank = F.struct(*([order] if order else []), *given)
-        latest = batch.groupBy(spec.key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != spec.key]), rank).alias("row")).select(spec.key, "row.*")
-        old = spark.read.parquet(f"{root}/v={done[-1]}") if done else latest.select(*spec.columns).limit(0)
-        upsert(old, latest, spec).drop("change").write.mode("overwrite").parquet(f"{root}/v={number}")
+        latest = scratch.table(spark, batch.groupBy(spec.key).agg(F.max_by(row, rank).alias("row")).select(spec.key, "row.*").withColumn("__bucket", bucket), "batch")
+        touched = sorted(r["__bucket"] for r in latest.select("__bucket").distinct().collect())
+        old = _read(spark, [held[b] for b in touched if b in held])
+        fresh = upsert(latest.select(*spec.columns).limit(0) if old is None else old, latest.drop("__bucket"), spec).drop("change").withColumn("__bucket", bucket)
+        folder = f"{root}/data/v={number}"
+        fresh.repartition(max(1, len(touched)), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(folder)
+        named = held | {b: f"{folder}/__bucket={b}" for b in touched}
+        spark.createDataFrame(sorted(named.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifests/v={number}")
         spark.range(number, number + 1).select(F.col("id").alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/_commits")
+        scratch.drop(spark, latest)
 
     return write
 

@@ -211,9 +211,9 @@ def test_command_replay(spark):
     issued = spark.createDataFrame([(n, f"r{n}") for n in range(2, 9)], "row_pos long, row_uid string")
     jobs, none = spark.createDataFrame([("j1",), ("j2",)], "job_uid string"), spark.createDataFrame([], "event_uid string")
     apps = spark.createDataFrame([], "job_uid string, application_stage string")
-    first = workflow.replay(workflow.triage(commands, issued, jobs, none), apps).cache()
+    first = workflow.replay(spark, workflow.triage(commands, issued, jobs, none), apps).cache()
     assert {r["row_pos"]: r["result"] for r in first.collect()} == {2: "APPLIED", 3: "INVALID_TRANSITION", 4: "APPLIED", 5: "UNKNOWN_JOB_UID", 6: "INVALID_ROW_UID", 8: "CHANGED_AFTER_SUBMIT"}
-    second = workflow.replay(workflow.triage(commands, issued, jobs, first.where("result = 'APPLIED'").select("event_uid")), spark.createDataFrame([("j1", "OFFER")], "job_uid string, application_stage string"))
+    second = workflow.replay(spark, workflow.triage(commands, issued, jobs, first.where("result = 'APPLIED'").select("event_uid")), spark.createDataFrame([("j1", "OFFER")], "job_uid string, application_stage string"))
     assert {r["row_pos"]: r["result"] for r in second.where("row_pos < 5").collect()} == {2: "REPLAY", 3: "INVALID_TRANSITION", 4: "REPLAY"}
 
 
@@ -283,6 +283,97 @@ def test_stateful_misses(spark, tmp_path):
     assert [(r["misses"], r["state"]) for r in spark.sql("select * from misses order by at").collect()] == [(0, "ACTIVE"), (1, "ACTIVE"), (1, "ACTIVE"), (2, "POSSIBLY_CLOSED"), (3, "CLOSED")]
 
 
+def test_commits_rewrite_only_touched_buckets(spark, tmp_path):
+    root, schema = str(tmp_path / "table"), "k int, a string, note string"
+    batch = lambda rows: spark.createDataFrame(rows, schema)
+    write = runner.commit_batch(root, SPEC, buckets=16)
+    write(batch([(n, "x", "n") for n in range(200)]), 0)
+    first = runner._manifest(spark, root, 0)
+    assert len(first) == 16 and len(list((tmp_path / "table/data/v=0").glob("__bucket=*"))) == 16
+    before = runner.current(spark, root)
+    write(batch([(7, "new", "n"), (7, "newer", "n"), (500, "y", "n")]), 1)
+    second = runner._manifest(spark, root, 1)
+    moved = [b for b in first if first[b] != second[b]]
+    assert 1 <= len(moved) <= 2 and len(list((tmp_path / "table/data/v=1").glob("__bucket=*"))) == len(moved)
+    assert before.count() == 200  # a reader keeps the version that it opened
+    assert runner.current(spark, root).count() == 201 and {r["a"] for r in runner.current(spark, root).where("k = 7").collect()} == {"newer"}
+    assert runner.current(spark, root, 0).where("k = 7").first()["a"] == "x"
+    # A batch that died before its commit row: its files are there, no reader sees them, and it is written again.
+    (tmp_path / "table/data/v=2").mkdir()
+    (tmp_path / "table/data/v=2/left-over.parquet").write_bytes(b"")
+    assert runner.versions(spark, root) == [0, 1]
+    write(batch([(1, "z", "n")]), 2)
+    write(batch([(1, "again", "n")]), 2)
+    assert runner.current(spark, root).where("k = 1").first()["a"] == "z"
+
+
+def replayed(commands, stages):
+    """One command after the other."""
+    out, now, done = [], dict(stages), set()
+    for pos, job, event, after, referral, why, early in sorted(commands):
+        before = now.get(job, "NOT_REVIEWED")
+        target, result = after or before, early
+        if result is None:
+            if (job, event) in done:
+                result = "REPLAY"
+            elif referral == "ODD" or not workflow.valid(before, target, why):
+                result = "INVALID_TRANSITION"
+            else:
+                result, now[job] = "APPLIED", target
+                done.add((job, event))
+        out.append((pos, before, target if result == "APPLIED" else None, result))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 1), (2, 7), (3, 1000)])
+def test_commands_in_blocks_equal_one_after_the_other(spark, seed, block):
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice(x)
+    rows = [(n, pick("hot", "hot", "j1", "j2"), f"e{rng.randint(0, 40)}", pick("", "UNHEARD", *workflow.STAGES), pick("", "", "", "ODD"), pick("", "", "because", "CORRECTION: x"), pick(None, None, None, "UNKNOWN_JOB_UID")) for n in rng.sample(range(400), 150)]
+    stages = {"j1": "OFFER", "j2": "NOT_A_STAGE"}
+    schema = "row_pos long, job_uid string, event_uid string, application_stage_update string, referral_stage_update string, reason string, result string"
+    commands = spark.createDataFrame(rows, schema).withColumn("outreach_stage_update", F.lit("")).repartition(3)
+    found = workflow.replay(spark, commands, spark.createDataFrame(list(stages.items()), "job_uid string, application_stage string"), block_rows=block)
+    assert sorted((r["row_pos"], r["from_stage"], r["to_stage"], r["result"]) for r in found.collect()) == replayed(rows, stages)
+
+
+def test_messages_are_claimed_whole_and_settled(spark):
+    box = "alert_id string, state string, automatic_attempts int, sending_at timestamp, sent_at timestamp, message_id string, provider_message_id string, error string"
+    empty = (None, None, None, None, None)
+    rows = [("a", "PENDING", 0, *empty), ("b", "PENDING", None, *empty), ("c", "PENDING", 1, *empty), ("d", "PENDING", 0, *empty), ("e", "SENDING", 1, None, None, "m9", None, None), ("f", "PENDING", 0, *empty), ("g", "SENT", 1, *empty)]
+    plans = spark.createDataFrame([("m1", "a"), ("m1", "b"), ("m2", "c"), ("m2", "d"), ("m3", "f"), ("m4", "zz")], "message_id string, alert_id string")
+    claimed = outbox.claim_messages(spark.createDataFrame(rows, box), plans, now())
+    assert {r["alert_id"]: (r["state"], r["message_id"]) for r in claimed.collect()} == {"a": ("SENDING", "m1"), "b": ("SENDING", "m1"), "c": ("PENDING", None), "d": ("PENDING", None), "e": ("SENDING", "m9"), "f": ("SENDING", "m3"), "g": ("SENT", None)}
+    answers = spark.createDataFrame([("m1", "SENT", "p1", None), ("m3", None, None, "x")], "message_id string, state string, provider_message_id string, error string")
+    settled = {r["alert_id"]: (r["state"], r["error"], r["provider_message_id"], r["sent_at"] is not None) for r in outbox.settle(claimed, answers, now()).collect()}
+    assert settled["a"] == settled["b"] == ("SENT", "", "p1", True)
+    assert settled["f"] == ("AMBIGUOUS", "TRANSPORT_RESPONSE_LOST", "", False) and settled["e"] == ("AMBIGUOUS", "INTERRUPTED_AFTER_SEND_CLAIM", None, False) and settled["c"][0] == "PENDING"
+
+
+def test_digest_of_many_lines(spark):
+    rows = [("d1", 2, float(n % 7), f"u{n:02d}", f"line {n}") for n in range(30)] + [("d1", 1, None, "z", "overdue"), ("d2", 1, 1.0, "a", "one")]
+    found = {r["day"]: (r["n_entries"], r["text"]) for r in outbox.render_digests(spark.createDataFrame(rows, "day string, part int, score double, uid string, line string"), "day").collect()}
+    lines = ["overdue"] + [x[4] for x in sorted(rows[:30], key=lambda x: (-x[2], x[3]))]
+    assert found == {"d1": (31, "\n\n".join(lines[:20]) + "\n\n11 more"), "d2": (1, "one")}
+
+
+def test_job_text(spark):
+    schema = "job_uid string, company string, title string, posted_at_source timestamp, first_seen_at timestamp, identities array<struct<provider_job_id: string>>, apply_url string, fit_score double, priority_score double, reasons array<string>, gaps array<string>, action_by string, next_action string, salary_currency string, salary_min double, salary_max double, salary_period string, posted_at_confidence string, official_link_state string"
+    row = ("j", "Acme", "Engineer", None, NOW, [("",), ("77",)], "https://x.org", 81.5, 90.0, ["a", "b", "c", "d"], [], "today", "apply", "INR", 1.0, 2.5, "ANNUAL", "MISSING", "VERIFIED_OFFICIAL")
+    text = outbox.render_jobs(spark.createDataFrame([row], schema)).first()["text"].split("\n")
+    assert text == ["Acme: Engineer", "posting date unknown, first seen 2026-08-15 13:30 IST", "ids: 77", "apply at: https://x.org", "fit 81.5, priority 90", "for: a; b; c", "gaps: none recorded", "act by today, next: apply", "pay: INR 1 to 2.5 ANNUAL", "dated MISSING, link VERIFIED_OFFICIAL"]
+
+
+def test_finalization_and_repeats(spark):
+    good = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    bad = spark.createDataFrame([("a", 1), ("a", 2), (" ", 3), ("", 4), (None, 5)], "k string, n int")
+    assert {r["k"] for r in upsert.duplicate_keys(bad, "k").collect()} == {"a", " ", "", None}
+    assert tuple(upsert.finalized({"t": (good, "k")}, "r1").first()) == ("r1", "COMMITTED", 0)
+    assert tuple(upsert.finalized({"t": (good, "k"), "u": (bad, "k")}, "r1").first()) == ("r1", "REJECTED", 4)
+    spec = upsert.TableSpec("t", "k", ("k", "n"))
+    assert [tuple(r) for r in upsert.upsert(good, spark.createDataFrame([("a", 5), ("a", 9)], "k string, n int"), spec).where("k = 'a'").collect()] == [("a", 9, "CHANGED")]
+
+
 def test_scratch_tables_go(spark):
     made = scratch.table(spark, spark.range(5), "x")
     assert made.count() == 5
