@@ -44,16 +44,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick import scratch
-from tarnwick.llm.batches import caches, leave, slices, texts, tidied
+from tarnwick.llm.batches import leave, slices, texts, tidied
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM_BASE = np.uint64(0xD1B54A32D192ED03)
-_MOST_WORDS = 150_000
 #: Bytes of text that one step of counting holds.
 _SLICE_BYTES = 1 << 20
-_words: dict[bytes, int] = {}
-caches.append(_words.clear)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Random values of the bytes, so that words that differ in one byte differ in many bits.
+_BYTES = np.random.default_rng(20240607).integers(0, 1 << 64, 256, np.uint64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,33 +64,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    new = set(words).difference(_words)
-    if len(new) + len(_words) > _MOST_WORDS:
-        _words.clear()
-        new = set(words)
-    digest = xxhash.xxh3_64_intdigest
-    _words.update((w, digest(w)) for w in new)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse; those of a usual step are kept."""
+    if n > 2 * _SLICE_BYTES or not _powers:
+        size = max(n, 2 * _SLICE_BYTES)
+        found = []
+        for base in (_BASE, _INVERSE):
+            grown = np.full(size, base)
+            grown[0] = 1
+            found.append(np.multiply.accumulate(grown))
+        if n > 2 * _SLICE_BYTES:
+            return found[0], found[1]
+        _powers[0] = found[0], found[1]
+    return _powers[0]
+
+
+def hashed_words(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the hash of each word, from the bytes as they stand: no word becomes an object."""
+    if not batch:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    raw = np.frombuffer(b" ".join([*batch, b""]), np.uint8)
+    space = _SPACE[raw]
+    begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))  # every text is followed by a blank
+    power, inverse = powers(len(raw))
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * power[: len(raw)], out=prefix[1:])
+    hashes = _mix((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+    edges = np.concatenate([[0], (sizes + 1).cumsum()])
+    return np.diff(np.searchsorted(begin, edges)), hashes
 
 
 class Sequence:
     """Word hashes of a slice of documents, laid end to end."""
 
     def __init__(self, batch: list[bytes]) -> None:
-        split = [t.split() for t in batch]
-        self.sizes = np.array([len(w) for w in split], np.int64)
+        self.sizes, self.hashes = hashed_words(batch)
         self.begin = np.concatenate([[0], self.sizes.cumsum()])
-        self.hashes = _word_hashes([w for words in split for w in words])
         n = len(self.hashes)
+        power, self.inverse = powers(n)
         self.prefix = np.zeros(n + 1, np.uint64)
-        if n:
-            powers = np.full(n, _BASE)
-            powers[0] = 1
-            np.cumsum(self.hashes * np.multiply.accumulate(powers), out=self.prefix[1:])
-            self.inverse = np.full(n, _INVERSE)
-            self.inverse[0] = 1
-            self.inverse = np.multiply.accumulate(self.inverse)
+        np.cumsum(self.hashes * power[:n], out=self.prefix[1:])
 
     def content(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words begin..end."""
@@ -112,12 +129,11 @@ def runs(seq: Sequence, window: int, anchor_words: int, longest: int) -> tuple[n
     if n < 1:
         return none, none, np.empty(0, np.uint64), np.empty(0, bool)
     gram = seq.grams(anchor_words)
-    place = np.empty(n, np.int64)
-    for lo in range(0, n, 65536):
-        hi = min(n, lo + 65536)
-        view = np.lib.stride_tricks.sliding_window_view(gram[lo : hi + reach - 1], reach)
-        place[lo:hi] = view.argmin(axis=1) + np.arange(lo, hi)
-    value = gram[place]
+    value, span = gram, 1  # least of the next span grams, which doubles up to the grams of a window
+    while span < reach:
+        step = min(span, reach - span)
+        value = np.minimum(value[: len(value) - step], value[step:])
+        span += step
     doc = np.repeat(np.arange(len(seq.sizes)), seq.sizes)
     inside = doc[:n] == doc[window - 1 : window - 1 + n]
     new = inside.copy()
@@ -129,7 +145,9 @@ def runs(seq: Sequence, window: int, anchor_words: int, longest: int) -> tuple[n
     new |= inside & ((np.arange(n) - held) % longest == 0)
     first = np.flatnonzero(new)
     count = np.bincount((np.cumsum(new) - 1)[inside], minlength=len(first))
-    return first, count, value[first], place[first + count - 1] != place[first]
+    view = np.lib.stride_tricks.sliding_window_view(gram, reach)[first]
+    place = first + (view == value[first][:, None]).argmax(axis=1)
+    return first, count, value[first], place < first + count - 1
 
 
 def _longs(x: np.ndarray) -> pa.Array:
