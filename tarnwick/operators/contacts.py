@@ -1,11 +1,10 @@
-"""Contact matching, redaction, drafts and briefs (CTC-*, JON-03/10/11, WIN-01/03, PRD-04/10/11)."""
+"""Contact matching, redaction and what drafts may say (CTC-01 to 03, JON-03/10/11, WIN-01/03, PRD-04/10/11)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.functions.hashing import uid
 from tarnwick.functions.text import normalized_company
 from tarnwick.operators.ordered import numbered
 
@@ -133,25 +132,3 @@ def draft_error(text: Column, channel: Column, subject: Column | None = None) ->
         .when(~note & ~_words(text).between(limit["least"], limit["most"]), "WORDS_OUTSIDE_LIMIT")
         .when(F.length(subject) > SUBJECT_CHARS, "SUBJECT_TOO_LONG")
     )
-
-
-CHANNELS = {"LINKEDIN_MESSAGE": "Hello %s, I applied for %s at %s. %s", "EMAIL": "Hello %s,\n\nI applied for %s at %s. %s\n\nThank you.", "WHATSAPP": "Hi %s, about %s at %s: %s"}
-
-
-def generate_drafts(pairs: DataFrame, existing: DataFrame) -> DataFrame:
-    """CTC-04, short form: one line per pair and channel, with an id by content; known ones are left out.
-
-    pairs: job_uid, contact_uid, first_name, title, company, claim, channels (array).
-    """
-    each = pairs.withColumn("channel", F.explode("channels")).where(F.col("channel").isin(*CHANNELS))
-    made = F.lit(None).cast("string")
-    for channel, template in CHANNELS.items():
-        made = F.when(F.col("channel") == channel, F.format_string(template, "first_name", "title", "company", "claim")).otherwise(made)
-    drafts = each.select(uid(F.col("job_uid"), F.col("contact_uid"), F.col("channel")).alias("draft_id"), "job_uid", "contact_uid", "channel", made.alias("text"), F.lit("DRAFTED").alias("outreach_stage"))
-    return drafts.withColumn("error", draft_error(F.col("text"), F.col("channel"))).join(existing.select("draft_id"), "draft_id", "left_anti")
-
-
-def briefs(scored: DataFrame) -> DataFrame:
-    """CTC-05: a JSON brief for every P0 and P1 record."""
-    content = F.struct("title", "company", "fit_score", "priority_score", "action_eligibility", "reasons", "gaps", "apply_url")
-    return scored.where(F.col("action_priority").isin("P0", "P1")).select("job_uid", F.to_json(content).alias("brief"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,8 +121,8 @@ def export_backup(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("errorifexists").json(f"{folder}/{name}")
 
 
-def stage_import(spark: SparkSession, rows: DataFrame, folder: str, content: bytes) -> str:
-    """SNK-08: staged below the digest of the content; staging it again changes nothing."""
-    path = f"{folder}/{hashlib.sha256(content).hexdigest()}"
+def stage_import(spark: SparkSession, rows: DataFrame, folder: str, content: bytes, key: bytes) -> str:
+    """SNK-08: staged below a keyed digest of the content, which tells nothing without the key; staging it again changes nothing."""
+    path = f"{folder}/{hmac.new(key, content, hashlib.sha256).hexdigest()}"
     rows.write.mode("ignore").parquet(path)
     return path

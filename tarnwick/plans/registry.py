@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.plans import events, gates, ledgers, records, relations, texts
+from tarnwick.plans import events, gates, ledgers, outreach, records, relations, texts
 
-_MODULES = (events, relations, texts, records, ledgers, gates)
+_MODULES = (events, relations, texts, records, ledgers, gates, outreach)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

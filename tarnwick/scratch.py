@@ -39,10 +39,10 @@ def make_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
 
 
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def table(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and return a scan of what was written."""
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

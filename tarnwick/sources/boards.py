@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick import scratch
 from tarnwick.functions.dates import instant
 from tarnwick.functions.hashing import digest
 
@@ -33,7 +34,7 @@ def _filled(x: Column) -> Column:
 
 def _finish(read: DataFrame, array: str, error: Column, fields: dict[str, Column], keep: Column | None = None) -> Parsed:
     """Explode the records of good payloads and reject payloads with a bad row or an id of two contents."""
-    payload = read.withColumn("__payload", F.monotonically_increasing_id()).withColumn("__error", error)
+    payload = read.withColumn("__error", error)
     rows = payload.where("__error is null").select("*", F.posexplode(array).alias("__pos", "r"))
     rows = rows if keep is None else rows.where(keep)
     made = rows.select("__payload", "__pos", F.sha2(F.to_json("r"), 256).alias("__digest"), "source_id", "provider", "tenant", F.col("url").alias("__page"), "fetched_at", *[v.alias(k) for k, v in fields.items()])
@@ -51,12 +52,19 @@ def _finish(read: DataFrame, array: str, error: Column, fields: dict[str, Column
     return Parsed(rows, failed.drop("__payload"))
 
 
+def _kept(payloads: DataFrame) -> DataFrame:
+    """payloads with a number each, written once: rows and errors meet again by it."""
+    if "__payload" in payloads.columns:
+        return payloads
+    return scratch.table(payloads.sparkSession, payloads.withColumn("__payload", F.monotonically_increasing_id()), "payloads")
+
+
 def parse_greenhouse(payloads: DataFrame) -> Parsed:
     """SRC-01: an object with jobs[] or one detail object; meta.total must equal the number of ids."""
     v = F.try_parse_json("content")
     one = F.from_json("content", f"struct<{_GREENHOUSE}>")
     many = F.from_json("content", f"struct<jobs: array<struct<{_GREENHOUSE}>>, meta: struct<total: bigint>>")
-    read = payloads.withColumns({"__many": many, "__one": one, "__kind": F.schema_of_variant(F.try_variant_get(v, "$.jobs", "variant"))})
+    read = _kept(payloads).withColumns({"__many": many, "__one": one, "__kind": F.schema_of_variant(F.try_variant_get(v, "$.jobs", "variant"))})
     listed = F.startswith(F.coalesce("__kind", F.lit("")), F.lit("ARRAY"))
     read = read.withColumns({"__jobs": F.when(listed, F.col("__many.jobs")).when(F.col("__one.id").isNotNull(), F.array("__one")), "__total": F.when(listed, F.col("__many.meta.total"))})
     error = F.when(v.isNull(), "MALFORMED_JSON").when(F.col("__jobs").isNull(), "MISSING_JOBS_ARRAY")
@@ -70,7 +78,7 @@ def parse_greenhouse(payloads: DataFrame) -> Parsed:
 def parse_lever(payloads: DataFrame) -> Parsed:
     """SRC-02: an array of postings; sections are appended to the description, createdAt is not a date of posting."""
     kind = F.schema_of_variant(F.try_parse_json("content"))
-    read = payloads.withColumn("__jobs", F.from_json("content", f"array<struct<{_LEVER}>>"))
+    read = _kept(payloads).withColumn("__jobs", F.from_json("content", f"array<struct<{_LEVER}>>"))
     error = F.when(F.try_parse_json("content").isNull(), "MALFORMED_JSON").when(~F.startswith(kind, F.lit("ARRAY")), "EXPECTED_POSTINGS_ARRAY")
     r, blank = F.col("r"), lambda x: F.coalesce(x, F.lit(""))
     sections = F.transform(F.coalesce(r["lists"], F.array().cast("array<struct<text: string, content: string>>")), lambda s: F.concat(F.lit(" "), blank(s["text"]), F.lit(" "), blank(s["content"])))
@@ -83,7 +91,7 @@ def parse_lever(payloads: DataFrame) -> Parsed:
 def parse_ashby(payloads: DataFrame) -> Parsed:
     """SRC-03: listed rows only; a row without a boolean isListed fails the payload."""
     v = F.try_parse_json("content")
-    read = payloads.withColumns({"__jobs": F.from_json("content", f"struct<jobs: array<struct<{_ASHBY}>>>")["jobs"], "__kind": F.schema_of_variant(F.try_variant_get(v, "$.jobs", "variant"))})
+    read = _kept(payloads).withColumns({"__jobs": F.from_json("content", f"struct<jobs: array<struct<{_ASHBY}>>>")["jobs"], "__kind": F.schema_of_variant(F.try_variant_get(v, "$.jobs", "variant"))})
     flagged = F.forall("__jobs", lambda j: F.coalesce(F.schema_of_variant(j["isListed"]) == "BOOLEAN", F.lit(False)))
     error = F.when(v.isNull(), "MALFORMED_JSON").when(~F.startswith(F.coalesce("__kind", F.lit("")), F.lit("ARRAY")), "MISSING_JOBS_ARRAY").when(~flagged, "MISSING_LISTED_FLAG")
     r, blank = F.col("r"), lambda x: F.coalesce(x, F.lit(""))
@@ -94,16 +102,23 @@ def parse_ashby(payloads: DataFrame) -> Parsed:
     }, keep=listed)
 
 
-def parse(payloads: DataFrame) -> Parsed:
-    """SRC-10: each provider's payloads through its parser."""
-    from tarnwick.sources.markup import parse_cards, parse_feed, parse_jsonld
+def parse(payloads: DataFrame, mail_key: bytes = b"", senders: frozenset[str] = frozenset()) -> Parsed:
+    """SRC-10: each provider's payloads through its parser; an unknown provider is an error.
+
+    Payloads are written once, by provider, so that each parser scans its own ones only.
+    """
+    from tarnwick.sources.markup import parse_marked
 
-    known = {"greenhouse": parse_greenhouse, "lever": parse_lever, "ashby": parse_ashby, "feed": parse_feed, "jsonld": parse_jsonld, "google_careers": parse_cards}
-    found = [parser(payloads.where(F.col("provider") == provider)) for provider, parser in known.items()]
+    numbered = payloads.withColumns({"__payload": F.monotonically_increasing_id(), "__provider": F.coalesce("provider", F.lit(""))})
+    held = scratch.table(payloads.sparkSession, numbered, "payloads", ["__provider"])
+    boards = {"greenhouse": parse_greenhouse, "lever": parse_lever, "ashby": parse_ashby}
+    marked = ("feed", "jsonld", "google_careers", "manual", "email")
+    found = [parser(held.where(F.col("__provider") == provider)) for provider, parser in boards.items()]
+    found.append(parse_marked(held.where(F.col("__provider").isin(*marked)), marked, mail_key, senders))
     rows, errors = found[0].rows, found[0].errors
     for one in found[1:]:
         rows, errors = rows.unionByName(one.rows), errors.unionByName(one.errors)
-    other = payloads.where(~F.col("provider").isin(*known)).select("source_id", "url", F.lit("UNKNOWN_PROVIDER").alias("error"))
+    other = held.where(~F.coalesce(F.col("__provider").isin(*boards, *marked), F.lit(False))).select("source_id", "url", F.lit("UNKNOWN_PROVIDER").alias("error"))
     return Parsed(rows, errors.unionByName(other))
 
 

@@ -1,6 +1,7 @@
 """Payload parsers: success, empty, duplicate, conflict, schema and limits."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from tarnwick.sources import boards, files, markup
 COLUMNS = "source_id string, provider string, tenant string, company string, url string, fetched_at string, content string"
 
 
+PAGES = {"google_careers": "https://www.google.com/about/careers/applications/jobs/results/?q=x"}
+
+
 def payloads(spark, *rows):
-    return spark.createDataFrame([(f"s{n}", provider, "t", "Acme", "https://x.org/jobs", "2026-08-15 00:00:00", content) for n, (provider, content) in enumerate(rows)], COLUMNS).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    return spark.createDataFrame([(f"s{n}", provider, "t", "Acme", PAGES.get(provider, "https://x.org/jobs"), "2026-08-15 00:00:00", content) for n, (provider, content) in enumerate(rows)], COLUMNS).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
 
 
 def run(spark, *rows):
@@ -84,6 +88,45 @@ def test_sitemap():
             markup.sitemap_urls(text, "https://x.org/")
 
 
+def test_sitemaps_as_tables(spark):
+    page = lambda *urls: "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in urls) + "</urlset>"
+    rows = [("a", "https://x.org/s", page("https://x.org/2", "https://x.org/1", "https://x.org/2")), ("b", "https://x.org/s", page("https://y.org/")), ("c", "https://x.org/s", None), ("d", "https://x.org/s", page())]
+    found, errors = markup.parse_sitemaps(spark.createDataFrame(rows, "source_id string, url string, content string"))
+    assert sorted((r["source_id"], r["url"]) for r in found.collect()) == [("a", "https://x.org/1"), ("a", "https://x.org/2")]
+    assert {r["source_id"]: r["error"] for r in errors.collect()} == {"b": "SITEMAP_CROSS_ORIGIN", "c": "XML_MALFORMED"}
+
+
+def test_all_providers_in_one_call(spark):
+    mail = 'From: Alerts <a@x.org>\r\nContent-Type: text/html\r\n\r\n<a href="https://x.org/1">Role <b>one</b></a><a href="https://x.org/3">open<a href="https://x.org/4">next</a>'
+    rows = [
+        ("g", "greenhouse", '{"jobs": [{"id": 1, "title": "T"}]}'), ("m", "email", mail), ("n", "email", mail.replace("a@x.org>", "b@x.org>")), ("i", "manual", "id,title,company\n7,Role,\"A, B\"\n"), ("j", "manual", '[{"id": 8, "title": "Role", "url": "https://x.org"}]'), ("k", "manual", "[1]"),
+        ("f", "feed", "<rss><channel><item><guid>9</guid><title>F</title></item></channel></rss>"), ("z", "else", "x"), ("y", None, "x"),
+    ]
+    payloads = spark.createDataFrame([(s, p, "t", "Acme", "https://x.org/page", datetime(2026, 8, 15), c) for s, p, c in rows], "source_id string, provider string, tenant string, company string, url string, fetched_at timestamp, content string")
+    found = boards.parse(payloads, b"k" * 40, frozenset({"a@x.org"}))
+    assert sorted((r["source_id"], r["provider_job_id"], r["title"], r["company"], r["official_link_state"][:8]) for r in found.rows.collect()) == [
+        ("f", "9", "F", "Acme", "VERIFIED"), ("g", "1", "T", "Acme", "VERIFIED"), ("i", "7", "Role", "A, B", "OFFICIAL"), ("j", "8", "Role", "Acme", "OFFICIAL"), ("m", "https://x.org/1", "Role one", "Acme", "OFFICIAL"), ("m", "https://x.org/4", "next", "Acme", "OFFICIAL"),
+    ]
+    assert {r["source_id"]: r["error"] for r in found.errors.collect()} == {"n": "SENDER_NOT_ALLOWLISTED", "k": "EXPECTED_OBJECT", "z": "UNKNOWN_PROVIDER", "y": "UNKNOWN_PROVIDER"}
+
+
+@pytest.mark.parametrize(
+    ("url", "link", "error"),
+    [
+        ("https://evil.example/about/careers/applications/jobs/results", "jobs/results/1-x", "FIRST_PAGE_ONLY"), ("http://www.google.com/about/careers/applications/jobs/results", "jobs/results/1-x", "FIRST_PAGE_ONLY"), ("https://www.google.com/about/careers/applications/jobs/results?page=2", "jobs/results/1-x", "FIRST_PAGE_ONLY"),
+        ("https://www.google.com/about/careers/applications/jobs/results/", "http://evil.example/about/careers/applications/jobs/results/1-x", "CARD_LINK_INVALID"), ("https://www.google.com/about/careers/applications/jobs/results/", "http://www.google.com/about/careers/applications/jobs/results/1-x", "CARD_LINK_INVALID"),
+        ("https://www.google.com/about/careers/applications/jobs/results/", "jobs/results/1", "CARD_LINK_INVALID"), ("https://www.google.com/about/careers/applications/jobs/results/?q=x", "jobs/results/1-x?q=x", None),
+    ],
+)
+def test_cards_of_one_site_only(url, link, error):
+    page = f'<p>1 job matched</p><h3>Role</h3><span class="r0wTof">Pune</span><div class="Xsxa1e">Java</div><a aria-label="Learn more about Role" href="{link}">go</a>'
+    if error is None:
+        assert [r["provider_job_id"] for r in markup.card_rows(page, url)] == ["1"]
+    else:
+        with pytest.raises(markup.Rejected, match=error):
+            list(markup.card_rows(page, url))
+
+
 def test_xml_limits():
     assert markup.safe_xml("<a>" * 64 + "</a>" * 64) is not None
     for text in ("<a>" * 65 + "</a>" * 65, "<a " + " ".join(f'x{n}="1"' for n in range(101)) + "/>"):
