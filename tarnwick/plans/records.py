@@ -30,13 +30,14 @@ GOLDEN_REPLAY = "select * from (values ('P0', 2::bigint, 4::bigint), ('P1', 2, 3
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings: the source is the employer, the first eight words are the title, some have an id of their board."""
-    d = read_table(spark, sf_dir, "documents")
-    words = F.split(normalized_text(F.coalesce("text", F.lit(""))), " ")
+    split = F.split(normalized_text(F.coalesce("text", F.lit(""))), " ")
+    d = read_table(spark, sf_dir, "documents").select("*", F.struct(F.size(split).alias("n"), F.slice(split, 1, 8).alias("first")).alias("split"))
+    words, first = F.col("split.n"), F.col("split.first")
     empty, none = F.lit(""), F.lit(None)
-    title = F.array_join(F.slice(words, 1, 8), " ")
-    board_id = F.when(F.size(words) % 5 == 0, F.sha2(F.array_join(F.slice(words, 1, 3), " "), 256)).otherwise("")
+    title = F.array_join(first, " ")
+    board_id = F.when(words % 5 == 0, F.sha2(F.array_join(F.slice(first, 1, 3), " "), 256)).otherwise("")
     identity = F.struct(F.lit("docs").alias("provider"), F.coalesce("source", empty).alias("tenant"), board_id.alias("provider_job_id"), empty.alias("canonical_url"), empty.alias("requisition_id"), empty.alias("requisition_namespace"))
-    entry = F.struct(F.concat_ws("-", "source", "lang").alias("source_id"), F.concat(F.lit("https://docs.example.org/"), F.size(words).cast("string")).alias("url"), F.col("doc_id").cast("string").alias("note"))
+    entry = F.struct(F.concat_ws("-", "source", "lang").alias("source_id"), F.concat(F.lit("https://docs.example.org/"), words.cast("string")).alias("url"), F.col("doc_id").cast("string").alias("note"))
     seen = F.timestamp_micros(F.unix_micros(F.lit(observations.NOW).cast("timestamp")) + F.col("doc_id") * 1_000_000)
     return d.select(
         F.col("doc_id").alias("seq"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("job_uid"), F.coalesce("source", empty).alias("normalized_company"), title.alias("title"), title.alias("normalized_title"),

@@ -74,7 +74,7 @@ def test_known_drafts_and_limits(spark):
 
 
 def test_follow_up(spark):
-    rows = [pair(last_contacted_at=NOW - timedelta(days=7)), pair(contact_uid="c2", last_contacted_at=NOW - timedelta(days=6)), pair(contact_uid="c3", last_contacted_at=NOW - timedelta(days=9), follow_up_count=1), pair(contact_uid="c4")]
+    rows = [pair(last_contacted_at=NOW - timedelta(days=7)), pair(contact_uid="c2", last_contacted_at=NOW - timedelta(days=4)), pair(contact_uid="c3", last_contacted_at=NOW - timedelta(days=9), follow_up_count=1), pair(contact_uid="c4")]
     found = outreach.generate_follow_ups(spark.createDataFrame(rows, PAIRS), F.lit(str(NOW)).cast("timestamp")).collect()
     assert [(r["contact_uid"], r["channel"], r["error"]) for r in found] == [("c1", "FOLLOW_UP", None)] and "Engineer at Acme Ltd" in found[0]["text"]
 
