@@ -56,8 +56,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         following = scratch.table(spark, _round(current, seen[0]), "edges")
         scratch.drop(spark, current)
         current, before = following, seen
+        scratch.release(spark)  # a round leaves many small broadcasts
         seen = _mark(current)
         if seen == before:
-            scratch.release(spark)  # the rounds leave many small broadcasts
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

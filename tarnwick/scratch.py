@@ -6,6 +6,7 @@ survives lost executors, is columnar, and gives the next plan real sizes.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,8 +60,13 @@ def drop(spark: SparkSession, df_or_path: DataFrame | str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark drop the broadcasts and shuffle files of finished jobs, which it does once the driver collects garbage."""
+    """Have Spark drop the broadcasts and shuffle files of finished jobs, which it does once the driver collects garbage.
+
+    What the driver's Python has freed, as after a model was fitted, goes back to the system.
+    """
     gc.collect()
+    if _trim:
+        _trim(0)
     spark._jvm.System.gc()
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tarnwick import scratch
 from tarnwick.operators.upsert import TableSpec, upsert
@@ -94,22 +94,39 @@ def start_upserts(stream: DataFrame, root: str, spec: TableSpec, checkpoint: str
     return stream.writeStream.foreachBatch(commit_batch(root, spec)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def miss_stream(presence: DataFrame) -> DataFrame:
-    """STM-01 as a stateful operator: (appearance_uid, at, seen, eligible) -> misses and state after each row.
+class MissCounter(StatefulProcessor):
+    """STM-01 for one appearance: its misses and the last one's time as value state."""
 
-    A miss counts if the snapshot is eligible and the last one is at least 12 hours back.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("misses", "misses long, last double")
 
-    def step(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        misses, last = state.get if state.exists else (0, None)
-        rows = []
-        for row in pd.concat(pdfs).sort_values("at").itertuples():
+    def handleInitialState(self, key: tuple[Any, ...], initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        row = initialState.iloc[-1]
+        self.kept.update((int(row["misses"]), None if pd.isna(row["last_missing_at"]) else row["last_missing_at"].timestamp()))
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        misses, last = self.kept.get() if self.kept.exists() else (0, None)
+        out = []
+        for row in pd.concat(list(rows)).sort_values("at").itertuples():
             if row.seen:
                 misses, last = 0, None
-            elif row.eligible and (last is None or (row.at.timestamp() - last) >= 12 * 3600):
+            elif row.eligible and (last is None or row.at.timestamp() - last >= 12 * 3600):
                 misses, last = misses + 1, row.at.timestamp()
-            rows.append((key[0], row.at, misses, "CLOSED" if misses >= 3 else "POSSIBLY_CLOSED" if misses >= 2 else "ACTIVE"))
-        state.update((misses, last))
-        yield pd.DataFrame(rows, columns=["appearance_uid", "at", "misses", "state"])
+            out.append((key[0], row.at, misses, "CLOSED" if misses >= 3 else "POSSIBLY_CLOSED" if misses >= 2 else "ACTIVE"))
+        self.kept.update((misses, last))
+        yield pd.DataFrame(out, columns=["appearance_uid", "at", "misses", "state"])
+
+    def close(self) -> None:
+        pass
 
-    return presence.groupBy("appearance_uid").applyInPandasWithState(step, "appearance_uid string, at timestamp, misses long, state string", "misses long, last double", "append", GroupStateTimeout.NoTimeout)
+
+def miss_stream(presence: DataFrame, committed: DataFrame | None = None) -> DataFrame:
+    """STM-01 as a stateful operator: (appearance_uid, at, seen, eligible) -> misses and state after each row.
+
+    A miss counts if the snapshot is eligible and the last one is at least 12 hours back.
+    A stream that starts afresh takes up the counters of committed (appearance_uid,
+    misses, last_missing_at), one row an appearance; a restarted one has its own state.
+    """
+    presence.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    initial = None if committed is None else committed.select("appearance_uid", F.coalesce("misses", F.lit(0)).cast("long").alias("misses"), F.col("last_missing_at").cast("timestamp").alias("last_missing_at")).groupBy("appearance_uid")
+    return presence.groupBy("appearance_uid").transformWithStateInPandas(MissCounter(), "appearance_uid string, at timestamp, misses long, state string", "append", "None", initial)

@@ -268,15 +268,35 @@ def test_stream_upserts_are_idempotent(spark, tmp_path):
     assert runner.current(spark, root).count() == 2
 
 
-def test_stateful_misses(spark, tmp_path):
-    inbox = str(tmp_path / "in")
+def counted(rows, start):
+    """Misses and state after each row, one row after the other."""
+    state, out = dict(start), []
+    for uid, at, seen, eligible in sorted(rows, key=lambda r: r[1]):
+        misses, last = state.get(uid, (0, None))
+        if seen:
+            misses, last = 0, None
+        elif eligible and (last is None or at - last >= timedelta(hours=12)):
+            misses, last = misses + 1, at
+        state[uid] = (misses, last)
+        out.append((uid, at, misses, ("ACTIVE", "ACTIVE", "POSSIBLY_CLOSED", "CLOSED")[min(misses, 3)]))
+    return sorted(out)
+
+
+def test_misses_across_restarts(spark, tmp_path):
+    """Three runs of one stream, each started anew, give what one pass over all rows gives."""
+    inbox, marks, sink = (str(tmp_path / n) for n in ("in", "marks", "out"))
     schema = "appearance_uid string, at timestamp, seen boolean, eligible boolean"
-    rows = [("a", NOW + timedelta(hours=h), seen, True) for h, seen in ((0, True), (13, False), (20, False), (26, False), (40, False))]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(inbox)
-    query = runner.miss_stream(spark.readStream.schema(schema).parquet(inbox)).writeStream.format("memory").queryName("misses").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert [(r["misses"], r["state"]) for r in spark.sql("select * from misses order by at").collect()] == [(0, "ACTIVE"), (1, "ACTIVE"), (1, "ACTIVE"), (2, "POSSIBLY_CLOSED"), (3, "CLOSED")]
+    rng = random.Random(3)
+    rows = [(uid, NOW + timedelta(hours=h), rng.random() < 0.2, rng.random() < 0.8) for uid in ("a", "b", "c") for h in sorted(rng.sample(range(150), 18))]
+    start = {"a": (2, NOW - timedelta(hours=20)), "c": (1, None)}
+    committed = spark.createDataFrame([(k, m, at) for k, (m, at) in start.items()], "appearance_uid string, misses int, last_missing_at timestamp")
+    for lo, hi in ((0, 50), (50, 100), (100, 150)):
+        part = [r for r in rows if lo <= (r[1] - NOW) / timedelta(hours=1) < hi]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = runner.miss_stream(spark.readStream.schema(schema).parquet(inbox), committed)
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(sink).collect()
+    assert sorted((r["appearance_uid"], r["at"], r["misses"], r["state"]) for r in found) == counted(rows, start)
 
 
 def test_commits_rewrite_only_touched_buckets(spark, tmp_path):
