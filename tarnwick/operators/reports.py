@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -17,14 +18,19 @@ SETTLED_STAGES = ("ACCEPTED", "DECLINED", "REJECTED", "WITHDRAWN", "ROLE_CLOSED"
 REPLY_STATES = ("REPLIED", "RECEIVED", "POSITIVE", "NEGATIVE")
 
 
-def first_row(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
-    """AGG-13: the first row of each key in the given order."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+def _kept(df: DataFrame, key: str, pick: Callable[..., Column], order: str) -> DataFrame:
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key])
+    return df.groupBy(key).agg(pick(rest, order).alias("__row")).select(key, "__row.*")
+
+
+def first_row(df: DataFrame, key: str, order: str) -> DataFrame:
+    """AGG-13: the row of each key with the least order, by an ordered minimum that combines map-side; rows without one are none."""
+    return _kept(df, key, F.min_by, order).where(F.col(order).isNotNull())
 
 
 def last_row(df: DataFrame, key: str, order: str) -> DataFrame:
-    """AGG-14: the last row of each key."""
-    return first_row(df, key, F.desc(order))
+    """AGG-14: the row of each key with the greatest order."""
+    return _kept(df, key, F.max_by, order).where(F.col(order).isNotNull())
 
 
 def or_unknown(x: Column, default: str = "UNKNOWN") -> Column:

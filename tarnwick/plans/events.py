@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import dates
 from tarnwick.operators import digest, lifecycle, outbox, planner, reports
+from tarnwick.operators.ordered import numbered
 from tarnwick.tables import read_table
 
 NOW = "2024-01-31 00:00:00"
@@ -225,9 +226,11 @@ FLOW = {"view": ("view", "click", "error"), "click": ("view", "click", "signup",
 
 
 def transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WFL-02: steps between a user's events against the allowed pairs."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type").select(F.lag("event_type").over(w).alias("from_stage"), F.col("event_type").alias("to_stage")).where("from_stage is not null").groupBy("from_stage", "to_stage").agg(F.count("*").alias("n"))
+    """Steps between a user's events against the allowed pairs; a user of any number of events is many tasks."""
+    ranked = numbered(spark, _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type"), [F.col("ts").asc(), F.col("event_id").asc()], ["user_id"])
+    before = ranked.select(F.col("user_id").alias("of"), (F.col("rank") + 1).alias("next"), F.col("event_type").alias("from_stage"))
+    after = ranked.select("user_id", "rank", F.col("event_type").alias("to_stage"))
+    steps = after.join(before, after["user_id"].eqNullSafe(before["of"]) & (after["rank"] == before["next"])).groupBy("from_stage", "to_stage").agg(F.count("*").alias("n"))
     pairs = spark.range(1, numPartitions=1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("from_stage"), F.lit(b).alias("to_stage")) for a, bs in FLOW.items() for b in bs])).alias("p")).select("p.*", F.lit(True).alias("allowed"))
     return steps.join(F.broadcast(pairs), ["from_stage", "to_stage"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
