@@ -29,15 +29,13 @@ GOLDEN_REPLAY = "select * from (values ('P0', 2::bigint, 4::bigint), ('P1', 2, 3
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as postings: the source is the employer, the first eight words are the title, some have an id of their board."""
-    split = F.split(normalized_text(F.coalesce("text", F.lit(""))), " ")
-    d = read_table(spark, sf_dir, "documents").select("*", F.struct(F.size(split).alias("n"), F.slice(split, 1, 8).alias("first")).alias("split"))
-    words, first = F.col("split.n"), F.col("split.first")
-    empty, none = F.lit(""), F.lit(None)
-    title = F.array_join(first, " ")
-    board_id = F.when(words % 5 == 0, F.sha2(F.array_join(F.slice(first, 1, 3), " "), 256)).otherwise("")
+    """Documents as postings: the source is the employer, the first eight words are the title, some have an id of their board made of their first letters."""
+    d = read_table(spark, sf_dir, "documents")
+    empty, none, size = F.lit(""), F.lit(None), F.coalesce("n_chars", F.lit(0))
+    title = normalized_text(F.regexp_extract(F.coalesce("text", empty), r"^\s*((?:\S+\s+){0,7}\S+)", 1))
+    board_id = F.when(size % 5 == 0, F.sha2(F.substring(F.coalesce("text", empty), 1, 30), 256)).otherwise("")
     identity = F.struct(F.lit("docs").alias("provider"), F.coalesce("source", empty).alias("tenant"), board_id.alias("provider_job_id"), empty.alias("canonical_url"), empty.alias("requisition_id"), empty.alias("requisition_namespace"))
-    entry = F.struct(F.concat_ws("-", "source", "lang").alias("source_id"), F.concat(F.lit("https://docs.example.org/"), words.cast("string")).alias("url"), F.col("doc_id").cast("string").alias("note"))
+    entry = F.struct(F.concat_ws("-", "source", "lang").alias("source_id"), F.concat(F.lit("https://docs.example.org/"), size.cast("string")).alias("url"), F.col("doc_id").cast("string").alias("note"))
     seen = F.timestamp_micros(F.unix_micros(F.lit(observations.NOW).cast("timestamp")) + F.col("doc_id") * 1_000_000)
     return d.select(
         F.col("doc_id").alias("seq"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("job_uid"), F.coalesce("source", empty).alias("normalized_company"), title.alias("title"), title.alias("normalized_title"),
@@ -69,11 +67,11 @@ def merge_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLD = """
 with recursive doc as materialized (
   select doc_id as seq, coalesce(source, '') as company, coalesce(source, '') as tenant, coalesce(lang, '') as place, text, sha256(text) as hash,
-    string_split(trim(regexp_replace(lower(replace(replace(coalesce(text, ''), 'ß', 'ss'), 'ẞ', 'ss')), '[^a-z0-9]+', ' ', 'g')), ' ') as words,
+    coalesce(n_chars, 0) as size, regexp_extract(coalesce(text, ''), '^\\s*((?:\\S+\\s+){0,7}\\S+)', 1) as head, string_split(trim(regexp_replace(lower(replace(replace(coalesce(text, ''), 'ß', 'ss'), 'ẞ', 'ss')), '[^a-z0-9]+', ' ', 'g')), ' ') as words,
     concat_ws('-', source, lang) as source_id from documents where doc_id is not null),
 posting as materialized (
-  select seq, row_number() over (order by seq) as n, company, tenant, place, text, hash, words, source_id, array_to_string(words[1:8], ' ') as title,
-    case when len(words) % 5 = 0 then sha256(array_to_string(words[1:3], ' ')) else '' end as board_id, list_distinct(list_filter(words, lambda w: w <> '')) as body from doc),
+  select seq, row_number() over (order by seq) as n, company, tenant, place, text, hash, size, source_id, trim(regexp_replace(lower(replace(replace(head, 'ß', 'ss'), 'ẞ', 'ss')), '[^a-z0-9]+', ' ', 'g')) as title,
+    case when size % 5 = 0 then sha256(substr(coalesce(text, ''), 1, 30)) else '' end as board_id, list_distinct(list_filter(words, lambda w: w <> '')) as body from doc),
 full_row as (select * from posting where company <> '' and place <> '' and coalesce(text, '') <> '' and title <> ''),
 word as (select seq, company, place, len(body) as size, unnest(body) as w from full_row),
 rare as (select company, place, w, count(*) as n from word group by all),
@@ -119,7 +117,7 @@ select audit.seq, job_uid, case when new then 'NEW' when changed_fields <> '' th
 from audit left join kind using (seq) group by all"""
 _LINEAGE = """, kind as (select rec, tenant, board_id, min(seq) as seq from member group by all),
 told as (select rec, string_agg(tenant || ':' || board_id, ';' order by seq) as identities from kind group by rec),
-entry as (select rec, source_id, len(words) as n_words, min(seq) as seq from member group by all),
+entry as (select rec, source_id, size as n_words, min(seq) as seq from member group by all),
 trail as (select rec, string_agg(source_id || ':https://docs.example.org/' || n_words || ':' || seq, ';' order by seq) as provenance from entry group by rec),
 total as (
   select audit.rec, count(*) as members, count(*) filter (where changed_fields <> '') as changes, max(seq) as last, min(seq) as first, arg_max(changed_fields <> '', seq) as moved, bool_or(why = 'GRAY_ZONE' and seq = rec) as gray from audit group by audit.rec)
