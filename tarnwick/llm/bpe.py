@@ -14,7 +14,7 @@ one matrix, so one run of letters takes time in proportion to its length.
 
 Documents are mapped partition by partition, without a shuffle. Edge cases: null
 and empty texts give no ids; repeated rows are encoded alike; columns of the input
-with the name of a result are replaced.
+with the name of a result are replaced, others pass through. No documents, no rows.
 """
 
 from __future__ import annotations

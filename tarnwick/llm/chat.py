@@ -15,7 +15,8 @@ first turn that a third of all conversations share is one row per task. Two
 
 Edge cases: rows with a null conv_id or a null turn belong to no conversation and
 are dropped; a null role or text is an empty one; exact repeats of a row count
-once; different rows of one turn number follow each other by role, then text.
+once; different rows of one turn number follow each other by role, then text. Other
+columns are not read, whatever their names. No rows, no conversations.
 """
 
 from __future__ import annotations

@@ -42,8 +42,8 @@ _WARC = """
 with page as (select page_id, sha1(coalesce(html, '')) as digest, cast(octet_length(encode(coalesce(html, ''))) as bigint) as n from pages),
 held as (select *, max(page_id) over (partition by digest) as holder from page)
 select page_id, n as payload_bytes, digest as payload_digest,
-  case when n >= 1000 and page_id <> holder then 'revisit' else 'response' end as record_type,
-  case when n >= 1000 and page_id <> holder then holder end as refers_to
+  case when n >= 1000 and page_id is distinct from holder then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id is distinct from holder then holder end as refers_to
 from held
 """
 

@@ -11,7 +11,7 @@ hash and one lookup, in the JVM, without a shuffle.
 Edge cases: rows with a null key are placed by the hash of the fallback column, so
 that they spread like any others, and by the empty string if that is null too.
 Repeated keys share a shard. Columns of the input with the name of a result are
-replaced.
+replaced, others pass through. No rows, no rows placed.
 """
 
 from __future__ import annotations
