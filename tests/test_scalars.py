@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.functions import dates, hashing, text, urls
+from tarnwick.plans import texts
 
 
 def one(spark, column):
@@ -40,6 +41,15 @@ def test_redact(spark, given, wanted):
     assert one(spark, text.redact(lit(given))) == wanted
 
 
+def test_redact_masks_each_text_once(spark, tmp_path):
+    rows = [(1, "mail a@example.org, signature=x API-Key: y, +91 12345 67890"), (2, "nothing"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = texts.redact(spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 1, 2)]
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("regexp_replace(") == len(text.REDACTIONS)
+
+
 @pytest.mark.parametrize(("given", "escaped"), [("=1+1", True), ("  @x", True), ("a=1", False), ("", False), ("\tx", True), ("-5", True)])
 def test_safe_cell(spark, given, escaped):
     assert (one(spark, text.safe_cell(lit(given))) != given) is escaped
