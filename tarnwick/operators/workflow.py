@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,10 +111,51 @@ def _stages_before(spark: SparkSession, commands: DataFrame, started: DataFrame)
     return commands.join(found, ["job_uid", "block"]).groupBy("job_uid", "block").applyInPandas(walk, "row_pos long, before int")
 
 
+def _folded(rows: DataFrame, started: DataFrame) -> DataFrame:
+    """(row_pos, job_uid, job, event_uid, from_stage, to_stage, result) of records whose commands one task may pass in order.
+
+    Tasks hold the stage and the applied events of one record at a time. rows as in
+    replay; started: job, stage.
+    """
+    asked = rows.join(started.select("job", "stage"), "job").select("job", "row_pos", "job_uid", "event_uid", "after", "early", "why", "bad", "stage")
+    lined = asked.repartition("job").sortWithinPartitions("job", "row_pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stage, done, known = None, None, set(), {}
+        for batch in batches:
+            took, befores, afters = [], [], []
+            for job, event, after, early, why, bad, start in zip(*(batch.column(n).to_pylist() for n in ("job", "event_uid", "after", "early", "why", "bad", "stage")), strict=True):
+                if job != current:
+                    current, stage, done = job, start, set()
+                to = after or stage
+                if early is not None:
+                    result = early
+                elif event in done:
+                    result = "REPLAY"
+                else:
+                    key = (stage, to, why)
+                    if key not in known:
+                        known[key] = valid(stage, to, why)
+                    result = "INVALID_TRANSITION" if bad or not known[key] else "APPLIED"
+                befores.append(stage)
+                afters.append(to)
+                took.append(result)
+                if result == "APPLIED":
+                    stage = to
+                    if event is not None:
+                        done.add(event)
+            columns = [batch.column(n) for n in ("row_pos", "job_uid", "job", "event_uid")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.string()) for x in (befores, afters, took))], names=["row_pos", "job_uid", "job", "event_uid", "from_stage", "to_stage", "result"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return lined.mapInArrow(run, f"row_pos {kinds['row_pos']}, job_uid string, job string, event_uid string, from_stage string, to_stage string, result string")
+
+
 def replay(spark: SparkSession, commands: DataFrame, applications: DataFrame, block_rows: int = 100_000, most_rounds: int = 200) -> DataFrame:
     """WFL-01: outcome of each triaged command; those of one record count in row order.
 
-    row_pos is unique. A record of any number of commands is many tasks: commands are
+    row_pos is unique. Records of at most block_rows commands are folded one after another
+    where they are. A larger record is many tasks: its commands are
     composed in blocks of row_pos. A command is a replay if an earlier one of the same
     event was applied, which depends on the stage that one found; rounds take for granted
     what was applied in the round before and end when nothing changes (the first command
@@ -128,6 +172,12 @@ def replay(spark: SparkSession, commands: DataFrame, applications: DataFrame, bl
     rows = scratch.table(spark, rows, "commands")
     named = known.select(F.coalesce("job_uid", F.lit("")).alias("job"), F.coalesce("stage", F.lit(STAGES[0])).alias("stage"))
     started = scratch.table(spark, rows.select("job").distinct().join(named, "job", "left").select("job", F.coalesce("stage", F.lit(STAGES[0])).alias("stage")).withColumn("start", F.coalesce(F.try_element_at(F.create_map(*[x for k, v in _PLACES.items() for x in (F.lit(k), F.lit(v))]), F.col("stage")), F.lit(_OTHER))), "started")
+    outcome = lambda frame: frame.select("row_pos", "job_uid", "event_uid", "from_stage", F.when(F.col("result") == "APPLIED", F.col("to_stage")).alias("to_stage"), "result")
+    large = scratch.table(spark, rows.groupBy("job").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("job"), "large")
+    if large.isEmpty():
+        return outcome(_folded(rows, started))
+    folded = outcome(_folded(rows.join(large, "job", "left_anti"), started))
+    rows, started = scratch.table(spark, rows.join(large, "job", "left_semi"), "commands"), started.join(large, "job", "left_semi")
     open_rows = rows.where("early is null and not bad")
     first = scratch.table(spark, open_rows.groupBy("job", "event_uid").agg(F.min("row_pos").alias("done")), "applied")
     names = F.array(*map(F.lit, STAGES))
@@ -146,6 +196,6 @@ def replay(spark: SparkSession, commands: DataFrame, applications: DataFrame, bl
         following = scratch.table(spark, decided.where("result = 'APPLIED'").groupBy("job", "event_uid").agg(F.min("row_pos").alias("done")), "applied")
         ahead = first.select("job", "event_uid", F.col("done").alias("was")).join(following, ["job", "event_uid"], "full_outer")
         if ahead.where("not (was <=> done)").isEmpty():
-            return decided.select("row_pos", "job_uid", "event_uid", "from_stage", F.when(F.col("result") == "APPLIED", F.col("to_stage")).alias("to_stage"), "result")
+            return outcome(decided).unionByName(folded)
         first = following
     raise RuntimeError(f"commands did not settle in {most_rounds} rounds")

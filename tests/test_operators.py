@@ -353,6 +353,17 @@ def test_commands_in_blocks_equal_one_after_the_other(spark, seed, block):
     assert sorted((r["row_pos"], r["from_stage"], r["to_stage"], r["result"]) for r in found.collect()) == replayed(rows, stages)
 
 
+def test_commands_of_small_records_need_no_rounds(spark, monkeypatch):
+    """Events that recur after a rejected first try took a round each."""
+    rows = [(n, f"j{n % 3}", f"e{n // 3 % 4}", workflow.STAGES[n * 7 % len(workflow.STAGES)], "", "CORRECTION: x" if n % 5 == 0 else "", None) for n in range(120)]
+    schema = "row_pos long, job_uid string, event_uid string, application_stage_update string, referral_stage_update string, reason string, result string"
+    names, table = [], workflow.scratch.table
+    monkeypatch.setattr(workflow.scratch, "table", lambda spark, df, name, *rest: names.append(name) or table(spark, df, name, *rest))
+    found = workflow.replay(spark, spark.createDataFrame(rows, schema).withColumn("outreach_stage_update", F.lit("")), spark.createDataFrame([], "job_uid string, application_stage string"))
+    assert sorted((r["row_pos"], r["from_stage"], r["to_stage"], r["result"]) for r in found.collect()) == replayed(rows, {})
+    assert not {"outcomes", "applied", "blocks"} & set(names)
+
+
 def test_messages_are_claimed_whole_and_settled(spark):
     box = "alert_id string, state string, automatic_attempts int, sending_at timestamp, sent_at timestamp, message_id string, provider_message_id string, error string"
     empty = (None, None, None, None, None)
