@@ -98,16 +98,22 @@ def generate_drafts(pairs: DataFrame, existing: DataFrame, now: Column, candidat
         way("EMAIL", purpose, open_to & given("work_email")), way("WHATSAPP", purpose, open_to & given("phone") & F.coalesce("whatsapp_allowed", F.lit(False))),
     )
     each = ready.withColumns({f"__{k}": v for k, v in values.items()} | {"__way": F.explode(F.array_compact(ways))})
-    held = {k: c(f"__{k}") for k in values}
-    channel, text = c("__way.channel"), F.lit(None).cast("string")
-    for name, template in TEMPLATES.items():
-        text = F.when(channel == name, fill(template, held)).otherwise(text)
-    contact = F.when(channel == "APPLICATION_NOTE", "").otherwise(c("contact_uid"))
+    channel, note = c("__way.channel"), c("__way.channel") == "APPLICATION_NOTE"
+    contact = F.when(note, "").otherwise(c("contact_uid"))
     evidence = F.when(channel == "WHATSAPP", F.slice("evidence_ids", 1, 1)).when(channel == "LINKEDIN_CONNECTION", F.array().cast("array<string>")).otherwise(c("evidence_ids"))
-    subject = F.when(channel == "EMAIL", F.substring(F.concat("title", F.lit(" - "), held["job_id"]), 1, 60)).otherwise("")
-    made = each.select(draft_id(c("job_uid"), contact, channel, c("__way.purpose"), c("sequence")).alias("draft_id"), "job_uid", contact.alias("contact_uid"), channel.alias("channel"), c("__way.purpose").alias("purpose"), subject.alias("subject"), text.alias("text"), evidence.alias("evidence_ids"))
-    # The note of an application is the same whatever the contact: one of it stays.
-    once = made.groupBy("draft_id").agg(F.first(F.struct(*[c(n) for n in made.columns if n != "draft_id"])).alias("row")).select("draft_id", "row.*")
+    subject = F.when(channel == "EMAIL", F.substring(F.concat("title", F.lit(" - "), "__job_id"), 1, 60)).otherwise("")
+    # What a contact adds is left out of a note, so that notes of one record are alike.
+    filled = [F.when(~note, c(f"__{k}")).alias(f"__{k}") if k in ("greeting", "ask", "short_ask") else c(f"__{k}") for k in values]
+    asked = each.select(draft_id(c("job_uid"), contact, channel, c("__way.purpose"), c("sequence")).alias("draft_id"), "job_uid", contact.alias("contact_uid"), channel.alias("channel"), c("__way.purpose").alias("purpose"), subject.alias("subject"), evidence.alias("evidence_ids"), *filled)
+    # The note of an application is the same whatever the contact: one of it stays. Its many copies go where they are,
+    # by hashing; drafts are told apart by what fills them, and texts are written once that is done.
+    notes = asked.where("channel = 'APPLICATION_NOTE'").distinct()
+    told = notes.unionByName(asked.where("channel <> 'APPLICATION_NOTE'")).repartition("draft_id")
+    once = told.groupBy("draft_id").agg(F.first(F.struct(*[c(n) for n in told.columns if n != "draft_id"])).alias("row")).select("draft_id", "row.*")
+    held, text = {k: c(f"__{k}") for k in values}, F.lit(None).cast("string")
+    for name, template in TEMPLATES.items():
+        text = F.when(c("channel") == name, fill(template, held)).otherwise(text)
+    once = once.select("draft_id", "job_uid", "contact_uid", "channel", "purpose", "subject", F.explode(F.array(text)).alias("text"), "evidence_ids")
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     return once.withColumns({"words": words, "chars": F.length("text"), "error": draft_error(c("text"), c("channel"), c("subject"))}).join(existing.select("draft_id"), "draft_id", "left_anti")
 

@@ -17,20 +17,19 @@ _CLAIMS = ("Built a service that answers a thousand calls a second on two small
 
 def draft_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CTC-04, PRD-11: drafts of suppliers as records to customers as contacts, whole texts by digest."""
-    k = F.col("c_custkey")
-    people = read_table(spark, sf_dir, "customer").select(
-        k, (k % 10 + 1).alias("s_suppkey"), F.concat(F.lit("contact_"), k.cast("string")).alias("contact_uid"), F.when(k % 9 != 0, F.col("c_name")).alias("name"), F.concat(F.lit("Firm "), (k % 10 + 1).cast("string"), F.when(k % 4 == 0, " Other").otherwise(" Ltd")).alias("contact_company"),
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    # Ten records meet all contacts, so only keys and names are joined; the rest is made where a pair is.
+    met = read_table(spark, sf_dir, "customer").select(k, "c_name", (k % 10 + 1).alias("s_suppkey")).join(read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    pairs = met.select(
+        F.concat(F.lit("contact_"), k.cast("string")).alias("contact_uid"), F.when(k % 9 != 0, F.col("c_name")).alias("name"), F.concat(F.lit("Firm "), (k % 10 + 1).cast("string"), F.when(k % 4 == 0, " Other").otherwise(" Ltd")).alias("contact_company"),
         F.when(k % 5 == 0, "PUBLIC_PAGE").otherwise("USER_CSV").alias("contact_origin"), F.when(k % 7 == 0, "UNKNOWN").otherwise("FORMER_COLLEAGUE").alias("relationship_basis"), F.lit("USER_SUPPLIED_CURRENT").alias("current_company_confidence"), F.timestamp_add("DAY", (-(k % 200)).cast("int"), _now()).alias("evidence_fetched_at"),
         F.lit("https://example.org/in").alias("linkedin_url"), F.when(k % 3 != 0, "a@example.org").otherwise("").alias("work_email"), F.lit("+911234567890").alias("phone"), (k % 2 == 0).alias("whatsapp_allowed"), F.array(F.lit("linkedin_url"), F.lit("work_email"), F.when(k % 8 != 0, "phone").otherwise("none")).alias("stated"),
         (k % 11 == 0).alias("do_not_contact"), F.lit(True).alias("outreach_allowed"), F.lit("NONE").alias("reply_state"), F.lit(None).cast("timestamp_ntz").alias("retention_expires_at"), F.when(k % 10 == 0, "EXPLICIT_RECRUITING_CHANNEL: page").otherwise("").alias("contactability_basis"), F.when(k % 6 == 0, F.timestamp_add("DAY", (-(k % 60)).cast("int"), _now())).alias("last_contacted_at"), F.lit(0).alias("follow_up_count"),
-    )
-    s = F.col("s_suppkey")
-    records = read_table(spark, sf_dir, "supplier").select(
-        s, s.cast("string").alias("job_uid"), F.concat(F.lit("Engineer "), F.col("s_name")).alias("title"), F.concat(F.lit("Firm "), s.cast("string")).alias("company"), F.concat(F.lit("firm "), s.cast("string")).alias("normalized_company"), F.concat(F.lit("https://jobs.example.org/"), s.cast("string")).alias("apply_url"),
+        s.cast("string").alias("job_uid"), F.concat(F.lit("Engineer "), F.col("s_name")).alias("title"), F.concat(F.lit("Firm "), s.cast("string")).alias("company"), F.concat(F.lit("firm "), s.cast("string")).alias("normalized_company"), F.concat(F.lit("https://jobs.example.org/"), s.cast("string")).alias("apply_url"),
         F.array(F.struct(F.when(s % 2 == 0, F.concat(F.lit("id-"), s.cast("string"))).otherwise("").alias("provider_job_id"))).alias("identities"), F.when(s % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Java"), F.lit("SQL"))).alias("required_skills"), F.lit("FULL_STACK").alias("role_family"), (s % 4).alias("sequence"), _pick(("P0", "P1", "P2", "P1"), s).alias("action_priority"),
         F.when(s % 13 == 0, "NEEDS_REVIEW").otherwise("READY").alias("action_eligibility"), F.array(_pick(_CLAIMS, s), F.lit(_CLAIMS[1])).alias("claims"), F.array(F.lit("e1"), F.lit("e2")).alias("evidence_ids"),
     )
-    found = outreach.generate_drafts(records.join(people, "s_suppkey"), spark.createDataFrame([], "draft_id string"), _now(), "A. Candidate")
+    found = outreach.generate_drafts(pairs, spark.createDataFrame([], "draft_id string"), _now(), "A. Candidate")
     return found.select("draft_id", "job_uid", "contact_uid", "channel", "purpose", "subject", F.sha2("text", 256).alias("text_digest"), F.array_join("evidence_ids", ",").alias("evidence"), F.col("words").cast("long").alias("words"), F.col("chars").cast("long").alias("chars"), "error")
 
 

@@ -94,3 +94,14 @@ def test_brief(spark):
     assert first["inference"]["application_sequence"]["wait_hours"] == 1.0 and second["inference"]["application_sequence"]["wait_hours"] == 3.0
     assert first["facts"]["posted_at"] == "2026-08-14 13:30 IST" and first["facts"]["compensation"]["salary_max"] == 2.0 and "compensation" not in second["facts"]
     assert first["risks"] == [] and second["risks"] == ["odd", "AGE_UNKNOWN"] and first["evidence"] == [{"evidence_id": "e1", "claim": "Built it"}]
+
+
+def test_texts_are_written_after_notes_are_made_one(spark):
+    """Many contacts of one record: sorting whole texts took one task's memory."""
+    none = spark.createDataFrame([], "draft_id string")
+    rows = [pair(contact_uid=f"c{n}", name=f"Ada {n}") for n in range(40)]
+    found = outreach.generate_drafts(spark.createDataFrame(rows, PAIRS), none, F.lit(str(NOW)).cast("timestamp"), "A. Candidate")
+    channels = [r["channel"] for r in found.select("channel").collect()]
+    assert channels.count("APPLICATION_NOTE") == 1 and channels.count("EMAIL") == 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("keep this message") < plan.index("Aggregate") and plan.rindex("keep this message") < plan.index("Aggregate")
