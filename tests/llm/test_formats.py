@@ -41,6 +41,21 @@ def test_warc_round_trip(spark, file_bytes):
     assert one["request"]["head"].startswith("GET / HTTP/1.1\r\nHost: c.org") and bytes(one["response"]["payload"]) == b"small"
 
 
+def test_resolving_shuffles_no_payload(spark, monkeypatch):
+    folder, plans, table = scratch.new_path(spark, "warc"), {}, scratch.table
+    warc.write_archives(spark, pages(spark), folder)
+    captures = warc.assemble(warc.read_records(spark, folder))
+
+    def kept(session, df, name, *rest):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return table(session, df, name, *rest)
+
+    monkeypatch.setattr(scratch, "table", kept)
+    assert warc.resolve(captures).count() == 10
+    assert "metadata_payload" in plans["captures"] and "response_payload_digest" in plans["captures"]
+    assert "response_payload#" not in plans["captures"] and "response_head" not in plans["captures"]
+
+
 def test_plain_and_joined_archives_parse():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [b for _, b in warc.parse(record * 2)] == [b"abc", b"abc"]
