@@ -20,6 +20,7 @@ them back gives no rows.
 
 from __future__ import annotations
 
+import codecs
 import zlib
 from collections.abc import Iterator
 
@@ -33,45 +34,69 @@ from pyspark.sql import types as T
 from tarnwick import scratch
 from tarnwick.llm.batches import caches, slices, texts, tidied
 from tarnwick.llm.files import put
-from tarnwick.llm.units import BYTE_LEVEL, PieceCache, cutter, plain
+from tarnwick.llm.units import BYTE_LEVEL, PieceCache, cutter, plain, plain_edges
 
-#: Bytes of text that are cut at a time; small enough for the pieces to stay in the processor's cache.
-_SLICE_BYTES = 256 << 10
+#: Bytes of text that are cut at a time.
+_SLICE_BYTES = 2 << 20
 #: Partitions whose files are placed by one task.
 _BLOCK = 1024
 
 
+def _alphabet() -> str:
+    """The character that byte-level vocabularies have for each byte: its own if printable, else the next from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
+
+
 class LibraryEncoder:
     """Encodes texts as the tokenizers library does with add_special_tokens=False.
 
-    The library encodes every distinct pre-token once (as one pretokenized sequence a
-    batch). A text that holds an added token of the tokenizer, or a character beyond
-    ASCII that is no letter, goes through the library as a whole.
+    Texts are cut many at a time, Arrow tells their pre-tokens apart, and the library's
+    model encodes every distinct one once. A text that holds an added token of the
+    tokenizer, or a character beyond ASCII that is no letter, goes through the library
+    as a whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
             raise ValueError("a byte-level tokenizer without normalizer is needed")
-        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, self.alphabet = self.tokenizer.model, _alphabet()
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = PieceCache(cutter(BYTE_LEVEL), self.encode_pieces)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         if not pieces:
             return []
-        found = self.words.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
-        edge = 4 * np.searchsorted(np.array(found.word_ids), np.arange(len(pieces) + 1))
-        data, edge = np.array(found.ids, "<u4").tobytes(), edge.tolist()
+        tokenize = self.model.tokenize
+        # the byte 255 is in no UTF-8, and its character is its own
+        found = [[t.id for t in tokenize(p)] for p in codecs.charmap_decode(b"\xff".join(pieces), "strict", self.alphabet)[0].split("\xff")]
+        data = np.array([i for ids in found for i in ids], "<u4").tobytes()
+        edge = np.cumsum([0, *(4 * len(ids) for ids in found)]).tolist()
         return [data[a:b] for a, b in zip(edge, edge[1:])]  # noqa: B905
 
+    def plain_texts(self, batch: list[bytes]) -> list[bytes]:
+        """Packed ids of each of these plain texts."""
+        begins = np.cumsum([0, *map(len, batch)])
+        data = b"".join(batch)
+        edges = plain_edges(data, begins)
+        pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        packed, place = self.pieces.each(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pieces.indices.to_numpy()
+        ids, width = np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start, sizes = (np.cumsum(width) - width)[place], width[place]
+        behind = np.concatenate([[0], np.cumsum(sizes)])
+        out = ids[np.repeat(start - behind[:-1], sizes) + np.arange(behind[-1])].tobytes()
+        cut = (4 * behind[np.searchsorted(edges, begins)]).tolist()
+        return [out[a:b] for a, b in zip(cut, cut[1:])]  # noqa: B905
+
     def texts(self, batch: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
         whole = [n for n, t in enumerate(batch) if any(a in t for a in self.added) or not plain(t)]
         skip = set(whole)
-        out = self.pieces.texts([b"" if n in skip else t for n, t in enumerate(batch)])
+        out = self.plain_texts([b"" if n in skip else t for n, t in enumerate(batch)])
         for n in whole:
             out[n] = np.array(self.tokenizer.encode(batch[n].decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return out

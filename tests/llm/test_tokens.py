@@ -35,6 +35,40 @@ def test_cutting_equals_the_pattern():
         assert [p.decode() for p in cutter(P.PATTERN)(text.encode())] == regex.findall(P.PATTERN, text)
 
 
+def test_cutting_many_texts_equals_the_pattern():
+    import regex
+
+    from tarnwick.llm.units import plain, plain_edges
+
+    rng = random.Random(9)
+    parts = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\r\n", "'", "''", "'s", "l", "ll", "re", "v", "e", "t", "d", "m", "a", "Z", "é", "日", "9", ".", "!", "_"]
+    batches = [["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 8))] for _ in range(2000)]
+    for batch in [*batches, [t for t in odd_texts() if plain(t.encode())]]:
+        texts = [t.encode() for t in batch]
+        edges = plain_edges(b"".join(texts), np.cumsum([0, *map(len, texts)])).tolist()
+        found = [b"".join(texts)[a:b].decode() for a, b in zip(edges, edges[1:])]  # noqa: B905
+        assert found == [p for t in batch for p in regex.findall(P.PATTERN, t)]
+
+
+def test_known_pieces_take_less_time_than_text_by_text():
+    """The encoder of token files beside one that cuts and looks up text by text, both knowing all pieces."""
+    import time
+
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("etaoinshré") for _ in range(rng.randint(1, 8))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=500)).encode() for _ in range(600)]
+    encoder, took = tokenfiles.LibraryEncoder(JSON), []
+    wanted = encoder.pieces.texts(texts)
+    for work in (encoder.pieces.texts, encoder.texts):
+        runs = []
+        for _ in range(4):
+            began = time.process_time()
+            assert work(texts) == wanted
+            runs.append(time.process_time() - began)
+        took.append(min(runs))
+    assert took[1] < 0.75 * took[0], took
+
+
 def test_bpe_equals_tiktoken():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
