@@ -192,6 +192,28 @@ def test_a_chain_that_holds_a_third_of_all_rows(spark):
     assert max(len(m) for m in plain.records) >= 20
 
 
+def test_parts_of_few_rows_take_no_rounds(spark, monkeypatch):
+    """Near copies, rows tied by ids only and rows tied to nothing are folded; so many copies are not compared pair by pair."""
+    rng, compared = random.Random(5), []
+    words = [f"word{n}" for n in range(40)]
+    rows = [any_row(rng, seq, words[:24]) for seq in range(40)]
+    rows += [row(100 + n, normalized_company="copies", description=" ".join([*words[:38], f"new{n % 30}", f"more{n % 7}"]), description_hash=f"h{n}") for n in range(90)]
+    rows += [row(300 + n, normalized_company=f"employer {n}", description=f"own body {n}") for n in range(30)]
+
+    def refuse(*_, **__):
+        raise AssertionError("a round")
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    plain = resolve.compared
+    monkeypatch.setattr(resolve, "judged", refuse)
+    monkeypatch.setattr(resolve, "compared", counted)
+    check(spark, rows)
+    assert 0 < sum(compared) < 90 * 89 / 4
+
+
 def test_no_rows(spark):
     found, audit = resolve.resolve_audited(spark, table(spark, []))
     assert found.count() == 0 and audit.count() == 0
